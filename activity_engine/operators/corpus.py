@@ -12,13 +12,13 @@ from activity_engine.functions import text as tx
 from activity_engine.operators.ordered import OrderedRows, number_runs
 
 # Style words of the corpus owner, as regular expression alternatives.
-SLANG = r"(?i)\b(dcp|jsp|genre|fin\b|mtn|att\b|bah|nan\b|wsh|wesh|ptn|tqt|oe\b|cv\b|enft|vrais)\b"
+SLANG = r"(?iU)\b(dcp|jsp|genre|fin\b|mtn|att\b|bah|nan\b|wsh|wesh|ptn|tqt|oe\b|cv\b|enft|vrais)\b"
 SIGNATURES = (
-    r"(?i)\b(gnon|mouais|unhun|\bui\b|réel\b|miskine|aïe)\b"
+    r"(?iU)\b(gnon|mouais|unhun|\bui\b|réel\b|miskine|aïe)\b"
     r"|(mais wsh|oh la+la+|pas compris|alors là|c quoi|nan mais|en vrais?|bah oui|bah non|bah nan)"
 )
 REASONING = (
-    r"(?i)\b(en gros|je comprends|du coup|parce que|je pense que|c'est logique|c'est normal|faut\b"
+    r"(?iU)\b(en gros|je comprends|du coup|parce que|je pense que|c'est logique|c'est normal|faut\b"
     r"|je sais pas mais|en fait|au final|finalement|sauf que|même si)\b"
 )
 CONTEXT_SIZES = (2, 5, 12, 25, 40)

@@ -11,11 +11,12 @@ from activity_engine.operators.select import mode_per_group
 
 
 def contact_strength(
-    messages: DataFrame, contact: str, close: Column, minimum: int = 5, multiplier: float = 2.0
+    messages: DataFrame, contact: str, close: DataFrame, minimum: int = 5, multiplier: float = 2.0
 ) -> DataFrame:
-    """Contacts with at least ``minimum`` messages; close ones weigh ``multiplier`` times as much."""
+    """Contacts with at least ``minimum`` messages; those listed in ``close`` weigh ``multiplier`` times as much."""
     counted = messages.groupBy(contact).agg(F.count("*").alias("message_count")).filter(F.col("message_count") >= minimum)
-    flagged = counted.withColumn("is_close", close)
+    listed = close.select(contact).distinct().withColumn("is_close", F.lit(True))
+    flagged = counted.join(listed, contact, "left").withColumn("is_close", F.coalesce("is_close", F.lit(False)))
     factor = F.when(F.col("is_close"), multiplier).otherwise(1.0)
     return flagged.withColumn("weight", F.col("message_count") * factor)
 
