@@ -23,8 +23,9 @@ def assign_scenes(
     Dated photos are grouped by silences; a photo without a date goes to the scene whose middle is closest to the
     date in its file name, else to the scene with the most similar mean vector, else to one further scene per album.
     """
-    dated = with_session(photos, album, ts, gap_seconds).withColumnRenamed("session_no", "scene_id")
-    scenes = sessions(photos, album, ts, gap_seconds).withColumnRenamed("session_no", "scene_id")
+    photos = photos.select(album, photo_id, ts, filename, vector)
+    dated = durable(with_session(photos, album, ts, gap_seconds).withColumnRenamed("session_no", "scene_id"))
+    scenes = durable(sessions(photos, album, ts, gap_seconds).withColumnRenamed("session_no", "scene_id"))
     undated = photos.filter(F.col(ts).isNull()).withColumn("_written", cal.filename_date(F.col(filename)))
 
     written = undated.filter(F.col("_written").isNotNull()).select(album, photo_id, F.col("_written").alias("_at"))
@@ -33,7 +34,7 @@ def assign_scenes(
         album, photo_id, "scene_id", F.lit("filename").alias("placed_by")
     )
 
-    keyed = dated.withColumn("scene_key", F.concat_ws("/", F.col(album), F.lpad(F.col("scene_id"), 12, "0")))
+    keyed = dated.withColumn("scene_key", F.concat_ws("/", F.col(album), F.lpad(F.col("scene_id").cast("string"), 12, "0")))
     means = vectors.centroids(keyed, "scene_key", vector, F.first(album).alias("_album"), F.first("scene_id").alias("scene_id"))
     rest = undated.filter(F.col("_written").isNull()).select(album, photo_id, vector)
     alike = vectors.nearest_reference(rest, means, vector, "scene_key", "centroid", threshold)

@@ -21,8 +21,9 @@ def contained_anchors(items: DataFrame, title: str, anchors: DataFrame, anchor:
         starts = F.when(F.length(title) >= length, F.sequence(F.lit(1), F.length(title) - length + 1))
         return F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda p: F.substr(F.col(title), p, length))
 
-    pieces = F.array_distinct(F.flatten(F.transform(lengths, pieces_of)))
-    return items.withColumn(anchor, F.explode(pieces)).join(known, anchor)
+    pieces = F.array_distinct(F.flatten(F.transform("_lengths", pieces_of)))
+    cut = items.withColumn("_lengths", lengths).withColumn(anchor, F.explode(pieces)).drop("_lengths")
+    return cut.join(known, anchor)
 
 
 def similarity(a: Column, b: Column) -> Column:

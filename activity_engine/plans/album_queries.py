@@ -20,7 +20,7 @@ def _photos(t: Tables) -> DataFrame:
 
 
 _SCENES = f"""p as (select event_id, case when event_type not in ('error', 'signup') then ts end as ts,
-  case when event_type = 'signup' then date_trunc('day', ts)::timestamp + interval 12 hour end as written, list_transform(embedding, x -> x::double) as v
+  case when event_type = 'signup' then date_trunc('day', ts)::timestamp + interval 12 hour end as written, list_transform(embedding, lambda x: x::double) as v
   from events join embeddings on vec_id = event_id),
  g as (select *, case when ts - lag(ts) over (order by ts) > interval {_GAP} second then 1 else 0 end as starts from p where ts is not null),
  d as (select *, sum(starts) over (order by ts) as scene_id from g),
@@ -47,7 +47,7 @@ def scene_assign(t: Tables) -> DataFrame:
 @query(f"""with {_SCENES}, q as (select a.scene_id, event_id, p.v, p.ts from a join p using (event_id)),
  m as (select scene_id, list(x order by pos) as mean from (select scene_id, pos, avg(x) as x from (
   select scene_id, unnest(v) as x, unnest(range(len(v))) as pos from q) group by all) group by scene_id),
- f as (select scene_id, event_id, row_number() over (partition by scene_id order by round(sqrt(list_sum(list_transform(list_zip(v, mean), z -> (z[1] - z[2]) * (z[1] - z[2])))), 9), event_id) as rn
+ f as (select scene_id, event_id, row_number() over (partition by scene_id order by round(sqrt(list_sum(list_transform(list_zip(v, mean), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9), event_id) as rn
   from q join m using (scene_id))
  select q.scene_id::bigint as scene_id, count(*) as photo_count, min(q.ts) as first_ts, max(q.ts) as last_ts, any_value(f.event_id) as representative
  from q join f on f.scene_id = q.scene_id and rn = 1 group by q.scene_id""")

@@ -99,7 +99,7 @@ def top_examples(t: Tables) -> DataFrame:
     return found.orderBy(F.desc("score"), "conv_id", "block_no", "size").limit(corpus.TOP_EXAMPLES)
 
 
-_SPOKEN = """array_to_string(list_transform(list_filter(list_transform(string_split({text}, chr(10)), x -> trim(x)), x -> x <> ''), x -> {who} || ': ' || x), chr(10))"""
+_SPOKEN = """array_to_string(list_transform(list_filter(list_transform(string_split({text}, chr(10)), lambda x: trim(x)), lambda x: x <> ''), lambda x: {who} || ': ' || x), chr(10))"""
 
 
 @query(f"""with {_BLOCKS}, x as (select *, row_number() over (order by example desc, conv_id, block_no, size) as rank from w where score >= 7),

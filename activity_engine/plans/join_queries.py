@@ -144,10 +144,10 @@ def anchor_contains(t: Tables) -> DataFrame:
 
 
 @query(f"""with t as (select p_name, count(*) as score from part group by p_name), w as (select unnest([{sql_list(WANTED_TITLES)}]) as wanted),
- r as (select wanted, p_name, score, 1 - levenshtein(p_name, wanted)::double / greatest(length(p_name), length(wanted)) as similar from t, w),
- l as (select *, case when p_name = wanted then 1 when contains(p_name, wanted) then 2 when similar >= 0.55 then 3 end as level from r)
+ r as (select wanted, p_name, score, 1 - levenshtein(p_name, wanted)::double / greatest(length(p_name), length(wanted)) as alike from t, w),
+ l as (select *, case when p_name = wanted then 1 when contains(p_name, wanted) then 2 when alike >= 0.55 then 3 end as level from r)
  select wanted, p_name, level::int as level from (select *, row_number() over (partition by wanted order by level,
- case when level = 3 then similar else score end desc, p_name) as rn from l where level is not null) where rn = 1""")
+ case when level = 3 then alike else score end desc, p_name) as rn from l where level is not null) where rn = 1""")
 def title_lookup(t: Tables) -> DataFrame:
     """Best part title for each wanted text, over all titles."""
     titles = t.part.groupBy("p_name").agg(F.count("*").alias("score"))

@@ -27,7 +27,7 @@ def word_hits(text: str, words) -> str:
 # ---- counts and rules
 
 @query(f"""select doc_id, length(text)::int as chars, {hits('text', chr(92) + 'S+')}::int as words,
- len(list_filter(string_split(regexp_replace(text, '[\\w\\s.,!?;:''"\\-()]', ' ', 'g'), ' '), x -> x <> ''))::int as nonascii_tokens,
+ len(list_filter(string_split(regexp_replace(text, '[\\w\\s.,!?;:''"\\-()]', ' ', 'g'), ' '), lambda x: x <> ''))::int as nonascii_tokens,
  {hits('text', chr(92) + 'p{So}')}::int as emojis from documents""")
 def text_counts(t: Tables) -> DataFrame:
     text = F.col("text")
@@ -288,7 +288,7 @@ def json_map_explode(t: Tables) -> DataFrame:
     return pairs.select("track_id", F.explode("tags").alias("tag"))
 
 
-@query(r"""with w as (select doc_id, list_filter(string_split_regex(text, '\s'), x -> x <> '') as words from documents)
+@query(r"""with w as (select doc_id, list_filter(string_split_regex(text, '\s'), lambda x: x <> '') as words from documents)
  select doc_id, array_to_string(words[1:30], ' ') as first_words, words[-1] as last_word, len(words)::int as n from w""")
 def array_caps(t: Tables) -> DataFrame:
     words = t.documents.select("doc_id", nested.without_empty(F.split("text", r"\s")).alias("words"))
@@ -321,8 +321,8 @@ def unigram_sql(*keep: str) -> str:
 
 def bigram_sql(*keep: str) -> str:
     columns = "".join(f"{k}, " for k in keep)
-    return rf"""(select {columns}term from (select {columns}unnest(list_transform(range(1, greatest(len(kept), 1)), i -> kept[i] || ' ' || kept[i + 1])) as term
- from (select {columns}list_filter({_TOKENS}, w -> w not in ({sql_list(STOP_WORDS)})) as kept from documents where {_COUNTABLE}))
+    return rf"""(select {columns}term from (select {columns}unnest(list_transform(range(1, greatest(len(kept), 1)), lambda i: kept[i] || ' ' || kept[i + 1])) as term
+ from (select {columns}list_filter({_TOKENS}, lambda w: w not in ({sql_list(STOP_WORDS)})) as kept from documents where {_COUNTABLE}))
  where length(term) > 5 and not regexp_matches(term, '[@%#\(\)\d]'))"""
 
 
@@ -351,8 +351,8 @@ def top_samples(t: Tables) -> DataFrame:
 
 
 @query(f"""with used as (select lang, source, row_number() over (partition by lang order by source) as place from (select distinct lang, source from documents)),
- b as (select lang, source, term, row_number() over (partition by lang, source order by count(*) desc, term) as rank from {bigram_sql('lang', 'source')} group by all),
- u as (select lang, source, term, row_number() over (partition by lang, source order by count(*) desc, term) as rank from {unigram_sql('lang', 'source')} group by all),
+ b as (select lang, source, term, row_number() over (partition by lang, source order by count(*) desc, term) as rank from {bigram_sql('lang', 'source')} group by lang, source, term),
+ u as (select lang, source, term, row_number() over (partition by lang, source order by count(*) desc, term) as rank from {unigram_sql('lang', 'source')} group by lang, source, term),
  c as (select *, 0 as kind from b where rank <= 4 union all select *, 1 from u where rank <= 12),
  o as (select lang, term, place, kind, rank, row_number() over (partition by lang, term order by place, kind, rank) as seen from c join used using (lang, source) where place <= 3)
  select lang, string_agg(term, ';' order by place, kind, rank) as keywords from o where seen = 1 group by lang""")

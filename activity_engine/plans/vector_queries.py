@@ -9,13 +9,13 @@ from activity_engine.functions import vectors as vf
 from activity_engine.operators import density, vectors
 from activity_engine.plans.registry import Tables, query
 
-_VEC = "list_transform(embedding, x -> x::double)"
+_VEC = "list_transform(embedding, lambda x: x::double)"
 _MEANS = """m as (select label, list(x order by pos) as centroid from (select label, pos, avg(x::double) as x from (
   select label, unnest(embedding) as x, unnest(range(len(embedding))) as pos from embeddings) group by label, pos) group by label)"""
 
 
-@query(f"""select vec_id, round(sqrt(list_sum(list_transform({_VEC}, x -> x * x))), 5) as norm,
- round(sqrt(list_sum(list_transform({_VEC}, x -> x * x))) / (sqrt(list_sum(list_transform({_VEC}, x -> x * x))) + 1e-8), 5) as unit_norm from embeddings""")
+@query(f"""select vec_id, round(sqrt(list_sum(list_transform({_VEC}, lambda x: x * x))), 5) as norm,
+ round(sqrt(list_sum(list_transform({_VEC}, lambda x: x * x))) / (sqrt(list_sum(list_transform({_VEC}, lambda x: x * x))) + 1e-8), 5) as unit_norm from embeddings""")
 def l2_norm(t: Tables) -> DataFrame:
     v = F.col("embedding")
     return t.embeddings.select(
@@ -29,7 +29,7 @@ def centroids(t: Tables) -> DataFrame:
     return means.select("label", F.posexplode("centroid").alias("pos", "x")).withColumn("x", F.round("x", 6) + 0.0)
 
 
-@query(f"""with {_MEANS}, d as (select e.label, vec_id, round(sqrt(list_sum(list_transform(list_zip({_VEC}, centroid), z -> (z[1] - z[2]) * (z[1] - z[2])))), 6) as distance
+@query(f"""with {_MEANS}, d as (select e.label, vec_id, round(sqrt(list_sum(list_transform(list_zip({_VEC}, centroid), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) as distance
  from embeddings e join m using (label)) select label, vec_id, distance from (select *, row_number() over (partition by label order by distance, vec_id) as rn from d) where rn = 1""")
 def representative(t: Tables) -> DataFrame:
     means = vectors.centroids(t.embeddings, "label", "embedding")
@@ -37,7 +37,7 @@ def representative(t: Tables) -> DataFrame:
     return best.withColumn("distance", F.round("distance", 6))
 
 
-@query(f"""with {_MEANS}, s as (select vec_id, m.label, round(list_cosine_similarity({_VEC}, centroid), 6) as similarity from embeddings, m)
+@query(f"""with {_MEANS}, s as (select vec_id, m.label, round(round(list_cosine_similarity({_VEC}, centroid), 9), 6) as similarity from embeddings, m)
  select vec_id, case when similarity >= 0.6 then label end as nearest, case when similarity >= 0.6 then similarity end as similarity from (
  select *, row_number() over (partition by vec_id order by similarity desc, label) as rn from s) where rn = 1""")
 def nearest_centroid(t: Tables) -> DataFrame:
@@ -61,7 +61,7 @@ def cluster_sizes(t: Tables) -> DataFrame:
     return density.cluster_sizes(t.embeddings, "label").withColumn("name", name)
 
 
-_WORDS = r"unnest(list_filter(string_split_regex(lower(text), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+'), x -> x <> ''))"
+_WORDS = r"unnest(list_filter(string_split_regex(lower(text), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+'), lambda x: x <> ''))"
 _SLOT = "('0x' || left(md5(word), 4))::int % 256"
 
 
@@ -82,7 +82,7 @@ def embed_documents(t: Tables) -> DataFrame:
 @query(f"""with d as {_encoded_sql('documents', 'doc_id')}, i as {_encoded_sql('benchmark', 'item_id')},
  dn as (select doc_id, sqrt(sum(n * n)) as norm from d group by doc_id), "in" as (select item_id, sqrt(sum(n * n)) as norm from i group by item_id),
  s as (select doc_id, item_id, sum(d.n * i.n) as dot from d join i using (slot) group by all),
- c as (select doc_id, item_id, round(dot / ((dn.norm + 1e-8) * ("in".norm + 1e-8)), 6) as similarity from s join dn using (doc_id) join "in" using (item_id))
+ c as (select doc_id, item_id, round(round(dot / ((dn.norm + 1e-8) * ("in".norm + 1e-8)), 9), 6) as similarity from s join dn using (doc_id) join "in" using (item_id))
  select doc_id, item_id, similarity from (select *, row_number() over (partition by doc_id order by similarity desc, item_id) as rn from c) where rn = 1 and similarity >= 0.15""")
 def text_match(t: Tables) -> DataFrame:
     """Most similar benchmark text of each document."""

@@ -17,14 +17,14 @@ def _canonical(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
 
     def cell(value):
-        if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+        if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
             return "null"
         if isinstance(value, bool) or type(value).__name__ == "bool_":
             return str(bool(value))
         if hasattr(value, "isoformat"):
             stamp = pd.Timestamp(value)
             return stamp.isoformat()
-        if isinstance(value, float) and value == int(value) if isinstance(value, float) and abs(value) < 1e15 else False:
+        if isinstance(value, float) and abs(value) < 1e15 and value == int(value):
             return str(int(value))
         return str(value)
 
