@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from activity_engine.functions import text as tx
 from activity_engine.operators.ordered import OrderedRows, number_runs
+from activity_engine.operators.select import top_per_group
 
 # Style words of the corpus owner, as regular expression alternatives.
 SLANG = r"(?iU)\b(dcp|jsp|genre|fin\b|mtn|att\b|bah|nan\b|wsh|wesh|ptn|tqt|oe\b|cv\b|enft|vrais)\b"
@@ -98,6 +99,17 @@ def context_windows(
     )
 
 
+def best_per_person(windows: DataFrame, conv: str, minimum: float = MIN_SCORE, k: int = PER_PERSON) -> DataFrame:
+    """Windows of at least ``minimum`` points, the best ``k`` of each conversation.
+
+    Ranked by their keys alone: the texts of windows that lose are never shuffled.
+    """
+    good = windows.filter(F.col("score") >= minimum)
+    keys = [conv, "block_no", "size"]
+    ranked = top_per_group(good.select(*keys, "score"), [conv], [F.desc("score"), F.col("block_no"), F.col("size")], k)
+    return good.join(ranked.select(*keys), keys, "left_semi")
+
+
 def messages_of(windows: DataFrame, owner: str) -> DataFrame:
     """Windows as training examples: ``messages`` is an array of (role, content), the owner being the assistant."""
 

@@ -68,8 +68,8 @@ def density_clusters(
 
     sizes = cells.join(cell_parts, "cell").groupBy("component").agg(F.sum("n").alias("size"))
     kept = sizes.filter(F.col("size") >= min_size)
-    by_size = kept.select(F.lit(0).alias("_all"), (-F.col("size")).alias("_order"), "component")
-    numbered = dense_position(by_size, ["_all"], ["_order", "component"], "cluster")
+    by_size = kept.select((-F.col("size")).alias("_order"), "component")
+    numbered = dense_position(by_size, [], ["_order", "component"], "cluster")
     named = cell_parts.join(numbered, "component").select("cell", F.col("cluster").cast("int"))
     return placed.join(named, "cell", "left").select(row_id, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 

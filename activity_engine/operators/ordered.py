@@ -156,12 +156,17 @@ def dense_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], nam
 def percent_rank(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """``percent_rank`` of ``value`` within ``keys``: (rows below) / (rows - 1), 0 for a single row.
 
-    Rows are first counted per distinct value, so ties and big keys shrink before anything is ordered.
+    Rows are first counted per distinct value, so ties and big keys shrink before anything is ordered. Without keys
+    the whole table is ranked.
     """
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
     below = OrderedRows(counts, keys, [value]).running_sum(F.col("_n"), "_upto").result()
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    ranks = below.join(totals, list(keys)).select(
+    if keys:
+        totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+        below = below.join(totals, list(keys))
+    else:
+        below = below.withColumn("_total", counts.agg(F.sum("_n")).scalar())
+    ranks = below.select(
         *keys, value,
         F.when(F.col("_total") > 1, (F.col("_upto") - F.col("_n")) / (F.col("_total") - 1))
         .otherwise(F.lit(0.0)).alias(name),

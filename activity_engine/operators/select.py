@@ -38,7 +38,7 @@ def top_counts(df: DataFrame, keys: Sequence[str], n: int, name: str = "n") -> D
 def top_long_values(df: DataFrame, text: str, n: int, name: str = "n") -> DataFrame:
     """``top_counts`` for long texts: counted and ranked by digest, and only the winners fetch their text."""
     keyed = df.select(text, F.sha2(text, 256).alias("digest"))
-    best = top_counts(keyed, ["digest"], n, name)
+    best = F.broadcast(top_counts(keyed, ["digest"], n, name))  # n rows
     return keyed.join(best, "digest").groupBy("digest", name).agg(F.any_value(text).alias(text))
 
 

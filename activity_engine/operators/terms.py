@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from activity_engine.functions import text as tx
 from activity_engine.functions.nested import ordered_union
 from activity_engine.operators.select import top_per_group
+from activity_engine.session import small
 
 # Stop words added to the English and French default lists.
 EXTRA_STOP_WORDS = (
@@ -77,7 +78,7 @@ def top_texts(df: DataFrame, groups: Sequence[str], text: str, k: int) -> DataFr
         *groups, text, F.sha2(text, 256).alias("digest")
     )
     counted = clean.groupBy(*groups, "digest").agg(F.count("*").alias("n"))
-    best = top_per_group(counted, groups, [F.desc("n"), F.col("digest")], k)
+    best = small(top_per_group(counted, groups, [F.desc("n"), F.col("digest")], k), 100_000)
     found = clean.join(best, [*groups, "digest"])
     return found.groupBy(*groups, "digest", "n", "rank").agg(F.any_value(text).alias(text))
 

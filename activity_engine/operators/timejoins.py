@@ -66,14 +66,20 @@ def modal_item_nearby(
 ) -> DataFrame:
     """Most frequent item within the window around each probe (ties: smallest item), with its count.
 
-    A probe is expanded to the distinct items active in the three cells around it, not to the events there; the
-    count of each candidate item then comes from ``window_counts``.
+    Events are counted in cells of half the window. A window surely covers the probe's cell and its two neighbours,
+    and reaches at most two cells to either side, so per cell and item there is a lower and an upper bound of the
+    count. Only items whose upper bound reaches the best lower bound of the cell can win there; a probe meets just
+    these candidates, never the events, and their exact counts come from ``window_counts``.
     """
-    width = int(seconds * _MICROS)
-    cell = F.floor(epoch_micros(F.col(ts)) / width)
-    active = events.select(owner, item, cell.alias("_cell")).distinct()
-    around = probes.select(owner, probe_id, ts, F.explode(F.sequence(cell - 1, cell + 1)).alias("_cell"))
-    candidates = around.join(active, [owner, "_cell"]).select(owner, probe_id, ts, item).distinct()
+    cell = F.floor(epoch_micros(F.col(ts)) / int(seconds * _MICROS / 2))
+    counted = events.groupBy(owner, item, cell.alias("_of")).agg(F.count("*").alias("_n"))
+    reach = counted.withColumn("_cell", F.explode(F.sequence(F.col("_of") - 2, F.col("_of") + 2)))
+    covered = F.when(F.abs(F.col("_of") - F.col("_cell")) <= 1, F.col("_n")).otherwise(0)
+    bounds = reach.groupBy(owner, "_cell", item).agg(F.sum("_n").alias("_most"), F.sum(covered).alias("_least"))
+    bar = bounds.groupBy(owner, "_cell").agg(F.max("_least").alias("_bar"))
+    able = bounds.join(bar, [owner, "_cell"]).filter(F.col("_most") >= F.col("_bar")).select(owner, "_cell", item)
+    located = probes.select(owner, probe_id, ts, cell.alias("_cell"))
+    candidates = located.join(able, [owner, "_cell"]).drop("_cell")
     counts = window_counts(candidates, events, [owner, item], [probe_id], ts, seconds, "_n").filter(F.col("_n") > 0)
     best = F.min_by(F.struct(item, F.col("_n").alias("n")), F.struct(-F.col("_n"), F.col(item)))
     return counts.groupBy(probe_id).agg(best.alias("_b")).select(probe_id, f"_b.{item}", "_b.n")

@@ -16,7 +16,7 @@ def _photos(t: Tables) -> DataFrame:
     shots = t.events.join(t.embeddings.withColumnRenamed("vec_id", "event_id"), "event_id")
     named = F.when(F.col("event_type") == "signup", F.date_format("ts", "'IMG_'yyyyMMdd'.jpg'")).otherwise(F.lit("IMG.jpg"))
     dated = F.when(~F.col("event_type").isin("error", "signup"), F.col("ts"))
-    return shots.select(F.lit("album").alias("album"), "event_id", dated.alias("ts"), named.alias("filename"), "embedding")
+    return shots.select(F.date_format("ts", "yyyy").alias("album"), "event_id", dated.alias("ts"), named.alias("filename"), "embedding")
 
 
 _SCENES = f"""p as (select event_id, case when event_type not in ('error', 'signup') then ts end as ts,

@@ -60,7 +60,7 @@ def epoch_convert(t: Tables) -> DataFrame:
 @query("""with e as (select event_id, case when event_type <> 'error' then ts end as ts from events)
  select event_id, date_trunc('second', ts) as iso_z, date_trunc('minute', ts) as minute, date_trunc('millisecond', ts) as zoned,
  date_trunc('second', ts) as second, date_trunc('second', ts) as exif, date_trunc('second', ts) as post,
- cast(ts as date) as us_date, coalesce(epoch_ms(date_trunc('second', ts)), 0)::bigint as millis from e""")
+ cast(ts as date)::varchar as us_date, coalesce(epoch_ms(date_trunc('second', ts)), 0)::bigint as millis from e""")
 def parse_dates(t: Tables) -> DataFrame:
     """Each format of the exports, written out and read back; 'error' events carry an unreadable date."""
     def written(fmt: str):
@@ -80,7 +80,7 @@ def parse_dates(t: Tables) -> DataFrame:
         "event_id", read("iso_z", cal.ISO_Z).alias("iso_z"), read("minute", cal.MINUTE).alias("minute"),
         cal.parse_search_time(F.col("zoned")).cast("timestamp_ntz").alias("zoned"), read("second", cal.SECOND).alias("second"),
         read("exif", cal.EXIF).alias("exif"), cal.parse_post_date(F.col("post")).cast("timestamp_ntz").alias("post"),
-        F.try_to_date("us_date", cal.SHORT_US_DATE).alias("us_date"), cal.parse_millis(F.col("second")).alias("millis"),
+        F.try_to_date("us_date", cal.SHORT_US_DATE).cast("string").alias("us_date"), cal.parse_millis(F.col("second")).alias("millis"),
     )
 
 
@@ -138,11 +138,14 @@ def season_flags(t: Tables) -> DataFrame:
 @query("""with m as (select distinct date_trunc('month', o_orderdate)::date as month_start from orders),
  w as (select month_start, last_day(month_start) as month_end,
   unnest(generate_series(date_trunc('week', month_start)::timestamp, last_day(month_start)::timestamp, interval 7 day))::date as week_start from m)
- select month_start, week_start, (week_start + 6)::date as week_end, greatest(week_start, month_start) as shown_start,
- least((week_start + 6)::date, month_end) as shown_end from w""")
+, x as (select month_start, week_start, (week_start + 6)::date as week_end, greatest(week_start, month_start) as shown_start,
+ least((week_start + 6)::date, month_end) as shown_end from w)
+ select month_start::varchar as month_start, week_start::varchar as week_start, week_end::varchar as week_end, shown_start::varchar as shown_start,
+ shown_end::varchar as shown_end from x""")
 def weeks_of_month(t: Tables) -> DataFrame:
     months = t.orders.select(F.to_date(F.date_trunc("month", "o_orderdate")).alias("month_start")).distinct()
-    return months.select("month_start", F.inline(cal.month_weeks(F.col("month_start"))))
+    weeks = months.select("month_start", F.inline(cal.month_weeks(F.col("month_start"))))
+    return weeks.select(*[F.col(c).cast("string").alias(c) for c in weeks.columns])
 
 
 @query("""with u as (select ts from events union all select o_orderdate from orders)
@@ -209,10 +212,10 @@ def month_spine(t: Tables) -> DataFrame:
     return profiles.on_spine(counts, profiles.spine(t.spark, "month", 1, 12), "month", ["n"])
 
 
-@query("select cast(ts as date) as day, event_type, count(*) as n from events group by all")
+@query("select cast(ts as date)::varchar as day, event_type, count(*) as n from events group by all")
 def timeline_day_source(t: Tables) -> DataFrame:
     cells = profiles.calendar_rollup(t.events, "ts", "event_type")
-    return cells.groupBy("day", "event_type").agg(F.sum("n").alias("n"))
+    return cells.groupBy(F.col("day").cast("string").alias("day"), "event_type").agg(F.sum("n").alias("n"))
 
 
 @query("""select coalesce(strftime(day, '%Y-%m-%d'), 'all') as day, coalesce(event_type, 'all') as event_type, sum(n)::bigint as n from (
@@ -226,12 +229,12 @@ def timeline_totals(t: Tables) -> DataFrame:
     )
 
 
-@query("""with c as (select date_trunc('week', o_orderdate)::date as week_start, o_orderpriority as source, count(*) as n from orders group by all)
+@query("""with c as (select date_trunc('week', o_orderdate)::date::varchar as week_start, o_orderpriority as source, count(*) as n from orders group by all)
  select week_start, source, n, rank::int as rank from (
  select *, row_number() over (partition by week_start order by n desc, source) as rank from c) where rank <= 3""")
 def timeline_week_top(t: Tables) -> DataFrame:
     weeks = t.orders.groupBy(
-        F.to_date(F.date_trunc("week", "o_orderdate")).alias("week_start"), F.col("o_orderpriority").alias("source")
+        F.to_date(F.date_trunc("week", "o_orderdate")).cast("string").alias("week_start"), F.col("o_orderpriority").alias("source")
     ).agg(F.count("*").alias("n"))
     return top_per_group(weeks, ["week_start"], [F.desc("n"), F.col("source")], 3)
 
@@ -262,12 +265,13 @@ def period_options(t: Tables) -> DataFrame:
 
 
 @query("""with d as (select o_orderkey, try_strptime(case when o_orderpriority = '2-HIGH' then 'soon' else strftime(o_orderdate, '%Y-%m-%d') end, '%Y-%m-%d')::date as day from orders)
- select o_orderkey, day from d where day between date '1997-01-01' and date '1997-12-31'""")
+ select o_orderkey, day::varchar as day from d where day between date '1997-01-01' and date '1997-12-31'""")
 def date_range(t: Tables) -> DataFrame:
     """Inclusive range on a textual date; unreadable dates are dropped."""
     text = F.when(F.col("o_orderpriority") == "2-HIGH", "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
     days = t.orders.select("o_orderkey", F.try_to_date(text, "yyyy-MM-dd").alias("day"))
-    return days.filter(F.col("day").between(F.lit("1997-01-01").cast("date"), F.lit("1997-12-31").cast("date")))
+    chosen = days.filter(F.col("day").between(F.lit("1997-01-01").cast("date"), F.lit("1997-12-31").cast("date")))
+    return chosen.withColumn("day", F.col("day").cast("string"))
 
 
 @query("""select user_id, count(*) as n from events where value >= 5 group by user_id having count(*) >= 5""")
@@ -317,9 +321,9 @@ def peak_month(t: Tables) -> DataFrame:
     return mode_per_group(months, ["o_custkey"], "m", "month")
 
 
-@query(_mode_sql("o_orderpriority", "date_trunc('week', o_orderdate)::date", "orders", "week_start"))
+@query(_mode_sql("o_orderpriority", "date_trunc('week', o_orderdate)::date::varchar", "orders", "week_start"))
 def busiest_week(t: Tables) -> DataFrame:
-    weeks = t.orders.select("o_orderpriority", F.to_date(F.date_trunc("week", "o_orderdate")).alias("w"))
+    weeks = t.orders.select("o_orderpriority", F.to_date(F.date_trunc("week", "o_orderdate")).cast("string").alias("w"))
     return mode_per_group(weeks, ["o_orderpriority"], "w", "week_start")
 
 

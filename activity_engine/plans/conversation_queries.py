@@ -79,9 +79,7 @@ def style_score(t: Tables) -> DataFrame:
 
 def _examples(t: Tables) -> DataFrame:
     """Best windows per conversation as training examples with the score of their assistant turns."""
-    kept = _windows(t).filter(F.col("score") >= corpus.MIN_SCORE)
-    best = select.top_per_group(kept, ["conv_id"], [F.desc("score"), F.col("block_no"), F.col("size")], corpus.PER_PERSON)
-    made = corpus.messages_of(best.drop("rank"), OWNER)
+    made = corpus.messages_of(corpus.best_per_person(_windows(t), "conv_id"), OWNER)
     return made.withColumn("example", corpus.example_score(F.col("messages"), _style()))
 
 
@@ -109,8 +107,8 @@ _SPOKEN = """array_to_string(list_transform(list_filter(list_transform(string_sp
 def corpus_lines(t: Tables) -> DataFrame:
     """Text of the best examples, one row per example."""
     best = _examples(t).orderBy(F.desc("example"), "conv_id", "block_no", "size").limit(corpus.TOP_EXAMPLES)
-    keyed = best.withColumns({"_all": F.lit(0), "_order": -F.col("example")})
-    numbered = ordered.dense_position(keyed, ["_all"], ["_order", "conv_id", "block_no", "size"], "rank")
+    keyed = best.withColumn("_order", -F.col("example"))
+    numbered = ordered.dense_position(keyed, [], ["_order", "conv_id", "block_no", "size"], "rank")
     rank = F.col("rank") + 1
     return numbered.select(rank.alias("rank"), corpus.corpus_text(F.col("messages"), rank, "Me", "Other").alias("value"))
 

@@ -51,12 +51,14 @@ def scene_playlist(t: Tables) -> DataFrame:
  v as (select user_id, event_id as mark_id, ts from events where event_type = 'signup'),
  j as (select p.user_id, p.event_id, v.mark_id, abs(epoch_us(p.ts) - epoch_us(v.ts)) as d,
   row_number() over (partition by p.event_id order by abs(epoch_us(p.ts) - epoch_us(v.ts)), v.mark_id) as rn from p left join v on p.user_id = v.user_id)
- select user_id, event_id, mark_id, round(d / 1000000.0, 6) as distance_seconds from j where rn = 1""")
+ select user_id, event_id, mark_id::varchar as mark_id, round(d / 1000000.0, 6) as distance_seconds from j where rn = 1""")
 def nearest_time(t: Tables) -> DataFrame:
     purchases = _of_type(t, "purchase").select("user_id", "event_id", "ts")
     marks = _of_type(t, "signup").select("user_id", F.col("event_id").alias("mark_id"), "ts")
     found = timejoins.nearest_in_time(purchases, marks, ["user_id"], "event_id", "mark_id", "ts")
-    return found.withColumn("distance_seconds", F.round("distance_seconds", 6))
+    return found.withColumns({
+        "mark_id": F.col("mark_id").cast("string"), "distance_seconds": F.round("distance_seconds", 6)
+    })
 
 
 _CASCADE = """with photos as (select user_id, event_id, ts, hour(ts) as h from events where event_type = 'purchase'),
@@ -119,8 +121,9 @@ def category_gap(t: Tables) -> DataFrame:
     pairs = [(c, k) for c, words in CATEGORIES.items() for k in words]
     listed = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(k).alias("keyword")) for c, k in pairs])
     wanted = t.documents.select("source").distinct().select("source", F.inline(listed))
-    words = t.documents.select("source", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("keyword"))
-    seen = words.filter(F.col("keyword").isin(*[k for _, k in pairs])).distinct()
+    known = F.array(*[F.lit(k) for _, k in pairs])
+    words = F.array_intersect(F.split(F.lower("text"), r"[^\p{L}]+"), known)
+    seen = t.documents.select("source", F.explode(words).alias("keyword")).distinct()
     return wanted.join(seen, ["source", "keyword"], "left_anti").select("source", "category", "keyword")
 
 

@@ -14,7 +14,7 @@ def _at(text: str):
 
 
 _NATURAL = "user_id, event_type, day"
-_DAYS = "(select *, cast(ts as date) as day from events)"
+_DAYS = "(select *, cast(ts as date)::varchar as day from events)"
 
 
 @query(f"""with o as (select event_id, {_NATURAL}, value from (select *, row_number() over (partition by {_NATURAL} order by event_id) as rn
@@ -25,7 +25,7 @@ _DAYS = "(select *, cast(ts as date) as day from events)"
 def merge_insert(t: Tables) -> DataFrame:
     """A second export that overlaps the first is merged on its natural key."""
     keys = ["user_id", "event_type", "day"]
-    events = t.events.withColumn("day", F.to_date("ts")).select("event_id", *keys, "value", "ts")
+    events = t.events.withColumn("day", F.to_date("ts").cast("string")).select("event_id", *keys, "value", "ts")
     first = merge.first_per_key(events.filter(F.col("ts") < _at("2024-01-16")).drop("ts"), keys, ["event_id"])
     second = events.filter(F.col("ts") >= _at("2024-01-10")).drop("ts")
     return merge.insert_absent(first, second, keys, ["event_id"])

@@ -139,7 +139,7 @@ def product_category(t: Tables) -> DataFrame:
 
 
 @query("""select p_partkey, case when p_size > 10 then 'series' else 'movie' end as content_type,
- case when p_size > 10 then p_name else p_name || ' the film' end as show_title, case when p_size > 10 and p_size <= 40 then p_size end as season,
+ case when p_size > 10 then p_name else p_name || ' the film' end as show_title, case when p_size > 10 and p_size <= 40 then p_size end::varchar as season,
  case when p_size > 10 then p_type end as episode_title from part""")
 def title_parse(t: Tables) -> DataFrame:
     title = (
@@ -147,7 +147,8 @@ def title_parse(t: Tables) -> DataFrame:
         .when(F.col("p_size") <= 40, F.concat("p_name", F.lit(": Saison "), "p_size", F.lit(": "), "p_type"))
         .otherwise(F.concat("p_name", F.lit(": "), "p_type"))
     )
-    return t.part.select("p_partkey", *[c.alias(n) for n, c in titles.title_parts(title).items()])
+    parsed = t.part.select("p_partkey", *[c.alias(n) for n, c in titles.title_parts(title).items()])
+    return parsed.withColumn("season", F.col("season").cast("string"))
 
 
 @query("""select p_partkey, split_part(p_type || '|' || p_brand, '|', 1) as first_genre, p_type || ', ' || p_brand as genres,

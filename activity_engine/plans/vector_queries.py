@@ -38,19 +38,18 @@ def representative(t: Tables) -> DataFrame:
 
 
 @query(f"""with {_MEANS}, s as (select vec_id, m.label, round(round(list_cosine_similarity({_VEC}, centroid), 9), 6) as similarity from embeddings, m)
- select vec_id, case when similarity >= 0.6 then label end as nearest, case when similarity >= 0.6 then similarity end as similarity from (
+ select vec_id, case when similarity >= 0.6 then label end::varchar as nearest, case when similarity >= 0.6 then similarity end as similarity from (
  select *, row_number() over (partition by vec_id order by similarity desc, label) as rn from s) where rn = 1""")
 def nearest_centroid(t: Tables) -> DataFrame:
     means = vectors.centroids(t.embeddings, "label", "embedding").withColumnRenamed("label", "nearest")
     points = t.embeddings.select("vec_id", "embedding")
     found = vectors.nearest_reference(points, means, "embedding", "nearest", "centroid", 0.6)
-    return found.select("vec_id", "nearest", F.round("similarity", 6).alias("similarity"))
+    return found.select("vec_id", F.col("nearest").cast("string").alias("nearest"), F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"with {_MEANS} select vec_id, label, round(list_cosine_similarity({_VEC}, centroid), 6) as similarity from embeddings join m using (label)")
 def cosine_to_centroid(t: Tables) -> DataFrame:
-    means = vectors.centroids(t.embeddings, "label", "embedding").select("label", "centroid")
-    joined = t.embeddings.join(means, "label")
+    joined = vectors.with_centroid(t.embeddings, "label", vectors.centroids(t.embeddings, "label", "embedding"))
     return joined.select("vec_id", "label", F.round(vf.cosine(F.col("embedding"), F.col("centroid")), 6).alias("similarity"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "activity_engine", master: str | None = None, **conf: str) -> SparkSession:
@@ -44,5 +45,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` cut from its lineage, marked for broadcast only if it was counted and has at most ``rows`` rows."""
+    held = durable(df)
+    return F.broadcast(held) if held.count() <= rows else held
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
