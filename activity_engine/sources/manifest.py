@@ -45,13 +45,24 @@ def target_path(source: Column, folder: Column, inside: Column) -> Column:
     )
 
 
+def _path(column: str) -> Column:
+    """Path of a file name without scheme and percent escapes."""
+    plain = F.regexp_replace(column, "^[a-z0-9]+:(//[^/]*(?=/))?", "")
+    return F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B")))
+
+
 def scan(spark: SparkSession, inbox: str) -> DataFrame:
-    """One row per file below the inbox: folder, path inside it, size, time. Contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(inbox)
+    """One row per file below the inbox: folder, path inside it, size, time. Contents are not read.
+
+    A scan leaves empty files out, so the sizes are joined to the file names Spark lists for any source.
+    """
+    scanned = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(inbox)
+    sizes = scanned.select(_path("path").alias("_key"), "length", "modificationTime")
+    names = spark.createDataFrame([(name,) for name in scanned.inputFiles()], "path string")
+    files = names.withColumn("_key", _path("path")).join(sizes, "_key", "left").na.fill(0, ["length"])
     root = spark._jvm.org.apache.hadoop.fs.Path(inbox)
-    base = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/") + "/"
-    relative = F.expr("url_decode(replace(path, '+', '%2B'))")
-    inside = F.substring(relative, len(base) + 1, 1 << 20)
+    base = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/") + "/"
+    inside = F.substring("_key", len(base) + 1, 1 << 20)
     listed = files.select("path", inside.alias("_inside"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     in_folder = F.col("_inside").contains("/")
     folder = F.when(in_folder, F.substring_index("_inside", "/", 1)).otherwise(F.lit(""))

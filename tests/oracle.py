@@ -1,4 +1,4 @@
-"""Runs queries and their SQL side by side. As a command: ``python -m tests.oracle FOLDER [names]``."""
+"""Runs queries and their SQL side by side, and refuses plans with products or row-at-a-time Python. As a command: ``python -m tests.oracle FOLDER [names]``."""
 
 from __future__ import annotations
 
@@ -34,6 +34,10 @@ def _canonical(frame: pd.DataFrame) -> list[tuple]:
 def difference(spark: SparkSession, folder: str, name: str) -> str | None:
     """None when both sides agree, else what differs."""
     made = QUERIES[name](spark, folder)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    unwanted = [word for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython") if word in plan]
+    if unwanted:
+        return f"plan holds {unwanted}"
     ours = made.toPandas()
     if name not in ORACLES:
         return None if len(ours) else "no rows"

@@ -14,13 +14,6 @@ def test_query(spark, name):
     assert difference(spark, FOLDER, name) is None
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_plan_has_no_product(spark, name):
-    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
-    for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
-        assert unwanted not in plan
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())
