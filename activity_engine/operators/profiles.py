@@ -61,11 +61,13 @@ def silhouette(clustered: DataFrame) -> float:
 
 def describe_clusters(profiles: DataFrame, cluster: str, platform: str) -> DataFrame:
     """Per cluster: its platforms, mean hour and weekday, weekend share, items, and the period and day-type words."""
+    def mean(column: str, digits: int) -> Column:
+        # Rounded finely first: equal means round alike in whatever order they were summed.
+        return F.round(F.round(F.avg(column), 9), digits).alias(column)
+
     summary = profiles.groupBy(cluster).agg(
         F.array_sort(F.collect_set(platform)).alias("platforms"),
-        F.round(F.avg("avg_hour"), 1).alias("avg_hour"),
-        F.round(F.avg("avg_weekday"), 1).alias("avg_weekday"),
-        F.round(F.avg("weekend_pct"), 3).alias("weekend_pct"),
+        mean("avg_hour", 1), mean("avg_weekday", 1), mean("weekend_pct", 3),
         F.sum("total").alias("item_count"),
     )
     return summary.withColumns({

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from activity_engine.functions import text as tx
 from activity_engine.functions.nested import ordered_union
 from activity_engine.operators.select import top_per_group
-from activity_engine.session import small, spread
+from activity_engine.session import small
 
 # Stop words added to the English and French default lists.
 EXTRA_STOP_WORDS = (
@@ -48,14 +48,14 @@ def kept_tokens(text: Column, stop_words: Sequence[str]) -> Column:
 
 def unigrams(df: DataFrame, text: str, stop_words: Sequence[str]) -> DataFrame:
     """One row per counted word, as column ``term``."""
-    words = countable(spread(df), text).withColumn("term", F.explode(tx.tokens(F.col(text)))).drop(text)
+    words = countable(df, text).withColumn("term", F.explode(tx.tokens(F.col(text)))).drop(text)
     good = (F.length("term") > 2) & ~F.col("term").rlike(r"^\d|[@%#\(\)]")
     return words.filter(good & ~F.col("term").isin(*stop_words))
 
 
 def bigrams(df: DataFrame, text: str, stop_words: Sequence[str]) -> DataFrame:
     """One row per pair of words that are neighbours once stop words are gone, as column ``term``."""
-    kept = countable(spread(df), text).withColumn("_kept", kept_tokens(F.col(text), stop_words)).drop(text)
+    kept = countable(df, text).withColumn("_kept", kept_tokens(F.col(text), stop_words)).drop(text)
     tail = F.slice("_kept", 2, F.greatest(F.size("_kept") - 1, F.lit(0)))
     head = F.slice("_kept", 1, F.greatest(F.size("_kept") - 1, F.lit(0)))
     pairs = F.zip_with(head, tail, lambda a, b: F.concat_ws(" ", a, b))
@@ -74,7 +74,7 @@ def top_texts(df: DataFrame, groups: Sequence[str], text: str, k: int) -> DataFr
     Counted by digest, so texts are not shuffled; the k winners per group fetch their text by a join on the digest.
     """
     noisy = tx.is_noise(F.col(text), tx.TITLE_NOISE) | F.col(text).rlike(r"^\s*[A-Z0-9_]{5,}\s")
-    texts = spread(df.select(*groups, text)).withColumn("digest", F.sha2(text, 256))
+    texts = df.select(*groups, text).withColumn("digest", F.sha2(text, 256))
     clean = texts.filter((F.length(text) > 1) & ~F.col(text).rlike(tx.UNCOUNTED_TEXT) & ~noisy)
     counted = clean.groupBy(*groups, "digest").agg(F.count("*").alias("n"))
     best = small(top_per_group(counted, groups, [F.desc("n"), F.col("digest")], k), 100_000)
@@ -156,7 +156,7 @@ def tfidf(df: DataFrame, doc: str, text: str, stop_words: Sequence[str], k: int)
 
 def content_clusters(df: DataFrame, doc: str, text: str, stop_words: Sequence[str], k: int, seed: int = 42) -> DataFrame:
     """Texts grouped by k-means on normalised TF-IDF vectors."""
-    words = spread(df.select(doc, text)).select(doc, kept_tokens(F.col(text), stop_words).alias("_words"))
+    words = df.select(doc, text).select(doc, kept_tokens(F.col(text), stop_words).alias("_words"))
     counted = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=1 << 12).transform(words)
     weighted = IDF(inputCol="_tf", outputCol="_tfidf").fit(counted).transform(counted)
     scaled = Normalizer(inputCol="_tfidf", outputCol="features").transform(weighted)

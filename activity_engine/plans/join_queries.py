@@ -183,5 +183,5 @@ def facet_match(t: Tables) -> DataFrame:
  select topic, first(category order by place) as category from topics, k
  where regexp_matches(topic, '(^|[^a-z])' || keyword || '($|[^a-z])') group by topic""")
 def first_category(t: Tables) -> DataFrame:
-    words = t.documents.select(F.explode(F.split(F.lower("text"), r"\s")).alias("topic")).filter(F.length("topic") > 2)
+    words = t.texts.select(F.explode(F.split(F.lower("text"), r"\s")).alias("topic")).filter(F.length("topic") > 2)
     return terms.first_claims(words.distinct(), "topic", CATEGORIES)

@@ -20,6 +20,13 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @property
+    def texts(self) -> DataFrame:
+        """``documents``, for work that is heavy per row: a file of fewer partitions than cores is dealt out first.
+        A table of any size has more partitions than that and is read as it is."""
+        scan, cores = self.documents, self.spark.sparkContext.defaultParallelism
+        return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
 
 def query(sql: str | None = None):
     """Register ``fn(tables)`` under its own name."""

@@ -31,7 +31,7 @@ def word_hits(text: str, words) -> str:
  {hits('text', chr(92) + 'p{So}')}::int as emojis from documents""")
 def text_counts(t: Tables) -> DataFrame:
     text = F.col("text")
-    return t.documents.select(
+    return t.texts.select(
         "doc_id", tx.char_count(text).alias("chars"), tx.word_count(text).alias("words"),
         tx.nonascii_token_count(text).alias("nonascii_tokens"), tx.emoji_count(text).alias("emojis"),
     )
@@ -51,13 +51,13 @@ _RULE_CASE = "case " + " ".join(f"when regexp_matches(text, '{p}') then '{n}'" f
 
 @query(f"select doc_id, lang from documents where {_RULE_CASE} is null")
 def noise_filter(t: Tables) -> DataFrame:
-    return t.documents.filter(tx.matched_rule(F.col("text"), JUNK_RULES).isNull()).select("doc_id", "lang")
+    return t.texts.filter(tx.matched_rule(F.col("text"), JUNK_RULES).isNull()).select("doc_id", "lang")
 
 
 @query(f"select coalesce({_RULE_CASE}, 'clean') as noise_rule, count(*) as n from documents group by noise_rule")
 def noise_rule_counts(t: Tables) -> DataFrame:
     rule = F.coalesce(tx.matched_rule(F.col("text"), JUNK_RULES), F.lit("clean")).alias("noise_rule")
-    return t.documents.groupBy(rule).agg(F.count("*").alias("n"))
+    return t.texts.groupBy(rule).agg(F.count("*").alias("n"))
 
 
 _CHAT = (*tx.CHAT_NOISE, "que la", "nicht ")
@@ -94,7 +94,7 @@ _SEPARATOR = r"[^\p{L}\p{N}_]"
 @query(rf"""select doc_id, replace(regexp_replace(regexp_replace(text, '({_SEPARATOR})', '\1' || chr(1), 'g'),
  '(?i)(^|\x01)({'|'.join(REDACTED)})($|{_SEPARATOR})', '\1[PRÉNOM]\3', 'g'), chr(1), '') as text from documents""")
 def redact_names(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", tx.redact(F.col("text"), REDACTED).alias("text"))
+    return t.texts.select("doc_id", tx.redact(F.col("text"), REDACTED).alias("text"))
 
 
 def escaped(text: str) -> str:
@@ -305,7 +305,7 @@ def array_caps(t: Tables) -> DataFrame:
  select doc_id, string_agg(term, ' ' order by pos) as merged from f group by doc_id""")
 def keyword_merge(t: Tables) -> DataFrame:
     merged = nested.ordered_union(F.array("lang", "source", "lang"), F.split(F.lower("text"), r"\s"))
-    return t.documents.select("doc_id", F.array_join(merged, " ").alias("merged"))
+    return t.texts.select("doc_id", F.array_join(merged, " ").alias("merged"))
 
 
 # ---- word statistics
@@ -330,13 +330,13 @@ def bigram_sql(*keep: str) -> str:
 @query(f"""select lang, term, n, rank::int as rank from (select lang, term, count(*) as n, row_number() over (partition by lang order by count(*) desc, term) as rank
  from {unigram_sql('lang')} group by lang, term) where rank <= 20""")
 def top_unigrams(t: Tables) -> DataFrame:
-    return terms.top_terms(terms.unigrams(t.documents.select("lang", "text"), "text", STOP_WORDS), ["lang"], 20)
+    return terms.top_terms(terms.unigrams(t.texts.select("lang", "text"), "text", STOP_WORDS), ["lang"], 20)
 
 
 @query(f"""select lang, term, n, rank::int as rank from (select lang, term, count(*) as n, row_number() over (partition by lang order by count(*) desc, term) as rank
  from {bigram_sql('lang')} group by lang, term) where rank <= 10""")
 def top_bigrams(t: Tables) -> DataFrame:
-    return terms.top_terms(terms.bigrams(t.documents.select("lang", "text"), "text", STOP_WORDS), ["lang"], 10)
+    return terms.top_terms(terms.bigrams(t.texts.select("lang", "text"), "text", STOP_WORDS), ["lang"], 10)
 
 
 # One rule needs a back-reference, which the comparison engine has not; it matches no text of the given tables.
@@ -348,7 +348,7 @@ _NOISE_SQL = " or ".join(f"regexp_matches(text, '{p.replace('(?iU)', '(?i)')}')"
  and not regexp_matches(text, '@|^https?://|%[0-9a-fA-F]{{2}}') and not ({_NOISE_SQL}) and not regexp_matches(text, '^\s*[A-Z0-9_]{{5,}}\s')
  group by lang, text) where rank <= 5""")
 def top_samples(t: Tables) -> DataFrame:
-    return terms.top_texts(t.documents, ["lang"], "text", 5)
+    return terms.top_texts(t.texts, ["lang"], "text", 5)
 
 
 @query(f"""with used as (select lang, source, row_number() over (partition by lang order by source) as place from (select distinct lang, source from documents)),
@@ -358,7 +358,7 @@ def top_samples(t: Tables) -> DataFrame:
  o as (select lang, term, place, kind, rank, row_number() over (partition by lang, term order by place, kind, rank) as seen from c join used using (lang, source) where place <= 3)
  select lang, string_agg(term, ';' order by place, kind, rank) as keywords from o where seen = 1 group by lang""")
 def keyword_profiles(t: Tables) -> DataFrame:
-    made = terms.keyword_profiles(t.documents, "lang", "source", "text", STOP_WORDS)
+    made = terms.keyword_profiles(t.texts, "lang", "source", "text", STOP_WORDS)
     return made.select("lang", F.array_join("keywords", ";").alias("keywords"))
 
 
@@ -368,7 +368,7 @@ def _categories(test) -> str:
 
 @query(_categories(lambda words: f"regexp_matches(lower(text), '(^|[^a-z])({'|'.join(words)})($|[^a-z])')"))
 def category_scores(t: Tables) -> DataFrame:
-    return terms.category_scores(t.documents, "text", CATEGORIES)
+    return terms.category_scores(t.texts, "text", CATEGORIES)
 
 
 @query(f"""select category, score as n, round(100.0 * score / (select count(*) from documents), 6) as pct from
@@ -382,7 +382,7 @@ _MARKER_SQL = " union all ".join(f"select '{m}' as marker, sum({word_hits('text'
 
 @query(f"select * from ({_MARKER_SQL}) where n > 0 order by n desc, marker limit 8")
 def tic_counts(t: Tables) -> DataFrame:
-    return terms.marker_counts(t.documents, "text", MARKERS, 8)
+    return terms.marker_counts(t.texts, "text", MARKERS, 8)
 
 
 @query(f"""with w as (select doc_id, term, count(*) as tf from {unigram_sql('doc_id')} group by all),
@@ -390,9 +390,9 @@ def tic_counts(t: Tables) -> DataFrame:
  x as (select doc_id, term, tf, df, round(tf * ln(((select count(*) from documents) + 1) / (df + 1)), 6) as weight from w join d using (term))
  select doc_id, term, tf, df, weight, rank::int as rank from (select *, row_number() over (partition by doc_id order by weight desc, term) as rank from x) where rank <= 3""")
 def tfidf_terms(t: Tables) -> DataFrame:
-    return terms.tfidf(t.documents.select("doc_id", "text"), "doc_id", "text", STOP_WORDS, 3)
+    return terms.tfidf(t.texts.select("doc_id", "text"), "doc_id", "text", STOP_WORDS, 3)
 
 
 @query()
 def content_clusters(t: Tables) -> DataFrame:
-    return terms.content_clusters(t.documents.select("doc_id", "text"), "doc_id", "text", STOP_WORDS, 6)
+    return terms.content_clusters(t.texts.select("doc_id", "text"), "doc_id", "text", STOP_WORDS, 6)

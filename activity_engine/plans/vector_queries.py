@@ -29,22 +29,21 @@ def centroids(t: Tables) -> DataFrame:
     return means.select("label", F.posexplode("centroid").alias("pos", "x")).withColumn("x", F.round("x", 6) + 0.0)
 
 
-@query(f"""with {_MEANS}, d as (select e.label, vec_id, round(sqrt(list_sum(list_transform(list_zip({_VEC}, centroid), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) as distance
+@query(f"""with {_MEANS}, d as (select e.label, vec_id, round(sqrt(list_sum(list_transform(list_zip({_VEC}, centroid), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) as distance
  from embeddings e join m using (label)) select label, vec_id, distance from (select *, row_number() over (partition by label order by distance, vec_id) as rn from d) where rn = 1""")
 def representative(t: Tables) -> DataFrame:
     means = vectors.centroids(t.embeddings, "label", "embedding")
-    best = vectors.representatives(t.embeddings, "label", "vec_id", "embedding", means)
-    return best.withColumn("distance", F.round("distance", 6))
+    return vectors.representatives(t.embeddings, "label", "vec_id", "embedding", means)
 
 
-@query(f"""with {_MEANS}, s as (select vec_id, m.label, round(round(list_cosine_similarity({_VEC}, centroid), 9), 6) as similarity from embeddings, m)
+@query(f"""with {_MEANS}, s as (select vec_id, m.label, round(list_cosine_similarity({_VEC}, centroid), 9) as similarity from embeddings, m)
  select vec_id, case when similarity >= 0.6 then label end::varchar as nearest, case when similarity >= 0.6 then similarity end as similarity from (
  select *, row_number() over (partition by vec_id order by similarity desc, label) as rn from s) where rn = 1""")
 def nearest_centroid(t: Tables) -> DataFrame:
     means = vectors.centroids(t.embeddings, "label", "embedding").withColumnRenamed("label", "nearest")
     points = t.embeddings.select("vec_id", "embedding")
     found = vectors.nearest_reference(points, means, "embedding", "nearest", "centroid", 0.6)
-    return found.select("vec_id", F.col("nearest").cast("string").alias("nearest"), F.round("similarity", 6).alias("similarity"))
+    return found.select("vec_id", F.col("nearest").cast("string").alias("nearest"), "similarity")
 
 
 @query(f"with {_MEANS} select vec_id, label, round(list_cosine_similarity({_VEC}, centroid), 6) as similarity from embeddings join m using (label)")
@@ -70,7 +69,7 @@ def _encoded_sql(table: str, key: str) -> str:
 
 @query(f"select doc_id, count(*)::int as used, sum(n) as words, round(sqrt(sum(n * n)), 6) as norm from {_encoded_sql('documents', 'doc_id')} group by doc_id")
 def embed_documents(t: Tables) -> DataFrame:
-    encoded = vectors.encode(t.documents, "doc_id", "text", vectors.hashed_words())
+    encoded = vectors.encode(t.texts, "doc_id", "text", vectors.hashed_words())
     v = F.col("embedding")
     return encoded.select(
         "doc_id", F.size(F.filter(v, lambda x: x > 0)).alias("used"), F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("words"),
@@ -81,14 +80,14 @@ def embed_documents(t: Tables) -> DataFrame:
 @query(f"""with d as {_encoded_sql('documents', 'doc_id')}, i as {_encoded_sql('benchmark', 'item_id')},
  dn as (select doc_id, sqrt(sum(n * n)) as norm from d group by doc_id), "in" as (select item_id, sqrt(sum(n * n)) as norm from i group by item_id),
  s as (select doc_id, item_id, sum(d.n * i.n) as dot from d join i using (slot) group by all),
- c as (select doc_id, item_id, round(round(dot / ((dn.norm + 1e-8) * ("in".norm + 1e-8)), 9), 6) as similarity from s join dn using (doc_id) join "in" using (item_id))
+ c as (select doc_id, item_id, round(dot / ((dn.norm + 1e-8) * ("in".norm + 1e-8)), 9) as similarity from s join dn using (doc_id) join "in" using (item_id))
  select doc_id, item_id, similarity from (select *, row_number() over (partition by doc_id order by similarity desc, item_id) as rn from c) where rn = 1 and similarity >= 0.15""")
 def text_match(t: Tables) -> DataFrame:
     """Most similar benchmark text of each document."""
-    texts = vectors.encode(t.documents, "doc_id", "text", vectors.hashed_words())
+    texts = vectors.encode(t.texts, "doc_id", "text", vectors.hashed_words())
     tags = vectors.encode(t.benchmark, "item_id", "text", vectors.hashed_words(), "item")
     found = vectors.nearest_reference(texts, tags, "embedding", "item_id", "item", 0.15)
-    return found.filter("item_id is not null").select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
+    return found.filter("item_id is not null").select("doc_id", "item_id", "similarity")
 
 
 @query()

@@ -18,6 +18,7 @@ def build_session(app: str = "activity_engine", master: str | None = None, **con
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.checkpoint.compress": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     for key, value in settings.items():
@@ -51,14 +52,5 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(held) if held.count() <= rows else held
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """For work that is heavy per row: a source of fewer partitions than cores is dealt out first.
-
-    A source of any size has more partitions than that and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
