@@ -94,14 +94,19 @@ class OrderedRows:
         return self._attach(carry, local, name, F.coalesce)
 
     def next_known(self, value: Column, name: str) -> OrderedRows:
-        """Earliest non-null ``value`` at or after this row."""
+        """Earliest non-null ``value`` at or after this row.
+
+        Read backwards, as a frame that ends with the partition is evaluated anew for every row.
+        """
         starts = self.df.groupBy(*self.keys, CHUNK).agg(
             F.min_by(value, F.when(value.isNotNull(), self._position())).alias("_start")
         )
-        after = self._chunks.rowsBetween(1, Window.unboundedFollowing)
-        carry = starts.withColumn("_carry", F.first("_start", ignorenulls=True).over(after))
-        local = F.first(value, ignorenulls=True).over(
-            self._local.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        backwards = Window.partitionBy(*self.keys).orderBy(F.desc(CHUNK))
+        after = backwards.rowsBetween(Window.unboundedPreceding, -1)
+        carry = starts.withColumn("_carry", F.last("_start", ignorenulls=True).over(after))
+        from_end = Window.partitionBy(CHUNK, *self.keys).orderBy(*[F.desc(c) for c in self.order])
+        local = F.last(value, ignorenulls=True).over(
+            from_end.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
         return self._attach(carry, local, name, F.coalesce)
 
