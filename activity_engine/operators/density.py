@@ -8,10 +8,11 @@ cell.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from activity_engine.operators.ordered import dense_position
@@ -74,6 +75,14 @@ def density_clusters(
     return placed.join(named, "cell", "left").select(row_id, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
+def cluster_name(cluster: Column, names: Mapping[int, str], default: Column) -> Column:
+    """Name of a cluster number, noise (-1) included."""
+    label = default
+    for number, name in names.items():
+        label = F.when(cluster == number, F.lit(name)).otherwise(label)
+    return label
+
+
 def cluster_sizes(labelled: DataFrame, cluster: str) -> DataFrame:
     """Count and share of each cluster, noise included."""
     total = labelled.agg(F.count("*")).scalar()

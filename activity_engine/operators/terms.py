@@ -16,6 +16,8 @@ from activity_engine.session import small
 
 # Stop words added to the English and French default lists.
 EXTRA_STOP_WORDS = (
+    "les", "des", "une", "sur", "avec", "dans", "qui", "que", "par", "plus",
+    "tout", "bien", "comme", "mais", "mon", "ton", "son", "nos", "mes",
     "faire", "comment", "aussi", "encore", "très",
     "the", "and", "for", "with", "you", "your", "this", "that", "from",
     "are", "was", "not", "its", "but", "all", "new", "best", "how",

@@ -55,7 +55,7 @@ def cosine_to_centroid(t: Tables) -> DataFrame:
 @query("""select label, count(*) as n, round(count(*)::double / (select count(*) from embeddings), 6) as share,
  case label when 0 then 'noise' else 'group ' || label end as name from embeddings group by label""")
 def cluster_sizes(t: Tables) -> DataFrame:
-    name = F.when(F.col("label") == 0, "noise").otherwise(F.concat(F.lit("group "), "label"))
+    name = density.cluster_name(F.col("label"), {0: "noise"}, F.concat(F.lit("group "), "label"))
     return density.cluster_sizes(t.embeddings, "label").withColumn("name", name)
 
 
