@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from activity_engine.session import durable, shuffle_width
+from activity_engine.session import durable
 
 CHUNK = "_chunk"
 
@@ -28,8 +28,10 @@ class OrderedRows:
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], chunks: int | None = None):
         self.keys, self.order = list(keys), list(order)
-        chunks = chunks or shuffle_width(df.sparkSession)
-        placed = df.repartitionByRange(chunks, *self.keys, *self.order).withColumn(CHUNK, F.spark_partition_id())
+        ranges = [*self.keys, *self.order]
+        # Without a number there are at most spark.sql.shuffle.partitions chunks, and small neighbours are merged.
+        ranged = df.repartitionByRange(chunks, *ranges) if chunks else df.repartitionByRange(*ranges)
+        placed = ranged.withColumn(CHUNK, F.spark_partition_id())
         # Both the rows and the carries are read from this one placement, so it has to be fixed first.
         self.df = durable(placed)
 

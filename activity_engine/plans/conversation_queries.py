@@ -113,7 +113,9 @@ def corpus_lines(t: Tables) -> DataFrame:
     return numbered.select(rank.alias("rank"), corpus.corpus_text(F.col("messages"), rank, "Me", "Other").alias("value"))
 
 
-@query()
+@query(f"""with {_BLOCKS} select w.conv_id, w.block_no, size::int as size, '{{"messages":['
+ || string_agg(to_json({{'role': h.sender, 'content': h.text}})::varchar, ',' order by h.block_no) || ']}}' as json
+ from w join b h on h.conv_id = w.conv_id and h.block_no between w.block_no - size and w.block_no where score >= 7 group by w.conv_id, w.block_no, size""")
 def chat_json(t: Tables) -> DataFrame:
     return _examples(t).select("conv_id", "block_no", "size", corpus.chat_json(F.col("messages")).alias("json"))
 
@@ -186,7 +188,10 @@ def ego_edges(t: Tables) -> DataFrame:
     return graph.ego_edges(_contacts(t), "o_custkey", F.lit("me"))
 
 
-@query()
+@query(f"""with {_CONTACTS}, n as (select 'me' as node_id, false as is_close, 0 as message_count, 80 as size
+ union all select o_custkey::varchar, is_close, message_count, size from s)
+ select 'nodes' as part, to_json({{'node_id': node_id, 'is_close': is_close, 'message_count': message_count, 'size': size}})::varchar as json from n
+ union all select 'links', to_json({{'src': 'me', 'dst': o_custkey::varchar, 'is_close': is_close, 'width': width}})::varchar from s""")
 def graph_lines(t: Tables) -> DataFrame:
     contacts = _contacts(t)
     me = F.lit("me")

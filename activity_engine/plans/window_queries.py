@@ -99,7 +99,7 @@ def capped_sources(t: Tables) -> DataFrame:
     return select.capped_per_source(t.events.select("event_id", "event_type"), "event_type", "event_id", 500)
 
 
-@query()
+@query("select distinct conv_id from conversations")
 def shuffled_examples(t: Tables) -> DataFrame:
     return select.shuffled(t.conversations.select("conv_id").distinct(), "conv_id", 42)
 

@@ -50,7 +50,3 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` cut from its lineage, marked for broadcast only if it was counted and has at most ``rows`` rows."""
     held = durable(df)
     return F.broadcast(held) if held.count() <= rows else held
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
