@@ -44,13 +44,16 @@ def countable(df: DataFrame, text: str) -> DataFrame:
 
 
 def kept_tokens(text: Column, stop_words: Sequence[str]) -> Column:
-    stops = F.array(*[F.lit(w) for w in stop_words])
-    return F.filter(tx.tokens(text), lambda w: ~F.array_contains(stops, w))
+    return F.filter(tx.tokens(text), lambda w: ~w.isin(*stop_words))
 
 
 def unigrams(df: DataFrame, text: str, stop_words: Sequence[str]) -> DataFrame:
     """One row per counted word, as column ``term``."""
-    words = countable(df, text).withColumn("term", F.explode(tx.tokens(F.col(text)))).drop(text)
+    return _words(countable(df, text), tx.tokens(F.col(text)), text, stop_words)
+
+
+def _words(df: DataFrame, pieces: Column, text: str, stop_words: Sequence[str]) -> DataFrame:
+    words = df.withColumn("term", F.explode(pieces)).drop(text)
     good = (F.length("term") > 2) & ~F.col("term").rlike(r"^\d|[@%#\(\)]")
     return words.filter(good & ~F.col("term").isin(*stop_words))
 
@@ -90,11 +93,13 @@ def keyword_profiles(
 ) -> DataFrame:
     """Keywords per cluster: of its first ``sources`` sources, top bigrams then top words, merged in order.
 
-    All clusters in one plan. Per cluster at most sources x (n_bigrams + n_words) terms are gathered.
+    All clusters in one plan, and only texts of the used sources are cut into words. Per cluster at most
+    sources x (n_bigrams + n_words) terms are gathered.
     """
     known = texts.groupBy(cluster, source).agg(F.count("*").alias("_n"))
     used = top_per_group(known, [cluster], [F.col(source)], sources, "_source_no").select(cluster, source, "_source_no")
-    mine = texts.select(cluster, source, text)
+    used = small(used, 100_000)
+    mine = texts.select(cluster, source, text).join(used.select(cluster, source), [cluster, source], "left_semi")
     pairs = top_terms(bigrams(mine, text, stop_words), [cluster, source], n_bigrams).withColumn("_kind", F.lit(0))
     words = top_terms(unigrams(mine, text, stop_words), [cluster, source], n_words).withColumn("_kind", F.lit(1))
     chosen = pairs.unionByName(words).join(used, [cluster, source])
@@ -145,10 +150,15 @@ def _long(row: DataFrame, names: Sequence[str], key: str, value: str, keep: Sequ
 
 
 def tfidf(df: DataFrame, doc: str, text: str, stop_words: Sequence[str], k: int) -> DataFrame:
-    """The ``k`` highest weighted words of each text; weight = count x ln((N + 1) / (texts with the word + 1))."""
-    words = unigrams(df.select(doc, text), text, stop_words)
-    counts = words.groupBy(doc, "term").agg(F.count("*").alias("tf"))
-    spread = counts.groupBy("term").agg(F.count("*").alias("df"))
+    """The ``k`` highest weighted words of each text; weight = count x ln((N + 1) / (texts with the word + 1)).
+
+    The number of texts per word is counted on each text's distinct words, which combines before the shuffle. A
+    vocabulary of moderate size is broadcast, so the counts of the texts stay where they are.
+    """
+    texts = countable(df.select(doc, text), text)
+    counts = _words(texts, tx.tokens(F.col(text)), text, stop_words).groupBy(doc, "term").agg(F.count("*").alias("tf"))
+    distinct = _words(texts.select(text), F.array_distinct(tx.tokens(F.col(text))), text, stop_words)
+    spread = small(distinct.groupBy("term").agg(F.count("*").alias("df")), 500_000)
     total = df.agg(F.count("*")).scalar()
     weighted = counts.join(spread, "term").withColumn(
         "weight", F.round(F.col("tf") * F.log((total + 1) / (F.col("df") + 1)), 6)
