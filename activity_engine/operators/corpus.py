@@ -67,47 +67,65 @@ def history_points(text: Column, style: Style) -> Column:
 def turn_blocks(messages: DataFrame, conv: str, seq: str, sender: str, text: str) -> DataFrame:
     """Runs of consecutive messages by one sender: block number, sender, joined text, message count.
 
-    The order inside and between blocks is the ``seq`` column. Long conversations are numbered in chunks; only the
-    messages of one block, the value to be produced, meet in one place.
+    (conv, seq) identifies a message and seq is the order, inside and between blocks. Runs are numbered without the
+    texts; only the messages of one block, the value to be produced, meet in one place.
     """
-    numbered = number_runs(messages.select(conv, seq, sender, text), [conv], [seq], sender, "block_no")
+    numbered = number_runs(messages.select(conv, seq, sender), [conv], [seq], sender, "block_no")
+    placed = messages.select(conv, seq, text).join(numbered, [conv, seq])
     lines = F.transform(F.array_sort(F.collect_list(F.struct(seq, text))), lambda x: x[text])
-    return numbered.groupBy(conv, "block_no").agg(
+    return placed.groupBy(conv, "block_no").agg(
         F.min(sender).alias("sender"), F.array_join(lines, "\n").alias("text"), F.count("*").alias("n_msgs")
     )
 
 
-def context_windows(
+def context_windows(blocks: DataFrame, conv: str, owner: str, sizes: Sequence[int] = CONTEXT_SIZES) -> DataFrame:
+    """One row per (owner's block, size) with at least ``size`` blocks before it, and these blocks as ``history``."""
+    rows = OrderedRows(blocks, [conv], ["block_no"]).preceding(F.struct("sender", "text"), max(sizes), "history").result()
+    targets = _sized(rows.filter(F.col("sender") == owner), "history", sizes)
+    last = F.slice("history", -F.col("size"), F.col("size"))
+    return targets.withColumn("history", last).select(conv, "block_no", "size", "history", "sender", "text")
+
+
+def _sized(targets: DataFrame, before: str, sizes: Sequence[int]) -> DataFrame:
+    """A row per size for which there is enough before the target."""
+    listed = targets.withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes])))
+    return listed.filter(F.size(before) >= F.col("size"))
+
+
+def window_scores(
     blocks: DataFrame, conv: str, owner: str, style: Style, sizes: Sequence[int] = CONTEXT_SIZES
 ) -> DataFrame:
-    """One row per (owner's block, size) with at least ``size`` blocks before it, its history and its score.
-
-    ``score`` is the style score of the target plus the history's slang and reasoning hits per block.
-    """
-    scored = blocks.withColumn("_points", history_points(F.col("text"), style))
-    before = F.struct("sender", "text", F.col("_points").alias("points"))
-    rows = OrderedRows(scored, [conv], ["block_no"]).preceding(before, max(sizes), "_history").result()
-    targets = rows.filter(F.col("sender") == owner).withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes])))
-    targets = targets.filter(F.size("_history") >= F.col("size"))
-    history = F.slice("_history", -F.col("size"), F.col("size"))
-    points = F.aggregate(F.col("history"), F.lit(0), lambda total, x: total + x["points"])
-    target = block_score(F.col("text"), style)
-    return (
-        targets.withColumn("history", history)
-        .withColumn("score", target + points / F.col("size"))
-        .select(conv, "block_no", "size", "history", "sender", "text", "score")
+    """(conv, block_no, size, score) of every context window: the style score of its target plus the history's slang
+    and reasoning hits per block. Texts are rated first, so only numbers are put in order."""
+    rated = blocks.select(
+        conv, "block_no", "sender", history_points(F.col("text"), style).alias("points"),
+        F.when(F.col("sender") == owner, block_score(F.col("text"), style)).alias("own"),
     )
+    rows = OrderedRows(rated, [conv], ["block_no"]).preceding(F.col("points"), max(sizes), "before").result()
+    targets = _sized(rows.filter(F.col("sender") == owner), "before", sizes)
+    history = F.aggregate(F.slice("before", -F.col("size"), F.col("size")), F.lit(0), lambda total, x: total + x)
+    return targets.select(conv, "block_no", "size", (F.col("own") + history / F.col("size")).alias("score"))
 
 
-def best_per_person(windows: DataFrame, conv: str, minimum: float = MIN_SCORE, k: int = PER_PERSON) -> DataFrame:
-    """Windows of at least ``minimum`` points, the best ``k`` of each conversation.
+def best_per_person(scores: DataFrame, conv: str, minimum: float = MIN_SCORE, k: int = PER_PERSON) -> DataFrame:
+    """Windows of at least ``minimum`` points, the best ``k`` of each conversation."""
+    good = scores.filter(F.col("score") >= minimum)
+    return top_per_group(good, [conv], [F.desc("score"), F.col("block_no"), F.col("size")], k).drop("rank")
 
-    Ranked by their keys alone: the texts of windows that lose are never shuffled.
-    """
-    good = windows.filter(F.col("score") >= minimum)
-    keys = [conv, "block_no", "size"]
-    ranked = top_per_group(good.select(*keys, "score"), [conv], [F.desc("score"), F.col("block_no"), F.col("size")], k)
-    return good.join(ranked.select(*keys), keys, "left_semi")
+
+def with_history(windows: DataFrame, blocks: DataFrame, conv: str) -> DataFrame:
+    """Chosen windows with their texts. The blocks of a window, at most its size and one, are joined by number."""
+    numbers = F.sequence(F.col("block_no") - F.col("size"), F.col("block_no"))
+    members = windows.select("*", F.explode(numbers).alias("_member"))
+    texts = blocks.select(conv, F.col("block_no").alias("_member"), "sender", "text")
+    gathered = members.join(texts, [conv, "_member"]).groupBy(*windows.columns).agg(
+        F.array_sort(F.collect_list(F.struct("_member", "sender", "text"))).alias("_blocks")
+    )
+    past = F.transform(F.slice("_blocks", 1, F.col("size")), lambda b: F.struct(b["sender"], b["text"]))
+    last = F.element_at("_blocks", -1)
+    return gathered.select(
+        *windows.columns, past.alias("history"), last["sender"].alias("sender"), last["text"].alias("text")
+    )
 
 
 def messages_of(windows: DataFrame, owner: str) -> DataFrame:

@@ -12,6 +12,7 @@ from activity_engine.operators import corpus, graph, ordered, select
 from activity_engine.plans.params import MARKERS, STYLE_REASONING, STYLE_SIGNATURES, STYLE_SLANG, WINDOW_SIZES
 from activity_engine.plans.registry import Tables, query
 from activity_engine.plans.text_queries import escaped, hits, word_hits
+from activity_engine.session import durable
 
 OWNER = "assistant"
 _SYSTEM = ("que la", "nicht ")
@@ -51,8 +52,8 @@ def _blocks(t: Tables) -> DataFrame:
     return corpus.turn_blocks(messages, "conv_id", "turn", "sender", "text")
 
 
-def _windows(t: Tables) -> DataFrame:
-    return corpus.context_windows(_blocks(t), "conv_id", OWNER, _style(), WINDOW_SIZES)
+def _scores(blocks: DataFrame) -> DataFrame:
+    return corpus.window_scores(blocks, "conv_id", OWNER, _style(), WINDOW_SIZES)
 
 
 @query(f"with {_BLOCKS} select conv_id, block_no, sender, text, n_msgs from b")
@@ -63,12 +64,13 @@ def turn_blocks(t: Tables) -> DataFrame:
 @query(f"with {_BLOCKS} select conv_id, block_no, size::int as size, history from w")
 def context_windows(t: Tables) -> DataFrame:
     lines = F.transform("history", lambda b: F.concat(b["sender"], F.lit(": "), b["text"]))
-    return _windows(t).select("conv_id", "block_no", "size", F.array_join(lines, "\n").alias("history"))
+    made = corpus.context_windows(_blocks(t), "conv_id", OWNER, WINDOW_SIZES)
+    return made.select("conv_id", "block_no", "size", F.array_join(lines, "\n").alias("history"))
 
 
 @query(f"with {_BLOCKS} select conv_id, block_no, size::int as size, round(score, 6) as score from w where score >= 7")
 def window_score(t: Tables) -> DataFrame:
-    kept = _windows(t).filter(F.col("score") >= corpus.MIN_SCORE)
+    kept = _scores(_blocks(t)).filter(F.col("score") >= corpus.MIN_SCORE)
     return kept.select("conv_id", "block_no", "size", F.round("score", 6).alias("score"))
 
 
@@ -79,7 +81,9 @@ def style_score(t: Tables) -> DataFrame:
 
 def _examples(t: Tables) -> DataFrame:
     """Best windows per conversation as training examples with the score of their assistant turns."""
-    made = corpus.messages_of(corpus.best_per_person(_windows(t), "conv_id"), OWNER)
+    blocks = durable(_blocks(t))  # read for the scores and again for the winners' texts
+    best = corpus.best_per_person(_scores(blocks), "conv_id")
+    made = corpus.messages_of(corpus.with_history(best, blocks, "conv_id"), OWNER)
     return made.withColumn("example", corpus.example_score(F.col("messages"), _style()))
 
 

@@ -231,10 +231,11 @@ def build_corpus(house: Warehouse, messages: DataFrame, me: str, style: corpus.S
                  sizes: Sequence[int] = corpus.CONTEXT_SIZES) -> dict[str, int]:
     """Training examples from messages (conversation, timestamp_ms, sender, text), best ones per conversation."""
     style = style or corpus.Style()
-    dated = messages.withColumn("_at", F.struct("timestamp_ms", F.xxhash64("sender", "text").alias("tie")))
-    blocks = corpus.turn_blocks(dated.select("conversation", "_at", "sender", "text"), "conversation", "_at", "sender", "text")
-    windows = corpus.context_windows(blocks, "conversation", me, style, sizes)
-    made = corpus.messages_of(corpus.best_per_person(windows, "conversation"), me)
+    unique = messages.dropDuplicates(["conversation", "timestamp_ms", "sender", "text"])
+    dated = unique.withColumn("_at", F.struct("timestamp_ms", F.xxhash64("sender", "text").alias("tie")))
+    blocks = durable(corpus.turn_blocks(dated, "conversation", "_at", "sender", "text"))
+    best = corpus.best_per_person(corpus.window_scores(blocks, "conversation", me, style, sizes), "conversation")
+    made = corpus.messages_of(corpus.with_history(best, blocks, "conversation"), me)
     return {"examples": house.overwrite("examples", made)}
 
 

@@ -42,10 +42,14 @@ def test_windows_need_enough_history(spark):
     blocks = spark.createDataFrame(
         [(1, 0, "o", "sl"), (1, 1, "me", "sig sig sig"), (1, 2, "o", "why sl"), (1, 3, "me", "sig sig")],
         "conv int, block_no long, sender string, text string")
-    made = corpus.context_windows(blocks, "conv", "me", STYLE, (1, 2, 5))
-    got = {(r["block_no"], r["size"]): ([h["text"] for h in r["history"]], r["score"]) for r in made.collect()}
-    assert got == {(1, 1): (["sl"], 10.0), (3, 1): (["why sl"], 8.0), (3, 2): (["sig sig sig", "why sl"], 7.0)}
-    best = corpus.messages_of(corpus.best_per_person(made, "conv", 7, 1), "me")
+    expected = {(1, 1): ["sl"], (3, 1): ["why sl"], (3, 2): ["sig sig sig", "why sl"]}
+    made = corpus.context_windows(blocks, "conv", "me", (1, 2, 5))
+    assert {(r["block_no"], r["size"]): [h["text"] for h in r["history"]] for r in made.collect()} == expected
+    scores = corpus.window_scores(blocks, "conv", "me", STYLE, (1, 2, 5))
+    assert {(r["block_no"], r["size"]): r["score"] for r in scores.collect()} == {(1, 1): 10.0, (3, 1): 8.0, (3, 2): 7.0}
+    again = corpus.with_history(scores, blocks, "conv")
+    assert {(r["block_no"], r["size"]): [h["text"] for h in r["history"]] for r in again.collect()} == expected
+    best = corpus.messages_of(corpus.with_history(corpus.best_per_person(scores, "conv", 7, 1), blocks, "conv"), "me")
     row = best.select("messages", corpus.example_score(F.col("messages"), STYLE).alias("s"),
                       corpus.corpus_text(F.col("messages"), F.lit(1), "Me", "You").alias("t"), corpus.chat_json(F.col("messages")).alias("j")).first()
     assert [(m["role"], m["content"]) for m in row["messages"]] == [("user", "sl"), ("assistant", "sig sig sig")]
