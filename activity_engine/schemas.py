@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from activity_engine.operators import quality as q
 
 
 @dataclass(frozen=True)
 class Table:
-    """``rules`` are the row rules, ``unique`` the key that may not repeat (with a tolerance)."""
+    """``rules`` are the row rules, ``unique`` the key that may not repeat (with a tolerance), ``partition`` the month
+    column of tables whose key holds the instant."""
 
     name: str
     columns: Sequence[str]
@@ -19,6 +20,7 @@ class Table:
     unique: Sequence[str] = ()
     tolerance: int = 0
     min_rows: int = 1
+    partition: str | None = None
 
 
 def tables() -> dict[str, Table]:
@@ -83,4 +85,9 @@ def tables() -> dict[str, Table]:
               [q.not_null("scene_id"), q.one_of("match_type", ["temporal", "semantic", "manual", "fallback", "none"])],
               ["scene_id"]),
     ]
-    return {t.name: t for t in listed}
+    instants = {"timestamp": "event_month", "timestamp_ms": "event_month", "listen_minute": "listen_month", "watch_date": "watch_month"}
+
+    def month(table: Table) -> str | None:
+        return next((instants[k] for k in table.key if k in instants), None)
+
+    return {t.name: replace(t, partition=month(t)) for t in listed}

@@ -23,7 +23,10 @@ from activity_engine.warehouse import Warehouse
 
 def _store(house: Warehouse, tables: dict[str, DataFrame]) -> dict[str, int]:
     known = schemas.tables()
-    return {name: house.insert_absent(name, df, list(known[name].key)) for name, df in tables.items()}
+    return {
+        name: house.insert_absent(name, df, list(known[name].key), partition=known[name].partition)
+        for name, df in tables.items()
+    }
 
 
 def _found(house: Warehouse, folder: str, *patterns: str) -> list[str]:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,27 +30,44 @@ class Warehouse:
         return f"{self.root}/{name}/v{number:06d}"
 
     def exists(self, name: str) -> bool:
-        return bool(self._versions(name))
+        return self.read(name) is not None
 
     def read(self, name: str, columns: Sequence[str] | None = None) -> DataFrame | None:
         """The table, or None when absent. Only the asked columns that exist are read."""
         versions = self._versions(name)
         if not versions:
             return None
-        df = self.spark.read.parquet(versions[-1])
+        try:
+            df = self.spark.read.parquet(versions[-1])
+        except AnalysisException as error:
+            # A table laid out by month holds no file, hence no schema, while it is empty.
+            if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":
+                return None
+            raise
         return df if columns is None else df.select(*[c for c in columns if c in df.columns])
 
     def overwrite(self, name: str, df: DataFrame) -> int:
         return self._write(df, self._next(name), "errorifexists")
 
-    def insert_absent(self, name: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None) -> int:
-        """Append the batch rows whose key the table lacks; returns how many. Running it again adds nothing."""
+    def insert_absent(
+        self, name: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None,
+        partition: str | None = None,
+    ) -> int:
+        """Append the batch rows whose key the table lacks; returns how many. Running it again adds nothing.
+
+        ``partition`` is a calendar column (the month) that follows from the key: the table is laid out by it, and a
+        batch is compared only with the months it holds.
+        """
         order = list(order or [c for c in batch.columns if c not in keys])
         target = self.read(name)
         if target is None:
-            return self._write(merge.first_per_key(batch, keys, order), self._next(name), "errorifexists")
+            return self._write(merge.first_per_key(batch, keys, order), self._next(name), "errorifexists", partition)
+        if partition:
+            months = [row[0] for row in batch.select(partition).distinct().collect()]
+            inside = F.col(partition).isin(*[m for m in months if m is not None])
+            target = target.filter(inside | F.col(partition).isNull() if None in months else inside)
         fresh = merge.absent_rows(batch, target, keys, order)
-        return self._write(fresh, self._versions(name)[-1], "append")
+        return self._write(fresh, self._versions(name)[-1], "append", partition)
 
     def upsert(self, name: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None) -> int:
         """Replace rows of the same key, add new ones; returns the size of the table."""
@@ -59,10 +77,11 @@ class Warehouse:
         return self.overwrite(name, result)
 
     @staticmethod
-    def _write(df: DataFrame, path: str, mode: str) -> int:
+    def _write(df: DataFrame, path: str, mode: str, partition: str | None = None) -> int:
         """Rows are counted while they are written, not by a second scan."""
         seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).parquet(path)
+        writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode)
+        (writer.partitionBy(partition) if partition else writer).parquet(path)
         return seen.get["rows"]
 
     def export_json(self, df: DataFrame, folder: str) -> None:

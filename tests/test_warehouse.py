@@ -29,6 +29,20 @@ def test_insert_absent_is_idempotent(spark, house):
     assert content(house.read("t")) == [("a", 1, 1), ("b", 1, 5), (None, 1, 3)]
 
 
+def test_insert_by_month_reads_only_its_months(spark, house):
+    schema = "id int, event_month string"
+    assert house.insert_absent("t", spark.createDataFrame([], schema), ["id"], ["id"], "event_month") == 0
+    assert house.read("t") is None and not house.exists("t")
+    rows = [(1, "2024-01"), (2, "2024-02"), (3, None)]
+    assert house.insert_absent("t", spark.createDataFrame(rows, schema), ["id", "event_month"], ["id"], "event_month") == 3
+    more = spark.createDataFrame([*rows, (4, "2024-02"), (5, None)], schema)
+    assert house.insert_absent("t", more, ["id", "event_month"], ["id"], "event_month") == 2
+    read = house.read("t")
+    assert dict(read.dtypes)["event_month"] == "string" and read.filter("event_month = '2024-02'").count() == 2
+    plan = read.filter("event_month = '2024-02'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_month" in plan
+
+
 def test_upsert_and_overwrite(spark, house):
     house.upsert("t", spark.createDataFrame([("a", 1, 1), ("b", 1, 1), (None, 1, 7)], SCHEMA), ["k"])
     assert house.upsert("t", spark.createDataFrame([("b", 2, 2), ("c", 1, 1), (None, 2, 8)], SCHEMA), ["k"]) == 4
