@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from activity_engine.operators import album, vectors
 from activity_engine.plans.registry import Tables, query
+from activity_engine.session import durable
 
 _GAP = 1800
 
@@ -54,7 +55,7 @@ def scene_assign(t: Tables) -> DataFrame:
 def scene_centroids(t: Tables) -> DataFrame:
     photos = _photos(t)
     scenes = album.assign_scenes(photos, "album", "event_id", "ts", "filename", "embedding", _GAP).select("event_id", "scene_id")
-    placed = photos.join(scenes, "event_id")
+    placed = durable(photos.join(scenes, "event_id"))  # read for the means and again for the distances
     means = vectors.centroids(placed, "scene_id", "embedding", F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     best = vectors.representatives(placed, "scene_id", "event_id", "embedding", means)
     return means.join(best, "scene_id").select(
