@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from activity_engine.llm import decontamination, line_dedup, ngram_join, sharding, substring_dedup
+from activity_engine.llm import decontamination, line_dedup, neighbours, ngram_join, quality, sharding, substring_dedup, token_files
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,10 +18,18 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.substring_dedup(_table(spark, folder, "documents")))
 
 
+def op4_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, folder, "embeddings"))
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.digest(sharding.shard_by_bytes(_table(spark, folder, "documents")))
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.digest(quality.judge(_table(spark, folder, "documents"), _table(spark, folder, "labels")))
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.find_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -33,6 +42,13 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.digest(line_dedup.line_dedup(_table(spark, folder, "documents")))
 
 
+def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    where = token_files.shared_folder(spark, "token-files")
+    token_files.write_tokens(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), where)
+    return token_files.token_index(spark, where)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op5_sharding, op7_decontamination, op8_ngram_join, op9_line_dedup)}
+    f.__name__: f for f in (op1_substring_dedup, op4_nearest, op5_sharding, op6_quality, op7_decontamination, op8_ngram_join,
+                            op9_line_dedup, op10_token_files)}
 SQL: dict[str, str] = {"op9_line_dedup": line_dedup.SQL}
