@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from activity_engine.llm import decontamination, line_dedup, mixing, neighbours, ngram_join, quality, sharding, substring_dedup, token_files
+from activity_engine.llm import decontamination, line_dedup, mixing, neighbours, ngram_join, pieces, quality, sharding, substring_dedup, token_files
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.substring_dedup(_table(spark, folder, "documents")))
 
 
+def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    model = pieces.Model.load(public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.digest(pieces.encode(_table(spark, folder, "documents"), model), model)
+
+
 def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.score_texts(_table(spark, folder, "documents"))
 
@@ -53,6 +58,6 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op3_lm_scoring, op4_nearest, op5_sharding, op6_quality, op7_decontamination, op8_ngram_join,
+    f.__name__: f for f in (op1_substring_dedup, op2_sentencepiece, op3_lm_scoring, op4_nearest, op5_sharding, op6_quality, op7_decontamination, op8_ngram_join,
                             op9_line_dedup, op10_token_files)}
 SQL: dict[str, str] = {"op9_line_dedup": line_dedup.SQL}
