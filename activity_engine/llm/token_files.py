@@ -32,7 +32,7 @@ from activity_engine.session import ensure_checkpoint_dir
 CHUNK = 1 << 21
 END = 2
 #: Distinct words whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 CHUNKS = "part int, chunk int, doc_ids array<long>, lengths array<long>, table binary, control binary, data binary"
 _CHUNKS = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())),
                      ("table", pa.binary()), ("control", pa.binary()), ("data", pa.binary())])
@@ -41,10 +41,15 @@ LENGTHS = np.array([[1 + (byte >> shift & 3) for shift in (0, 2, 4, 6)] for byte
 
 def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """(table, control, data) of 32-bit ids. Ids of equal frequency rank by value."""
-    found, place, count = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(ids) and int(ids.max()) < 1 << 24:  # a table over all values is faster than sorting the ids
+        count = np.bincount(ids)
+        found = np.flatnonzero(count)
+        count, place = count[found], ids
+    else:
+        found, place, count = np.unique(ids, return_inverse=True, return_counts=True)
     order = np.argsort(-count, kind="stable")
-    rank = np.empty(len(found), np.uint32)
-    rank[order] = np.arange(len(found), dtype=np.uint32)
+    rank = np.empty(int(found[-1]) + 1 if place is ids and len(found) else len(found), np.uint32)
+    rank[found[order] if place is ids else order] = np.arange(len(found), dtype=np.uint32)
     ranks = rank[place]
     extra = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     for bits in (8, 16, 24):
@@ -74,9 +79,18 @@ def unpack(table: bytes, control: bytes, data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(table, "<u4")[ranks]
 
 
+def _stem(word: bytes) -> tuple[bytes, ...]:
+    """A word in small letters, its last stop or comma apart. Words that may hold a special token stay as they are."""
+    if b"<|" in word:
+        return (word,)
+    word = word.lower()
+    return (word[:-1], word[-1:]) if word[-1:] in (b".", b",") and word[-2:-1].isalpha() else (word,)
+
+
 class WordEncoder:
-    """Ids of whole texts, word by word. Only for tokenizers that drop white space and never join across it: each distinct
-    word is then encoded once and remembered. Words are cut at ASCII white space only; a word may hold other spaces."""
+    """Ids of whole texts, word by word. Only for tokenizers that drop white space, never join across it, lower the case,
+    and part letters from marks: each distinct word is then encoded once and remembered. Words are cut at ASCII white space
+    only; a word may hold other spaces."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
         self.encode = encode
@@ -84,9 +98,22 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.place: dict[bytes, int] = {}
+        self.stems: dict[bytes, list[int]] = {}
         self.begin = self.length = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def _learn(self, new: list[bytes]) -> None:
+        """Words that only differ in the case of A-Z, or in one stop or comma after a letter, share a stem."""
+        stems = [_stem(w) for w in new]
+        unknown = list({part for stem in stems for part in stem}.difference(self.stems))
+        self.stems.update(zip(unknown, self.encode([w.decode("utf-8", "replace") for w in unknown])))
+        coded = [self.stems[stem[0]] if len(stem) == 1 else self.stems[stem[0]] + self.stems[stem[1]] for stem in stems]
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+        length = np.fromiter(map(len, coded), np.int64, len(coded))
+        self.begin = np.r_[self.begin, len(self.ids) + np.cumsum(length) - length]
+        self.length = np.r_[self.length, length]
+        self.ids = np.r_[self.ids, np.fromiter((i for c in coded for i in c), np.uint32, int(length.sum()))]
+
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has."""
         words = [text.split() for text in texts]
@@ -95,12 +122,7 @@ class WordEncoder:
             self._forget()
         new = list(set(every).difference(self.place))
         if new:
-            coded = self.encode([w.decode("utf-8", "replace") for w in new])
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-            length = np.fromiter(map(len, coded), np.int64, len(coded))
-            self.begin = np.r_[self.begin, len(self.ids) + np.cumsum(length) - length]
-            self.length = np.r_[self.length, length]
-            self.ids = np.r_[self.ids, np.fromiter((i for c in coded for i in c), np.uint32, int(length.sum()))]
+            self._learn(new)
         at = np.fromiter(map(self.place.__getitem__, every), np.int64, len(every))
         length = self.length[at]
         end = np.cumsum(length)
@@ -136,12 +158,12 @@ def _chunks(path: str, end: int, size: int):
         docs, lengths, ids, held = [], [], [], 0
         for batch in batches:
             texts, doc_ids = binary(batch.column("text")), batch.column("doc_id").to_pylist()
-            for start in range(0, len(texts), 256):
-                coded, count = encoder(texts.slice(start, 256).to_pylist())
+            for start in range(0, len(texts), 1024):
+                coded, count = encoder(texts.slice(start, 1024).to_pylist())
                 stops = np.cumsum(count)
                 ended = np.insert(coded, stops, np.uint32(end))
                 part = batch.column("part")[0].as_py()
-                docs += doc_ids[start: start + 256]
+                docs += doc_ids[start: start + 1024]
                 lengths += (count + 1).tolist()
                 ids.append(ended)
                 held += len(ended)
