@@ -44,7 +44,7 @@ def assign_scenes(
     )
 
     after_last = scenes.groupBy(album).agg((F.max("scene_id") + 1).alias("_next"))
-    left = rest.select(album, photo_id).join(by_look.select(photo_id), photo_id, "left_anti")
+    left = rest.select(album, photo_id).join(by_look.select(album, photo_id), [album, photo_id], "left_anti")
     nowhere = left.join(after_last, album, "left").select(
         album, photo_id, F.coalesce("_next", F.lit(0)).alias("scene_id"), F.lit("none").alias("placed_by")
     )
@@ -82,7 +82,7 @@ def match_music(
     ).scalar()
     anything = shots.select(photo_id, favourite.alias(track), F.lit(0.0).alias("match_score")).filter(F.col(track).isNotNull())
     levels = [
-        ("manual", manual), ("temporal", near), ("semantic", texts[0]), ("context", texts[1]), ("wide", wide),
+        ("manual", manual), ("temporal", near), ("semantic", texts[0]), ("semantic", texts[1]), ("temporal", wide),
         ("fallback", anything),
     ]
     return timejoins.cascade(shots, photo_id, levels, [track, "match_score"])

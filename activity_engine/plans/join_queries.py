@@ -75,7 +75,7 @@ _CASCADE = """with photos as (select user_id, event_id, ts, hour(ts) as h from e
   row_number() over (partition by h order by count(*) desc, track) as rn from plays group by h, track) where rn = 1 and share >= 0.05),
  favourite as (select track from plays group by track order by count(*) desc, track limit 1),
  m as (select p.user_id, p.event_id, case when f.track is not null then 'manual' when n.track is not null then 'temporal'
-  when c.track is not null then 'semantic' when h.track is not null then 'context' when w.track is not null then 'wide' else 'fallback' end as match_type,
+  when c.track is not null then 'semantic' when h.track is not null then 'semantic' when w.track is not null then 'temporal' else 'fallback' end as match_type,
   coalesce(f.track, n.track, c.track, h.track, w.track, (select track from favourite)) as track,
   round(case when f.track is not null then 1.0 when n.track is not null then n.n when c.track is not null then c.score
   when h.track is not null then h.share when w.track is not null then w.n else 0 end::double, 6) as match_score

@@ -77,10 +77,10 @@ def tables() -> dict[str, Table]:
               ["raw_title", "watch_date"],
               [q.not_null("show_title"), q.not_null("watch_date"), q.one_of("content_type", ["series", "movie"])],
               ["raw_title", "watch_date"], 10, 101),
-        Table("scenes", ["photo_id", "scene_id", "path"], ["photo_id"],
+        Table("scenes", ["album", "photo_id", "scene_id", "path"], ["album", "photo_id"],
               [q.not_null("photo_id"), q.not_null("scene_id"), q.not_null("path")]),
-        Table("scene_centroids", ["scene_id", "scene_name", "photo_count"], ["scene_id"],
-              [q.not_null("scene_id"), q.not_null("scene_name"), q.positive("photo_count")], ["scene_id"]),
+        Table("scene_centroids", ["album", "scene_id", "scene_name", "photo_count"], ["album", "scene_id"],
+              [q.not_null("scene_id"), q.not_null("scene_name"), q.positive("photo_count")], ["album", "scene_id"]),
         Table("music_matches", ["scene_id", "match_type"], ["scene_id"],
               [q.not_null("scene_id"), q.one_of("match_type", ["temporal", "semantic", "manual", "fallback", "none"])],
               ["scene_id"]),

@@ -11,7 +11,6 @@ from activity_engine.functions import urls
 
 CELL = '<div class="outer-cell'
 _LINK = r'(?s)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
-URL_SIZE = 300
 
 
 def plain(html: Column) -> Column:
@@ -40,7 +39,7 @@ def activity(spark: SparkSession, path: str, activity_type: str) -> DataFrame:
     pieces = tx.html_unescape(F.regexp_replace("content", r"(?s)<[^>]*>", " | "))
     rows = found.select(
         F.coalesce(first["text"], F.lit("")).alias("title"),
-        F.coalesce(F.substring(first["href"], 1, URL_SIZE), F.lit("")).alias("url"),
+        F.coalesce(first["href"], F.lit("")).alias("url"),
         F.when(by_author, second["text"]).otherwise(F.lit("")).alias("author"),
         cal.french_date_millis(pieces).alias("timestamp_ms"),
         F.lit(activity_type).alias("activity_type"), F.lit("google").alias("platform"),

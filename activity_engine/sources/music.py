@@ -25,11 +25,11 @@ MIN_PLAY_MS = 30_000
 
 
 def _documents(spark: SparkSession, paths: str | Sequence[str], schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(paths)
+    return spark.read.schema(schema).option("multiLine", True).json(paths) if paths else spark.createDataFrame([], schema)
 
 
 def play_history(spark: SparkSession, extended: str | Sequence[str], account: str | Sequence[str]) -> DataFrame:
-    """Plays of both histories. The same track in the same minute is one play, and the extended row is kept."""
+    """Plays of both histories, or of the one there is (no paths: none). The same track in the same minute is one play, and the extended row is kept."""
     long = _documents(spark, extended, _EXTENDED).select(
         F.try_to_timestamp("ts", F.lit(cal.ISO_Z)).alias("listen_ts"),
         F.col("master_metadata_album_artist_name").alias("artistName"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from activity_engine import schemas
 from activity_engine.functions import titles
 from activity_engine.operators import album, corpus, density, graph, profiles, quality, terms, vectors
-from activity_engine.operators.select import capped_per_source, top_per_group
+from activity_engine.operators.select import top_per_group
 from activity_engine.session import durable
 from activity_engine.sources import activity_html, clips, films, music, posts, social
 from activity_engine.warehouse import Warehouse
@@ -51,7 +51,7 @@ def ingest_music(house: Warehouse, folder: str) -> dict[str, int]:
         "spotify_playlists": (["account/Playlist*.json"], music.playlists),
         "spotify_searches": (["account/SearchQueries.json"], music.searches),
     })
-    if long and short:
+    if long or short:  # either history alone is a history
         read["spotify_streams"] = music.play_history(house.spark, long, short)
     return _store(house, read)
 
@@ -106,24 +106,24 @@ def ingest_activity_pages(house: Warehouse, searches: str | None = None, visits:
     })
 
 
-# Table, platform name, column of the instant, most rows that take part (None: all).
+# Table, platform name, column of the instant.
 PROFILE_SOURCES = (
-    ("youtube_watch", "youtube", "event_date", None),
-    ("google_searches", "google", "event_date", None),
-    ("google_chrome", "chrome", "event_date", None),
-    ("spotify_streams", "spotify", "listen_ts", None),
-    ("netflix_views", "netflix", "watch_date", None),
-    ("tiktok_watch", "tiktok", "event_date", 2000),
-    ("tiktok_likes", "tiktok_likes", "event_date", 2000),
-    ("tiktok_searches", "tiktok_search", "event_date", 1000),
-    ("instagram_likes", "instagram", "event_date", 2000),
-    ("instagram_saved", "instagram_saved", "event_date", 500),
-    ("instagram_comments", "instagram_comment", "event_date", 500),
-    ("instagram_posts_viewed", "ig_posts", "event_date", 2000),
-    ("instagram_videos_watched", "ig_videos", "event_date", 2000),
-    ("instagram_story_likes", "ig_stories", "event_date", 1000),
-    ("instagram_searches", "ig_search", "event_date", 500),
-    ("twitter_tweets", "twitter", "event_date", None),
+    ("youtube_watch", "youtube", "event_date"),
+    ("google_searches", "google", "event_date"),
+    ("google_chrome", "chrome", "event_date"),
+    ("spotify_streams", "spotify", "listen_ts"),
+    ("netflix_views", "netflix", "watch_date"),
+    ("tiktok_watch", "tiktok", "event_date"),
+    ("tiktok_likes", "tiktok_likes", "event_date"),
+    ("tiktok_searches", "tiktok_search", "event_date"),
+    ("instagram_likes", "instagram", "event_date"),
+    ("instagram_saved", "instagram_saved", "event_date"),
+    ("instagram_comments", "instagram_comment", "event_date"),
+    ("instagram_posts_viewed", "ig_posts", "event_date"),
+    ("instagram_videos_watched", "ig_videos", "event_date"),
+    ("instagram_story_likes", "ig_stories", "event_date"),
+    ("instagram_searches", "ig_search", "event_date"),
+    ("twitter_tweets", "twitter", "event_date"),
 )
 FILM_HOUR = 21  # films are dated by day
 
@@ -149,19 +149,18 @@ KEYWORD_SOURCES = {
 
 
 def unified_events(house: Warehouse) -> DataFrame | None:
-    """(platform, ts) of all activity tables there are, the big ones capped by a seeded draw."""
+    """(platform, ts) of every row with an instant of all activity tables there are."""
     parts = []
-    for table, platform, ts, most in PROFILE_SOURCES:
+    for table, platform, ts in PROFILE_SOURCES:
         df = house.read(table)
         if df is None:
             continue
         instant = F.col(ts).cast("timestamp")
         if table == "netflix_views":
             instant = instant + F.make_dt_interval(hours=F.lit(FILM_HOUR))
-        rows = df.select(F.lit(platform).alias("platform"), instant.alias("ts"), F.xxhash64(*df.columns).alias("_id"))
-        rows = rows.filter(F.col("ts").isNotNull())
-        parts.append(rows if most is None else capped_per_source(rows, "platform", "_id", most, seed=42))
-    return reduce(DataFrame.unionByName, parts).drop("_id") if parts else None
+        rows = df.select(F.lit(platform).alias("platform"), instant.alias("ts"))
+        parts.append(rows.filter(F.col("ts").isNotNull()))
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def profile_behaviour(house: Warehouse, k: int = 4) -> dict[str, int]:
@@ -204,7 +203,7 @@ def build_album(house: Warehouse, photos: DataFrame, gap_hours: float = 6.0, thr
     """Scenes and their centroids from photos (album, photo_id, path, filename, exif_date, embedding)."""
     held = durable(photos)
     placed = album.assign_scenes(held, "album", "photo_id", "exif_date", "filename", "embedding", gap_hours * 3600, threshold)
-    scenes = durable(held.join(placed.drop("album"), "photo_id"))
+    scenes = durable(held.join(placed, ["album", "photo_id"]))
     keyed = scenes.withColumn("_scene", F.struct("album", "scene_id"))
     means = vectors.centroids(keyed, "_scene", "embedding", F.min("exif_date").alias("timestamp_start"),
                               F.max("exif_date").alias("timestamp_end"), F.min("scene_name").alias("scene_name"))
@@ -214,7 +213,7 @@ def build_album(house: Warehouse, photos: DataFrame, gap_hours: float = 6.0, thr
         F.col("centroid").alias("centroid_embedding"), F.col("representative").alias("representative_photo"),
         "timestamp_start", "timestamp_end")
     return {
-        "scenes": house.upsert("scenes", scenes.drop("embedding"), ["photo_id"], ["scene_id"]),
+        "scenes": house.upsert("scenes", scenes.drop("embedding"), ["album", "photo_id"], ["scene_id"]),
         "scene_centroids": house.upsert("scene_centroids", made, ["album", "scene_id"], ["photo_count"]),
     }
 

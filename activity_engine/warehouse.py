@@ -19,15 +19,17 @@ class Warehouse:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _listed(self, pattern: str) -> list:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{pattern}")
+        return [s.getPath() for s in path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []]
+
     def _versions(self, name: str) -> list[str]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/v*/_SUCCESS")
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(s.getPath().getParent().toString() for s in files.globStatus(path) or [])
+        return sorted(p.getParent().toString() for p in self._listed(f"{name}/v*/_SUCCESS"))
 
     def _next(self, name: str) -> str:
-        versions = self._versions(name)
-        number = int(versions[-1].rsplit("/v", 1)[1]) + 1 if versions else 1
-        return f"{self.root}/{name}/v{number:06d}"
+        """The folder after every other, those that a lost job left unfinished among them."""
+        numbers = [int(p.getName()[1:]) for p in self._listed(f"{name}/v*") if p.getName()[1:].isdigit()]
+        return f"{self.root}/{name}/v{max(numbers, default=0) + 1:06d}"
 
     def exists(self, name: str) -> bool:
         return self.read(name) is not None

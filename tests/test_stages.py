@@ -50,6 +50,32 @@ def test_ingest_twice_then_profile(spark, house, tmp_path):
     assert checks["netflix_views", "watch_date not_null"] and not checks["netflix_views", "required"] and checks["spotify_streams", "unique"]
 
 
+def test_profiles_read_whole_tables_and_single_histories(spark, house, tmp_path):
+    inbox = tmp_path / "in"
+    write(inbox / "account/StreamingHistory_music_0.json", [
+        {"endTime": "2024-01-05 08:00", "artistName": "a", "trackName": f"t{i}", "msPlayed": 40000} for i in range(3)])
+    assert stages.ingest_music(house, str(inbox))["spotify_streams"] == 3
+    clips = write(tmp_path / "c.json", {"Your Activity": {"Watch History": {"VideoList": [
+        {"Link": f"https://t/video/{i}", "Date": f"2024-01-{i % 28 + 1:02d} 23:{i // 28 % 60:02d}:30"} for i in range(2300)]}}})
+    watched = stages.ingest_clips(house, clips, "me", "s")["tiktok_watch"]
+    assert watched > 2000
+    counts = {r["platform"]: r["count"] for r in stages.unified_events(house).groupBy("platform").count().collect()}
+    assert counts == {"spotify": 3, "tiktok": watched}
+
+
+def test_two_albums_with_equal_photo_ids(spark, house):
+    def at(day):
+        return dt.datetime(2024, 1, day, 12)
+
+    photos = spark.createDataFrame(
+        [(album, f"{i}", f"/{album}/{i}.jpg", f"{i}.jpg", at(1 + i // 3), [1.0, i / 10]) for album in ("a", "b") for i in range(6)],
+        "album string, photo_id string, path string, filename string, exif_date timestamp_ntz, embedding array<double>")
+    assert stages.build_album(house, photos) == {"scenes": 12, "scene_centroids": 4}
+    assert all(r["photo_count"] == 3 for r in house.read("scene_centroids").collect())
+    checks = {(r["table_name"], r["check"]): r["passed"] for r in stages.check_warehouse(house).collect()}
+    assert checks["scene_centroids", "unique"]
+
+
 def test_messages_to_corpus_and_contacts(spark, house, tmp_path):
     def thread(folder, people, n):
         write(tmp_path / f"ig/messages/inbox/{folder}/message_1.json", {

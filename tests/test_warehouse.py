@@ -59,6 +59,18 @@ def test_unfinished_version_is_not_read(spark, house, tmp_path):
     assert house.read("t").count() == 1
 
 
+def test_writing_goes_on_after_a_lost_job(spark, house, tmp_path):
+    batch = spark.createDataFrame([("a", 1, 1)], SCHEMA)
+    for name, write in (("o", lambda: house.overwrite("o", batch)), ("u", lambda: house.upsert("u", batch, ["k"])),
+                        ("i", lambda: house.insert_absent("i", batch, ["k", "t"]))):
+        (tmp_path / f"house/{name}/v000001").mkdir(parents=True)
+        (tmp_path / f"house/{name}/v000001/part-0").write_text("left over")
+        assert write() == 1 and house.read(name).count() == 1
+    house.overwrite("o", batch)
+    (tmp_path / "house/o/v000009").mkdir()
+    assert house.upsert("o", spark.createDataFrame([("b", 1, 1)], SCHEMA), ["k"]) == 2
+
+
 def test_read_tolerates_missing_tables_and_columns(spark, house):
     assert house.read("none") is None and not house.exists("none")
     house.overwrite("t", spark.createDataFrame([("a", 1, 1)], SCHEMA))
