@@ -6,11 +6,12 @@ know about its own keys. A key therefore never has more rows than there are bloc
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,6 +20,13 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release(spark: SparkSession) -> None:
+    """Between the phases of a long job: Spark deletes shuffle files only once the driver's JVM has found that no plan needs
+    them any more, which may take it half an hour by itself."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def dealt(docs: DataFrame, *columns: str, per_partition: float = 2) -> DataFrame:
     """``doc_id``, ``text`` as bytes, other columns, and ``block``: ``per_partition`` blocks for a shuffle partition.
     The block follows the id, and the text where ids are missing or repeated many times."""

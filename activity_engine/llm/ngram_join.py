@@ -3,7 +3,7 @@
 Every set is put in one global order: by hash, with the very frequent n-grams last. Two similar sets share an n-gram
 among the first few of each (the *prefix*), so only n-grams that stand in the prefixes of two sets lead anywhere.
 
-1. ``frequent``: n-grams that make up more than 2**-20 of all, at most 2**20 of them, found by counting.
+1. ``frequent``: n-grams that make up more than 2**-22 of all, at most 2**22 of them, found by counting.
 2. Per block of documents the sets are made; a grouped minimum tells each block which of its prefix n-grams, and which
    whole sets, other documents have too. One document stands for all with the same set.
 3. Each set meets the least set of the groups in which it has most prefix n-grams in common; after that, groups are only
@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from activity_engine.llm import blocks
 from activity_engine.llm.components import components
@@ -29,7 +31,7 @@ from activity_engine.session import durable
 N = 5
 PERCENT = 80
 #: An n-gram is frequent if it makes up more than this share of all; that bounds their number.
-FREQUENT = 1 / (1 << 20)
+FREQUENT = 1 / (1 << 22)
 #: Partners of one document that are verified in one task.
 FAN = 256
 _U = np.uint64
@@ -73,9 +75,13 @@ def _local_counts(n: int):
     """n-grams that occur several times in one batch, and at key 0 the number of all."""
     def run(batches):
         for batch in batches:
-            words = [cut(texts, lower=True) for _, texts in slices(batch)]
-            found = [w.grams(n)[w.inside(n)] for w in words]
-            every = np.sort(np.concatenate(found)) if found else np.zeros(0, _U)
+            found = []
+            for _, texts in slices(batch):
+                words = cut(texts, lower=True)
+                found.append(words.grams(n)[words.inside(n)])
+            every = np.concatenate(found) if found else np.zeros(0, _U)
+            del found
+            every.sort()
             new = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
             count = np.diff(np.r_[new, len(every)])
             often = count >= 3
@@ -95,6 +101,11 @@ def frequent(docs: DataFrame, n: int = N) -> np.ndarray:
     return np.sort(np.array([r.key for r in rows], np.int64).view(_U))
 
 
+def _opened(table: pa.Table):
+    """Slices of the documents of one block."""
+    return (part for batch in blocks.opened(table) for part in slices(batch))
+
+
 def _class_keys(held: np.ndarray) -> list[np.ndarray]:
     """Two names of a whole set, apart from the names of n-grams."""
     size = _U(len(held))
@@ -102,27 +113,38 @@ def _class_keys(held: np.ndarray) -> list[np.ndarray]:
 
 
 def _keys(n: int, percent: int, late: np.ndarray):
+    """(block, key, lo, hi): names of whole sets with the least and largest id that has them; of prefix n-grams only whether
+    the block holds them once (0, 0) or in several documents (0, 1)."""
     def run(docs: pa.Table) -> pa.Table:
-        keys, owners = [], []
-        for part, texts in slices(docs):
+        keys, owners, grams = [np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, _U)]
+        for part, texts in _opened(docs):
             for doc, held in zip(ids(part.column("doc_id")), sets_of(texts, n)):
                 if len(held):
-                    mine = [ordered(held, late)[:prefix_length(len(held), percent)], *_class_keys(held)]
-                    keys += mine
-                    owners.append(np.full(sum(map(len, mine)), doc))
-        key = np.concatenate(keys) if keys else np.zeros(0, _U)
-        doc = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+                    grams.append(ordered(held, late)[:prefix_length(len(held), percent)])
+                    keys += _class_keys(held)
+                    owners.append(np.full(2, doc))
+        key, doc = np.concatenate(keys), np.concatenate(owners)
         order = np.argsort(key, kind="stable")
         key, doc = key[order], doc[order]
         new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         ends = [f.reduceat(doc, new) if len(new) else doc for f in (np.minimum, np.maximum)]
-        block = docs.column("block")[0].as_py()
-        return pa.table([pa.array(c) for c in (np.full(len(new), block, np.int32), signed(key[new]), *ends)],
-                        names=["block", "key", "lo", "hi"])
+        gram, count = np.unique(np.concatenate(grams), return_counts=True)
+        none = np.zeros(len(gram), np.int64)
+        block = np.full(len(new) + len(gram), docs.column("block")[0].as_py(), np.int32)
+        columns = (block, signed(np.r_[key[new], gram]), np.r_[ends[0], none], np.r_[ends[1], np.minimum(count - 1, 1)])
+        return pa.table([pa.array(c) for c in columns], names=["block", "key", "lo", "hi"])
 
     return run
 
 
+def _recurring(keys: DataFrame) -> DataFrame:
+    """Rows (block, key, owner) of keys that several documents have. A key has a row per block at most."""
+    over = Window.partitionBy("key")
+    told = keys.withColumn("owner", F.min("lo").over(over)).withColumn("last", F.max("hi").over(over)).withColumn(
+        "blocks", F.count("*").over(over))
+    return told.where("blocks > 1 or owner < last").select("block", "key", "owner")
+
+
 _SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()),
                    ("tokens", pa.list_(pa.int64())), ("text", pa.binary())])
 
@@ -138,7 +160,7 @@ def _reduced(n: int, percent: int, late: np.ndarray):
             return np.minimum(np.searchsorted(key, values), max(len(key) - 1, 0))
 
         rows = []
-        for part, texts in slices(docs):
+        for part, texts in _opened(docs):
             for i, (doc, held) in enumerate(zip(ids(part.column("doc_id")).tolist(), sets_of(texts, n))):
                 first, tokens, text = doc, None, None
                 if len(held) and len(key):
@@ -148,7 +170,7 @@ def _reduced(n: int, percent: int, late: np.ndarray):
                         mine = ordered(held, late)[:prefix_length(len(held), percent)]
                         mine = mine[key[look(mine)] == mine]
                         if len(mine):
-                            tokens, text = signed(mine), texts[i].as_py()
+                            tokens, text = signed(mine), zstandard.compress(texts[i].as_py())
                 rows.append((doc, len(held), first, tokens, text))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _SETS)] if rows else _SETS.empty_table().columns, schema=_SETS)
 
@@ -198,7 +220,9 @@ class PrefixTree:
 def _verified(n: int, percent: int):
     """Links between the document that a group is named after and its partners, all with their texts."""
     def run(table: pa.Table) -> pa.Table:
-        rows = [(doc, held) for part, texts in slices(table) for doc, held in zip(ids(part.column("doc_id")).tolist(), sets_of(texts, n))]
+        plain = pa.table([table.column("doc_id"), pa.array([zstandard.decompress(t) for t in table.column("text").to_pylist()], pa.binary())],
+                         names=["doc_id", "text"])
+        rows = [(doc, held) for part, texts in slices(plain) for doc, held in zip(ids(part.column("doc_id")).tolist(), sets_of(texts, n))]
         hub = table.column("hub")[0].as_py()
         probe = next((held for doc, held in rows if doc == hub), None)
         partners = [(doc, held) for doc, held in rows if doc != hub]
@@ -219,6 +243,15 @@ def _links(pairs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame
     return dealt.unionByName(hubs).join(texts, "doc_id").groupBy("hub", "fan").applyInArrow(_verified(n, percent), "a long, b long")
 
 
+def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Every document's size and class, and the shared prefix n-grams and packed text of the first of a class."""
+    late = frequent(docs, n)
+    texts = blocks.packed(docs.where("doc_id is not null"))
+    keys = texts.groupBy("block").applyInArrow(_keys(n, percent, late), "block int, key long, lo long, hi long")
+    return durable(texts.groupBy("block").cogroup(_recurring(keys).groupBy("block")).applyInArrow(
+        _reduced(n, percent, late), "doc_id long, n_shingles long, class long, tokens array<long>, text binary"))
+
+
 def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every row with an id.
 
@@ -226,54 +259,57 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Dat
     Null, empty and blank texts have no n-grams and form components of their own. Repeated rows repeat; rows without an
     id cannot be linked and are left out. Columns other than ``doc_id`` and ``text`` are not read.
     """
-    late = frequent(docs, n)
-    texts = blocks.dealt(docs.where("doc_id is not null"))
-    by_block = lambda df: df.groupBy("block")
-    keys = by_block(texts).applyInArrow(_keys(n, percent, late), "block int, key long, lo long, hi long")
-    sets = durable(by_block(texts).cogroup(by_block(blocks.recurring(keys))).applyInArrow(
-        _reduced(n, percent, late), "doc_id long, n_shingles long, class long, tokens array<long>, text binary"))
-
-    index = sets.where("tokens is not null").select("doc_id", F.col("n_shingles").alias("size"), F.explode("tokens").alias("token"))
-    met = index.groupBy("token").agg(F.min("doc_id").alias("hub"), F.count("*").alias("docs")).where("docs > 1")
-    best = (index.join(met, "token").where("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count("*").alias("common"))
-            .groupBy("doc_id").agg(F.max_by("hub", F.struct("common", -F.col("hub"))).alias("hub")))
-    near = durable(_links(best, sets, n, percent))
-    label = components(near)
-
-    groups = index.join(met.select("token"), "token").join(label, index["doc_id"] == label["node"], "left").select(
-        "token", "doc_id", "size", F.coalesce("component", "doc_id").alias("label"))
-    return _finish(sets, near, groups, n, percent)
-
-
-def _finish(sets: DataFrame, near: DataFrame, groups: DataFrame, n: int, percent: int) -> DataFrame:
-    """Verify what is not connected yet, and name every document's component."""
-    sizes = sets.where("tokens is not null").select("doc_id", F.col("n_shingles").alias("size"))
-    pairs = _cross_pairs(groups, percent).withColumnRenamed("n", "common")
-    one, two = (sizes.select(F.col("doc_id").alias(k), F.col("size").alias(f"size_{k}")) for k in ("a", "b"))
-    # of |a| - o and |b| - o n-grams that the other lacks, a prefix can hold no more
-    want = F.expr(f"cast(ceil({percent} * (size_a + size_b) / {100 + percent}) as long)")
-    free = [F.expr(f"size_{k} - cast(ceil({percent} * size_{k} / 100) as long) + 1") - (F.col(f"size_{k}") - want) for k in ("a", "b")]
-    likely = pairs.join(one, "a").join(two, "b").where(F.col("common") >= F.least(*free))
-    rest = durable(_links(likely.select(F.col("a").alias("hub"), F.col("b").alias("doc_id")), sets, n, percent))
+    sets = _sets(docs, n, percent)
+    blocks.release(docs.sparkSession)
+    shared = sets.where("tokens is not null").select("doc_id", F.col("n_shingles").alias("size"), "tokens")
+    near = durable(_links(_nearest(shared, percent), sets, n, percent))
+    blocks.release(docs.sparkSession)
+    rest = durable(_links(_unconnected(shared, components(near), percent), sets, n, percent))
+    blocks.release(docs.sparkSession)
     found = components(near.unionByName(rest))
     return (sets.join(found, sets["class"] == found["node"], "left").select(
         "doc_id", "n_shingles", F.col("class").alias("class_id"), F.coalesce("component", "class").alias("component_id")))
 
 
-def _cross_pairs(groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b, n): documents with different labels that meet in n groups and are alike enough in length.
+def _alike(a: str, b: str, percent: int) -> Column:
+    """Whether sets of two sizes can be similar at all."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _least_common(a: str, b: str, percent: int) -> Column:
+    """n-grams that the prefixes of similar sets of two sizes have in common at least: what one set holds and the other
+    lacks, size - overlap at most, cannot fill the prefix."""
+    overlap = F.expr(f"cast(ceil({percent} * ({a} + {b}) / {100 + percent}) as long)")
+    return F.least(*[F.expr(f"{k} - cast(ceil({percent} * {k} / 100) as long) + 1") - (F.col(k) - overlap) for k in (a, b)])
+
+
+def _nearest(shared: DataFrame, percent: int) -> DataFrame:
+    """(hub, doc_id): for each set the least set of the groups it meets, where it meets one in groups enough."""
+    index = shared.select("doc_id", "size", F.explode("tokens").alias("token"))
+    least = index.groupBy("token").agg(F.min(F.struct("doc_id", "size")).alias("hub"), F.count("*").alias("docs")).where("docs > 1")
+    met = index.join(least.select("token", F.col("hub.doc_id").alias("hub"), F.col("hub.size").alias("hub_size")), "token")
+    counted = (met.where((F.col("doc_id") != F.col("hub")) & _alike("size", "hub_size", percent))
+               .groupBy("doc_id", "size", "hub", "hub_size").agg(F.count("*").alias("common"))
+               .where(F.col("common") >= _least_common("size", "hub_size", percent)))
+    return counted.groupBy("doc_id").agg(F.max_by("hub", F.struct("common", -F.col("hub"))).alias("hub"))
+
+
+def _unconnected(shared: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """(hub, doc_id): pairs with different labels that meet in as many groups as similar sets of their sizes must.
 
-    Within a group the members of its commonest label need not meet each other, so only the others look for partners.
-    They do so among their own length class and its neighbours.
+    In a group the members of its commonest label need not meet each other, so only the others look for partners, and only
+    among those that share enough of their prefix with anything at all.
     """
-    counts = groups.groupBy("token", "label").agg(F.count("*").alias("members"))
-    major = counts.groupBy("token").agg(F.max_by("label", F.struct("members", -F.col("label"))).alias("major"), F.count("*").alias("labels"))
-    mixed = groups.join(major.where("labels > 1").drop("labels"), "token").withColumn(
-        "rung", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int"))
-    seeking = mixed.where("label <> major").select("token", "rung", *[F.col(c).alias(f"{c}_x") for c in ("doc_id", "size", "label")])
-    others = mixed.select("token", F.explode(F.array("rung", F.col("rung") - 1, F.col("rung") + 1)).alias("rung"), "major",
-                          *[F.col(c).alias(f"{c}_y") for c in ("doc_id", "size", "label")])
-    alike = 100 * F.least("size_x", "size_y") >= percent * F.greatest("size_x", "size_y")
+    labelled = shared.join(label, shared["doc_id"] == label["node"], "left").select(
+        "doc_id", "size", F.size("tokens").alias("held"), F.coalesce("component", "doc_id").alias("label"), F.explode("tokens").alias("token"))
+    counts = labelled.groupBy("token", "label").agg(F.count("*").alias("members"))
+    mixed = (counts.groupBy("token").agg(F.max_by("label", F.struct("members", -F.col("label"))).alias("major"), F.count("*").alias("labels"))
+             .where("labels > 1").drop("labels"))
+    group = labelled.join(mixed, "token")
+    one, two = (group.select("token", "major", *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "size", "held", "label")]) for k in "xy")
     once = (F.col("label_y") == F.col("major")) | (F.col("doc_id_x") < F.col("doc_id_y"))
-    met = seeking.join(others, ["token", "rung"]).where((F.col("label_x") != F.col("label_y")) & alike & once)
-    return met.groupBy(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).agg(F.count("*").alias("n"))
+    want = _least_common("size_x", "size_y", percent)
+    met = one.where("label_x <> major").drop("major").join(two, "token").where(
+        (F.col("label_x") != F.col("label_y")) & once & _alike("size_x", "size_y", percent) & (F.least("held_x", "held_y") >= want))
+    pairs = met.groupBy("doc_id_x", "size_x", "doc_id_y", "size_y").agg(F.count("*").alias("common")).where(F.col("common") >= want)
+    return pairs.select(F.least("doc_id_x", "doc_id_y").alias("hub"), F.greatest("doc_id_x", "doc_id_y").alias("doc_id")).distinct()
