@@ -8,23 +8,28 @@ edges of the unit's lattice, and folded with Spark's ``aggregate``:
 * merge (BPE) models, whose ids no best path gives: the merges themselves, the best remaining edge that joins two
   neighbouring symbols first, the leftmost of equals.
 
-Symbols without a piece become byte pieces. Units reach the documents by block: a block sends its distinct units, gets
-their ids, and puts its texts together. Decoding joins pieces, turns byte pieces into bytes and takes the first space off.
+Symbols without a piece become byte pieces. Texts and units meet by block, a batch of documents named by a hash of what
+it holds: its texts travel as numbers of units, its distinct units get their ids, and both are put together again. Decoding
+joins pieces, turns byte pieces into bytes and takes the first space off.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from activity_engine.llm import blocks
+from activity_engine.llm.blocks import shuffle_partitions
+from activity_engine.llm.words import binary
 
 MARK = "▁"
 #: Longer units (in characters) are left to the library itself, one at a time, as a fold takes their length squared.
@@ -41,7 +46,6 @@ class Model:
     kind: int
     pieces: tuple[tuple[str, int, float], ...]
     bytes_from: int
-    unknown: int
     longest: int
 
     @staticmethod
@@ -59,7 +63,7 @@ class Model:
         pieces = tuple((processor.id_to_piece(i), i, processor.get_score(i)) for i in plain)
         if any(MARK in p.lstrip(MARK) for p, _, _ in pieces):
             raise ValueError("a piece crosses words")
-        return Model(path, raw.trainer_spec.model_type, pieces, processor.piece_to_id("<0x00>"), processor.unk_id(), max(len(p) for p, _, _ in pieces))
+        return Model(path, raw.trainer_spec.model_type, pieces, processor.piece_to_id("<0x00>"), max(len(p) for p, _, _ in pieces))
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.pieces), "piece string, id int, score double")
@@ -73,33 +77,55 @@ def units(text: str) -> list[str]:
     return _UNITS.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-def _documents(table: pa.Table):
-    """(doc_id, text) of the documents of one block."""
-    for batch in blocks.opened(table):
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            yield doc, (text or b"").decode("utf-8", "replace")
+def _block(batch: pa.RecordBatch) -> tuple[int, list[str]]:
+    """The name of a batch, a hash of its ids and texts, and its texts."""
+    name, texts = xxhash.xxh3_64(), binary(batch.column("text")).to_pylist()
+    for doc, text in zip(batch.column("doc_id").to_pylist(), texts):
+        name.update(f"{doc},{len(text)};")
+        name.update(text)
+    return name.intdigest() - (1 << 63), [t.decode("utf-8", "replace") for t in texts]
 
 
-def _places(documents) -> dict[str, int]:
-    """Distinct units in the order of their first place."""
-    place: dict[str, int] = {}
-    for _, text in documents:
-        for unit in units(text):
-            place.setdefault(unit, len(place))
-    return place
+def _numbered(texts: list[str]) -> tuple[dict[str, int], list[list[str]]]:
+    """Distinct units in the order of their first place, and the units of each text."""
+    cut = [units(text) for text in texts]
+    return dict(zip(dict.fromkeys(chain.from_iterable(cut)), count())), cut
 
 
-def _block_units(path: str):
-    def run(table: pa.Table) -> pa.Table:
-        block, found = table.column("block")[0].as_py(), list(_places(_documents(table)))
-        long = [u if len(u) <= LONGEST else None for u in found]
-        keep = [i for i, u in enumerate(long) if u is not None]
-        return pa.table([pa.array([block] * len(keep), pa.int32()), pa.array(keep, pa.int32()), pa.array([found[i] for i in keep], pa.string())],
-                        names=["block", "place", "unit"])
+_LONG = pa.list_(pa.struct([("place", pa.int32()), ("ids", pa.list_(pa.int32()))]))
+_TEXTS = ("block long, doc_ids array<long>, lengths array<int>, distinct long, numbers binary, "
+          "long array<struct<place: int, ids: array<int>>>")
+
+
+def _texts(path: str):
+    """A batch of texts as numbers of units, byte by byte, and the ids of overlong units."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, texts = _block(batch)
+            place, cut = _numbered(texts)
+            numbers = np.fromiter(map(place.__getitem__, chain.from_iterable(cut)), "<u4", sum(map(len, cut)))
+            planes = numbers.view(np.uint8).reshape(-1, 4).T
+            long = [{"place": i, "ids": _long_unit(path, u)} for u, i in place.items() if len(u) > LONGEST]
+            columns = ([block], [batch.column("doc_id").to_pylist()], [[len(found) for found in cut]], [len(place)],
+                       [zstandard.compress(planes.tobytes())], [long])
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.binary(), _LONG)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
+                                             names=["block", "doc_ids", "lengths", "distinct", "numbers", "long"])
 
     return run
 
 
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, place, unit) of the distinct units of each batch, in the order of the alphabet, which packs well."""
+    for batch in batches:
+        block, texts = _block(batch)
+        place, _ = _numbered(texts)
+        found = sorted(u for u in place if len(u) <= LONGEST)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(found), block)), pa.array([place[u] for u in found], pa.int32()), pa.array(found, pa.string())],
+            names=["block", "place", "unit"])
+
+
 def lattices(found: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """(unit, edges) of distinct units: every substring that is a piece, as (start, stop, id, score)."""
     n = F.length("unit")
@@ -156,8 +182,7 @@ def viterbi(unit: Column, edges: Column, unknown: float) -> Column:
         into = F.transform(F.filter(every, lambda e: e["stop"] == stop), lambda e: F.struct(
             (F.get(best, e["start"])["score"] + e["score"]).alias("score"),
             F.concat(F.get(best, e["start"])["ends"], F.array(stop)).alias("ends")))
-        top = F.aggregate(into, F.get(into, F.lit(0)), lambda a, b: F.when(b["score"] > a["score"], b).otherwise(a))
-        return F.concat(best, F.array(top))
+        return F.concat(best, F.array(F.array_max(into)))
 
     return F.aggregate(F.sequence(F.lit(1), n), first, reach, lambda best: F.element_at(best, -1)["ends"])
 
@@ -184,52 +209,46 @@ def unit_ids(found: DataFrame, model: Model) -> DataFrame:
 _PROCESSORS: dict = {}
 
 
-def _library(path: str):
+def _long_unit(path: str, unit: str) -> list[int]:
+    """Ids of one unit by the library, which puts a space before what it is given."""
     if path not in _PROCESSORS:
         from sentencepiece import SentencePieceProcessor
 
         _PROCESSORS[path] = SentencePieceProcessor(model_file=path)
-    return _PROCESSORS[path]
-
-
-def _long_unit(path: str, unit: str) -> list[int]:
-    """Ids of one unit by the library, which puts a space before what it is given."""
-    library = _library(path)
+    library = _PROCESSORS[path]
     if unit.startswith(MARK):
         return library.encode(unit[1:].replace(MARK, " "))
     apart = library.encode("\n")  # a control character keeps the first space from the unit
     return library.encode("\n" + unit.replace(MARK, " "))[len(apart):]
 
 
-def _texts_ids(path: str):
-    def run(packed: pa.Table, coded: pa.Table) -> pa.Table:
-        documents = list(_documents(packed))
-        place = _places(documents)
-        lists = coded.column("ids").combine_chunks()
-        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-        begin = np.zeros(len(place), np.int64)
-        length = np.full(len(place), -1, np.int64)
-        offsets = lists.offsets.to_numpy().astype(np.int64) if len(lists) else np.zeros(1, np.int64)
-        at = coded.column("place").to_numpy()
-        begin[at], length[at] = offsets[:-1], np.diff(offsets)
-        flat = lists.values.to_numpy() if len(lists) else np.zeros(0, np.int32)
-        names, rest, base = list(place), [], len(flat)
-        for i in np.flatnonzero(length < 0).tolist():
-            ids = _long_unit(path, names[i])
-            begin[i], length[i] = base, len(ids)
-            base += len(ids)
-            rest += ids
-        flat = np.concatenate([flat, np.array(rest, np.int32)])
-        out, size = [], [0]
-        for _, text in documents:
-            of = np.fromiter(map(place.__getitem__, units(text)), np.int64)
-            n = length[of]
-            stop = np.cumsum(n)
+def _joined(wide: int):
+    """Put the ids of a block's units where its texts have their numbers."""
+    def run(texts: pa.Table, coded: pa.Table) -> pa.Table:
+        raw, at = coded.column("ids").to_pylist(), coded.column("place").to_numpy()
+        mine = np.fromiter(map(len, raw), np.int64, len(raw)) // wide
+        coded_ids = np.frombuffer(b"".join(raw), f"<u{wide}").astype(np.int32)
+        out, size, docs = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], []
+        for row in texts.to_pylist():
+            begin, length = np.zeros(row["distinct"], np.int64), np.full(row["distinct"], -1, np.int64)
+            begin[at], length[at] = np.cumsum(mine) - mine, mine
+            rest, base = [], len(coded_ids)
+            for long in row["long"]:
+                begin[long["place"]], length[long["place"]] = base + len(rest), len(long["ids"])
+                rest += long["ids"]
+            if (length < 0).any():
+                raise ValueError("the texts came in other batches when they were read again; write them to a table first")
+            flat = np.r_[coded_ids, np.array(rest, np.int32)]
+            planes = np.frombuffer(zstandard.decompress(row["numbers"]), np.uint8).reshape(4, -1)
+            numbers = np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+            each = length[numbers]
+            stop = np.cumsum(each)
             total = int(stop[-1]) if len(stop) else 0
-            out.append(flat[np.repeat(begin[of] - (stop - n), n) + np.arange(total)])
-            size.append(size[-1] + total)
-        ids = pa.ListArray.from_arrays(pa.array(np.array(size, np.int32)), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
-        return pa.table([pa.array([d for d, _ in documents], pa.int64()), ids], names=["doc_id", "ids"])
+            out.append(flat[np.repeat(begin[numbers] - (stop - each), each) + np.arange(total)])
+            size.append(np.r_[0, stop][np.cumsum(np.array(row["lengths"], np.int64))] + size[-1][-1])
+            docs += row["doc_ids"]
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate(size).astype(np.int32)), pa.array(np.concatenate(out)))
+        return pa.table([pa.array(docs, pa.int64()), ids], names=["doc_id", "ids"])
 
     return run
 
@@ -238,13 +257,24 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, ids) of every row of ``docs``, as the model's own library encodes the whole text.
 
     Null and empty texts have no ids. Repeated rows repeat, rows without an id are kept. Bytes that are no UTF-8 count as
-    replacement characters. An empty table gives no rows.
+    replacement characters. An empty table gives no rows. ``docs`` is read twice and must give the same batches both times,
+    as files do; a difference is an error, never a wrong id.
     """
-    texts = blocks.packed(docs, per_partition=0.5)
-    found = texts.groupBy("block").applyInArrow(_block_units(model.path), "block int, place int, unit string")
-    by_unit = found.repartition(blocks.shuffle_partitions(docs), "unit")
-    coded = by_unit.join(unit_ids(by_unit.select("unit").distinct(), model), "unit").select("block", "place", "ids")
-    return texts.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_texts_ids(model.path), _RESULT)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts = rows.mapInArrow(_texts(model.path), _TEXTS)
+    # a unit's lattice is some twenty rows, so a partition of units is an eighth of a partition of texts
+    found = rows.mapInArrow(_units, "block long, place int, unit string").repartition(8 * shuffle_partitions(docs), "unit")
+    # counted over place as well, so that both sides of the join read one exchange
+    distinct = found.groupBy("unit").agg(F.count("place").alias("n"), F.min("block").alias("b")).where("n > 0 and b is not null").select("unit")
+    wide = 2 if max((i for _, i, _ in model.pieces), default=0) < 1 << 16 else 4
+
+    def little_endian(id_: Column) -> Column:
+        digits = F.lpad(F.hex(id_), 2 * wide, "0")
+        return F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(wide))])
+
+    coded = found.join(unit_ids(distinct, model), "unit").select(
+        "block", "place", F.unhex(F.array_join(F.transform("ids", little_endian), "")).alias("ids"))
+    return texts.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_joined(wide), _RESULT)
 
 
 def _decoded(pieces: tuple[tuple[str, int, float], ...], bytes_from: int):
