@@ -7,7 +7,9 @@ among the first few of each (the *prefix*), so only n-grams that stand in the pr
 2. Per block of documents the sets are made; a grouped minimum tells each block which of its prefix n-grams, and which
    whole sets, other documents have too. One document stands for all with the same set.
 3. Each set meets the least set of the groups in which it has most prefix n-grams in common; after that, groups are only
-   searched for pairs that are not connected yet, that are alike enough in length, and that share enough of their prefixes.
+   searched for pairs that are not connected yet, that are alike enough in length, that share enough of their prefixes, and
+   whose *marks* do not tell them apart. A set's marks are bits, each flipped once for every n-gram that falls on it: two
+   sets differ in at least as many n-grams as in marks, so a pair whose marks differ too often cannot be similar.
 4. Pairs are verified around one of the two: its partners' ordered sets form a prefix tree, which is walked with the
    overlap so far; equal beginnings are compared once, and a subtree is left when the remaining lengths cannot suffice.
 
@@ -34,6 +36,8 @@ PERCENT = 80
 FREQUENT = 1 / (1 << 22)
 #: Partners of one document that are verified in one task.
 FAN = 256
+#: 64-bit words of a set's marks.
+MARKS = 8
 _U = np.uint64
 
 
@@ -146,11 +150,18 @@ def _recurring(keys: DataFrame) -> DataFrame:
 
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()),
-                   ("tokens", pa.list_(pa.int64())), ("text", pa.binary())])
+                   ("tokens", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64())), ("text", pa.binary())])
+
+
+def marks(held: np.ndarray) -> np.ndarray:
+    """``MARKS`` words of bits: whether an odd number of the set's n-grams falls on each. The low bits of a hash choose it,
+    as the high ones give the order."""
+    odd = np.bincount((held % _U(64 * MARKS)).astype(np.int64), minlength=64 * MARKS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _reduced(n: int, percent: int, late: np.ndarray):
-    """Every document's size and class; the first of a class also carries its shared prefix n-grams and its text."""
+    """Every document's size and class; the first of a class also carries its shared prefix n-grams, marks and text."""
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
         key = known.column("key").to_numpy().view(_U)
         order = np.argsort(key)
@@ -162,7 +173,7 @@ def _reduced(n: int, percent: int, late: np.ndarray):
         rows = []
         for part, texts in _opened(docs):
             for i, (doc, held) in enumerate(zip(ids(part.column("doc_id")).tolist(), sets_of(texts, n))):
-                first, tokens, text = doc, None, None
+                first, tokens, bits, text = doc, None, None, None
                 if len(held) and len(key):
                     names = [int(owner[p]) if key[p] == name else doc for name in map(lambda k: k[0], _class_keys(held)) for p in [look(name)]]
                     first = names[0] if names[0] == names[1] else doc
@@ -170,8 +181,8 @@ def _reduced(n: int, percent: int, late: np.ndarray):
                         mine = ordered(held, late)[:prefix_length(len(held), percent)]
                         mine = mine[key[look(mine)] == mine]
                         if len(mine):
-                            tokens, text = signed(mine), zstandard.compress(texts[i].as_py())
-                rows.append((doc, len(held), first, tokens, text))
+                            tokens, bits, text = signed(mine), marks(held), zstandard.compress(texts[i].as_py())
+                rows.append((doc, len(held), first, tokens, bits, text))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _SETS)] if rows else _SETS.empty_table().columns, schema=_SETS)
 
     return run
@@ -244,12 +255,12 @@ def _links(pairs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame
 
 
 def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Every document's size and class, and the shared prefix n-grams and packed text of the first of a class."""
+    """Every document's size and class, and the shared prefix n-grams, marks and packed text of the first of a class."""
     late = frequent(docs, n)
     texts = blocks.packed(docs.where("doc_id is not null"))
     keys = texts.groupBy("block").applyInArrow(_keys(n, percent, late), "block int, key long, lo long, hi long")
     return durable(texts.groupBy("block").cogroup(_recurring(keys).groupBy("block")).applyInArrow(
-        _reduced(n, percent, late), "doc_id long, n_shingles long, class long, tokens array<long>, text binary"))
+        _reduced(n, percent, late), "doc_id long, n_shingles long, class long, tokens array<long>, marks array<long>, text binary"))
 
 
 def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -261,7 +272,7 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Dat
     """
     sets = _sets(docs, n, percent)
     blocks.release(docs.sparkSession)
-    shared = sets.where("tokens is not null").select("doc_id", F.col("n_shingles").alias("size"), "tokens")
+    shared = sets.where("tokens is not null").select("doc_id", F.col("n_shingles").alias("size"), "tokens", "marks")
     near = durable(_links(_nearest(shared, percent), sets, n, percent))
     blocks.release(docs.sparkSession)
     rest = durable(_links(_unconnected(shared, components(near), percent), sets, n, percent))
@@ -276,6 +287,13 @@ def _alike(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _marks_allow(a: str, b: str, percent: int) -> Column:
+    """Whether the marks of two sets differ in no more places than similar sets of their sizes may differ in n-grams."""
+    unlike = sum((F.bit_count(F.col(f"mark{i}_x").bitwiseXOR(F.col(f"mark{i}_y"))) for i in range(MARKS)), F.lit(0))
+    overlap = F.expr(f"cast(ceil({percent} * ({a} + {b}) / {100 + percent}) as long)")
+    return unlike <= F.col(a) + F.col(b) - 2 * overlap
+
+
 def _least_common(a: str, b: str, percent: int) -> Column:
     """n-grams that the prefixes of similar sets of two sizes have in common at least: what one set holds and the other
     lacks, size - overlap at most, cannot fill the prefix."""
@@ -301,15 +319,17 @@ def _unconnected(shared: DataFrame, label: DataFrame, percent: int) -> DataFrame
     among those that share enough of their prefix with anything at all.
     """
     labelled = shared.join(label, shared["doc_id"] == label["node"], "left").select(
-        "doc_id", "size", F.size("tokens").alias("held"), F.coalesce("component", "doc_id").alias("label"), F.explode("tokens").alias("token"))
+        "doc_id", "size", F.size("tokens").alias("held"), F.coalesce("component", "doc_id").alias("label"),
+        *[F.get("marks", F.lit(i)).alias(f"mark{i}") for i in range(MARKS)], F.explode("tokens").alias("token"))
     counts = labelled.groupBy("token", "label").agg(F.count("*").alias("members"))
     mixed = (counts.groupBy("token").agg(F.max_by("label", F.struct("members", -F.col("label"))).alias("major"), F.count("*").alias("labels"))
              .where("labels > 1").drop("labels"))
     group = labelled.join(mixed, "token")
-    one, two = (group.select("token", "major", *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "size", "held", "label")]) for k in "xy")
+    one, two = (group.select("token", "major", *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "size", "held", "label", *[f"mark{i}" for i in range(MARKS)])]) for k in "xy")
     once = (F.col("label_y") == F.col("major")) | (F.col("doc_id_x") < F.col("doc_id_y"))
     want = _least_common("size_x", "size_y", percent)
     met = one.where("label_x <> major").drop("major").join(two, "token").where(
-        (F.col("label_x") != F.col("label_y")) & once & _alike("size_x", "size_y", percent) & (F.least("held_x", "held_y") >= want))
+        (F.col("label_x") != F.col("label_y")) & once & _alike("size_x", "size_y", percent) & (F.least("held_x", "held_y") >= want)
+        & _marks_allow("size_x", "size_y", percent))
     pairs = met.groupBy("doc_id_x", "size_x", "doc_id_y", "size_y").agg(F.count("*").alias("common")).where(F.col("common") >= want)
     return pairs.select(F.least("doc_id_x", "doc_id_y").alias("hub"), F.greatest("doc_id_x", "doc_id_y").alias("doc_id")).distinct()
