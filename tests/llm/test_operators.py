@@ -151,6 +151,16 @@ def test_prefix_tree():
     assert sorted(found) == expected and expected
 
 
+def test_marks_never_tell_similar_sets_apart():
+    """Marks differ in no more places than sets in n-grams, so no similar pair is left out."""
+    rnd = np.random.default_rng(9)
+    for _ in range(300):
+        pool = rnd.integers(0, 1 << 64, rnd.integers(1, 1500), np.uint64, endpoint=False)
+        one, two = (np.unique(pool[rnd.random(len(pool)) < share]) for share in rnd.uniform(0.1, 1, 2))
+        unlike = sum((int(a) ^ int(b)).bit_count() for a, b in zip(ngram_join.marks(one).view(np.uint64), ngram_join.marks(two).view(np.uint64)))
+        assert unlike <= len(np.setxor1d(one, two)) and len(ngram_join.marks(one)) == ngram_join.MARKS
+
+
 def test_line_dedup(spark, nothing):
     rows = [(i, f"page {i}\nmenu\n\nfoot {i % 9}" if i % 2 else f"page {i}\nmenu", "a") for i in range(40)] + [
         (100, None, "a"), (101, "", "a"), (102, "menu", "b"), (103, "menu\nmenu", None), (104, "menu", "a"), (104, "menu", "a")]
