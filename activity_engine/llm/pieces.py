@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,9 +33,12 @@ from activity_engine.llm.blocks import shuffle_partitions
 from activity_engine.llm.words import binary
 
 MARK = "▁"
-#: Longer units (in characters) are left to the library itself, one at a time, as a fold takes their length squared.
-LONGEST = 64
+#: Longer units (in characters) are left to the library itself, one at a time: the places of a unit are bits of a long, and
+#: one more tells the fold that it has ended.
+LONGEST = 60
 BPE, UNIGRAM = 2, 1
+#: So many texts are decoded in one go.
+_AT_ONCE = 256
 _RESULT = "doc_id long, ids array<int>"
 
 
@@ -126,84 +130,76 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["block", "place", "unit"])
 
 
-def lattices(found: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(unit, edges) of distinct units: every substring that is a piece, as (start, stop, id, score)."""
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+
+
+def lattices(found: DataFrame, pieces: DataFrame, longest: int, bytes_from: int, unknown: float) -> DataFrame:
+    """(unit, edges) of distinct units: every substring that is a piece, the best score and then the leftmost first.
+
+    ``bounds`` holds the bits of an edge's two ends, ``inside`` those of the places between them, ``ids`` what the edge is
+    written as. A character without a piece is an edge as well, of score ``unknown`` and the ids of its bytes.
+    """
     n = F.length("unit")
     spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda a: F.transform(
         F.sequence(F.lit(1), F.least(F.lit(longest), n - a)),
         lambda size: F.struct(a.alias("start"), (a + size).alias("stop"), F.substring(F.col("unit"), a + 1, size).alias("piece")))))
     cut = found.select("unit", F.explode(spans).alias("span")).select("unit", "span.*")
+    digits = F.hex(F.encode("piece", "utf-8"))
+    raw = F.transform(F.sequence(F.lit(0), (F.length(digits) / 2).cast("int") - 1), lambda i: (
+        F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int") + F.lit(bytes_from)))
+    edge = F.struct(
+        (-F.coalesce("score", F.lit(unknown))).alias("cost"), "start", "stop", (_bit(F.col("start")) + _bit(F.col("stop"))).alias("bounds"),
+        (_bit(F.col("stop")) - _bit(F.col("start") + 1)).alias("inside"),
+        F.when(F.col("id").isNotNull(), F.array("id")).otherwise(raw).alias("ids"))
     # the vocabulary of one model, which does not grow with the texts
-    edge = F.struct("start", "stop", "id", "score")
-    return cut.join(F.broadcast(pieces), "piece", "left").groupBy("unit").agg(
-        F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges"))
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    met = cut.join(F.broadcast(pieces), "piece", "left").where("id is not null or stop = start + 1")
+    return met.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def merged(unit: Column, edges: Column) -> Column:
-    """Ends of the symbols that remain after all merges, in order, 0 first."""
+    """The places where the symbols that remain after all merges end, 0 among them, as bits."""
     n = F.length(unit)
-    start = F.struct(F.sequence(F.lit(0), n).alias("ends"), F.filter(edges, lambda e: e["stop"] - e["start"] > 1).alias("open"))
 
-    def joins_two(ends: Column, e: Column) -> Column:
-        return F.size(F.filter(ends, lambda x: (x > e["start"]) & (x < e["stop"]))) == 1
+    def joins_two(places: Column, e: Column) -> Column:
+        return (places.bitwiseAND(e["bounds"]) == e["bounds"]) & (F.bit_count(places.bitwiseAND(e["inside"])) == 1)
 
-    def without(state: Column, best: Column) -> Column:
-        def outside(x: Column) -> Column:
-            return (x <= best["start"]) | (x >= best["stop"])
+    def step(places: Column, _: Column) -> Column:
+        # edges are sorted, so the first that is ready is the best one; when none is, the sign says so
+        best = F.get(F.filter(edges, lambda e: joins_two(places, e)), F.lit(0))["inside"]
+        return F.when(places < 0, places).otherwise(F.coalesce(
+            places.bitwiseAND(F.bitwise_not(best)), places.bitwiseOR(F.lit(-1 << 63))))
 
-        return F.struct(F.filter(state["ends"], outside).alias("ends"), F.filter(state["open"], lambda e: (
-            outside(e["start"]) & outside(e["stop"]) & ((e["start"] != best["start"]) | (e["stop"] != best["stop"])))).alias("open"))
+    # each merge takes a symbol away
+    return F.aggregate(F.sequence(F.lit(1), n), _bit(n + 1) - 1, step, lambda places: places.bitwiseAND(F.lit((1 << 63) - 1)))
 
-    def step(state: Column, _: Column) -> Column:
-        ready = F.filter(state["open"], lambda e: joins_two(state["ends"], e))
-        # the best score, the leftmost of equals
-        first = F.array_min(F.transform(ready, lambda e: F.struct((-e["score"]).alias("cost"), e["start"].alias("start"), e["stop"].alias("stop"))))
-        return _let(first, lambda best: F.when(best.isNull(), state).otherwise(without(state, best)))
 
-    # no merge adds an edge, and each takes a symbol away
-    merges = F.slice(F.sequence(F.lit(1), n), 1, F.least(n - 1, F.size(F.filter(edges, lambda e: e["stop"] - e["start"] > 1))))
-    return F.aggregate(merges, start, step, lambda state: state["ends"])
-
-
-def viterbi(unit: Column, edges: Column, unknown: float) -> Column:
-    """Ends of the symbols of the best path, in order, 0 first. A character without a piece costs ``unknown``."""
-    n = F.length(unit)
-    lone = F.transform(F.sequence(F.lit(0), n - 1), lambda a: F.struct(
-        a.alias("start"), (a + 1).alias("stop"), F.lit(-1).alias("id"), F.lit(unknown).alias("score")))
-    every = F.concat(edges, F.filter(lone, lambda c: ~F.exists(edges, lambda e: (e["start"] == c["start"]) & (e["stop"] == c["stop"]))))
-    first = F.array(F.struct(F.lit(0.0).alias("score"), F.array(F.lit(0)).alias("ends")))
+def viterbi(unit: Column, edges: Column) -> Column:
+    """The places where the symbols of the best path end, 0 among them, as bits; of equal paths the longer last symbol."""
+    first = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("start"), F.lit(1).cast("long").alias("places")))
 
     def reach(best: Column, stop: Column) -> Column:
-        into = F.transform(F.filter(every, lambda e: e["stop"] == stop), lambda e: F.struct(
-            (F.get(best, e["start"])["score"] + e["score"]).alias("score"),
-            F.concat(F.get(best, e["start"])["ends"], F.array(stop)).alias("ends")))
-        return F.concat(best, F.array(F.array_max(into)))
+        into = F.transform(F.filter(edges, lambda e: e["stop"] == stop), lambda e: F.struct(
+            (F.get(best, e["start"])["cost"] + e["cost"]).alias("cost"), e["start"].alias("start"),
+            (F.get(best, e["start"])["places"] + _bit(stop)).alias("places")))
+        return F.concat(best, F.array(F.array_min(into)))
 
-    return F.aggregate(F.sequence(F.lit(1), n), first, reach, lambda best: F.element_at(best, -1)["ends"])
+    return F.aggregate(F.sequence(F.lit(1), F.length(unit)), first, reach, lambda best: F.element_at(best, -1)["places"])
 
 
 def unit_ids(found: DataFrame, model: Model) -> DataFrame:
-    """(unit, ids) of distinct units; a symbol without a piece gives its UTF-8 bytes as byte pieces."""
-    made = lattices(found, model.table(found.sparkSession), model.longest)
-    unit, edges = F.col("unit"), F.col("edges")
+    """(unit, ids) of distinct units of at most ``LONGEST`` characters; a symbol without a piece gives its UTF-8 bytes as byte pieces."""
     least = min((s for _, _, s in model.pieces), default=0.0)
-    ends = merged(unit, edges) if model.kind == BPE else viterbi(unit, edges, least - 10)
-    symbols = F.transform(F.sequence(F.lit(1), F.size("ends") - 1), lambda i: F.struct(
-        F.get("ends", i - 1).alias("start"), F.get("ends", i).alias("stop")))
+    made = lattices(found, model.table(found.sparkSession), model.longest, model.bytes_from, least - 10)
+    unit, edges = F.col("unit"), F.col("edges")
+    places = merged(unit, edges) if model.kind == BPE else viterbi(unit, edges)
 
-    def ids(symbol: Column) -> Column:
-        digits = F.hex(F.encode(F.substring(unit, symbol["start"] + 1, symbol["stop"] - symbol["start"]), "utf-8"))
-        raw = F.transform(F.sequence(F.lit(0), (F.length(digits) / 2).cast("int") - 1), lambda i: (
-            F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int") + F.lit(model.bytes_from)))
-        piece = F.filter(edges, lambda e: (e["start"] == symbol["start"]) & (e["stop"] == symbol["stop"]))
-        return _let(F.get(piece, F.lit(0))["id"], lambda id_: F.when(id_.isNotNull(), F.array(id_)).otherwise(raw))
+    def ids(places: Column) -> Column:
+        symbols = F.filter(edges, lambda e: places.bitwiseAND(e["bounds"] + e["inside"]) == e["bounds"])
+        return F.flatten(F.sort_array(F.transform(symbols, lambda e: F.struct(e["start"].alias("start"), e["ids"].alias("ids"))))["ids"])
 
-    return made.withColumn("ends", ends).select("unit", F.flatten(F.transform(symbols, ids)).cast("array<int>").alias("ids"))
+    # an array of one, so that the fold is not done again for every edge
+    return made.select("unit", F.flatten(F.transform(F.array(places), ids)).cast("array<int>").alias("ids"))
 
 
 _PROCESSORS: dict = {}
@@ -278,13 +274,26 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _decoded(pieces: tuple[tuple[str, int, float], ...], bytes_from: int):
+    """Texts of lists of ids, gathered from a table of the bytes of every id."""
     def run(batches):
         table = {i: p.replace(MARK, " ").encode() for p, i, _ in pieces} | {bytes_from + b: bytes([b]) for b in range(256)}
+        said = [table.get(i, b"") for i in range(max(table) + 1)] + [b""]  # the last stands for ids of nothing
+        long = np.fromiter(map(len, said), np.int64, len(said))
+        begin, letters = np.cumsum(long) - long, np.frombuffer(b"".join(said), np.uint8)
         for batch in batches:
             texts = []
-            for ids in batch.column("ids").to_pylist():
-                text = b"".join(table.get(i, b"") for i in ids or ()).decode("utf-8", "replace")
-                texts.append(text[1:] if text.startswith(" ") else text)
+            for at in range(0, batch.num_rows, _AT_ONCE):
+                lists = batch.column("ids").slice(at, _AT_ONCE)
+                ids = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
+                ids = np.where((ids < 0) | (ids >= len(said)), len(said) - 1, ids)
+                each = long[ids]
+                stop = np.cumsum(each)
+                raw = letters[np.repeat(begin[ids] - (stop - each), each) + np.arange(stop[-1] if len(stop) else 0)].tobytes()
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                edges = np.r_[0, stop][np.r_[0, np.cumsum(sizes)]].tolist()
+                for first, last in zip(edges[:-1], edges[1:]):
+                    text = raw[first:last].decode("utf-8", "replace")
+                    texts.append(text[1:] if text.startswith(" ") else text)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return run
@@ -300,11 +309,14 @@ def _digested(pieces: tuple[tuple[str, int, float], ...], bytes_from: int):
 
     def run(batches):
         for batch in batches:
-            text = next(iter(decoder([batch]))).column("text").to_pylist()
-            ids = [np.array(v or [], "<u4") for v in batch.column("ids").to_pylist()]
+            text = binary(next(iter(decoder([batch]))).column("text"))
+            lists = batch.column("ids")
+            ids = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            edges = np.r_[0, np.cumsum(sizes)].tolist()
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([len(v) for v in ids], pa.int64()), pa.array([zlib.crc32(v) for v in ids], pa.int64()),
-                pa.array([len(t.encode()) for t in text], pa.int64()), pa.array([zlib.crc32(t.encode()) for t in text], pa.int64())],
+                batch.column("doc_id"), pa.array(sizes), pa.array([zlib.crc32(ids[a:e]) for a, e in zip(edges[:-1], edges[1:])], pa.int64()),
+                pc.binary_length(text).cast(pa.int64()), pa.array([zlib.crc32(t.as_buffer()) for t in text], pa.int64())],
                 names=["doc_id", "n_pieces", "ids_crc32", "decoded_bytes", "decoded_crc32"])
 
     return run
