@@ -141,10 +141,10 @@ def lattices(found: DataFrame, pieces: DataFrame, longest: int, bytes_from: int,
     written as. A character without a piece is an edge as well, of score ``unknown`` and the ids of its bytes.
     """
     n = F.length("unit")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda a: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(longest), n - a)),
-        lambda size: F.struct(a.alias("start"), (a + size).alias("stop"), F.substring(F.col("unit"), a + 1, size).alias("piece")))))
-    cut = found.select("unit", F.explode(spans).alias("span")).select("unit", "span.*")
+    starts = found.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    spans = starts.select("unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("start")))).alias("size"))
+    cut = spans.select("unit", "start", (F.col("start") + F.col("size")).alias("stop"),
+                       F.substring("unit", F.col("start") + 1, F.col("size")).alias("piece"))
     digits = F.hex(F.encode("piece", "utf-8"))
     raw = F.transform(F.sequence(F.lit(0), (F.length(digits) / 2).cast("int") - 1), lambda i: (
         F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int") + F.lit(bytes_from)))
@@ -164,14 +164,17 @@ def merged(unit: Column, edges: Column) -> Column:
     def joins_two(places: Column, e: Column) -> Column:
         return (places.bitwiseAND(e["bounds"]) == e["bounds"]) & (F.bit_count(places.bitwiseAND(e["inside"])) == 1)
 
-    def step(places: Column, _: Column) -> Column:
-        # edges are sorted, so the first that is ready is the best one; when none is, the sign says so
-        best = F.get(F.filter(edges, lambda e: joins_two(places, e)), F.lit(0))["inside"]
-        return F.when(places < 0, places).otherwise(F.coalesce(
-            places.bitwiseAND(F.bitwise_not(best)), places.bitwiseOR(F.lit(-1 << 63))))
+    def fold(open_: Column) -> Column:
+        def step(places: Column, _: Column) -> Column:
+            # edges are sorted, so the first that is ready is the best one; when none is, the sign says so
+            best = F.get(F.filter(open_, lambda e: joins_two(places, e)), F.lit(0))["inside"]
+            return F.when(places < 0, places).otherwise(F.coalesce(
+                places.bitwiseAND(F.bitwise_not(best)), places.bitwiseOR(F.lit(-1 << 63))))
 
-    # each merge takes a symbol away
-    return F.aggregate(F.sequence(F.lit(1), n), _bit(n + 1) - 1, step, lambda places: places.bitwiseAND(F.lit((1 << 63) - 1)))
+        # each merge takes a symbol away
+        return F.aggregate(F.sequence(F.lit(1), n), _bit(n + 1) - 1, step, lambda places: places.bitwiseAND(F.lit((1 << 63) - 1)))
+
+    return F.get(F.transform(F.array(F.filter(edges, lambda e: e["inside"] != 0)), fold), F.lit(0))
 
 
 def viterbi(unit: Column, edges: Column) -> Column:
