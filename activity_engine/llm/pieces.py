@@ -17,9 +17,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, count
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -81,19 +82,20 @@ def units(text: str) -> list[str]:
     return _UNITS.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-def _block(batch: pa.RecordBatch) -> tuple[int, list[str]]:
+def _block(batch: pa.RecordBatch) -> tuple[int, list[bytes]]:
     """The name of a batch, a hash of its ids and texts, and its texts."""
     name, texts = xxhash.xxh3_64(), binary(batch.column("text")).to_pylist()
     for doc, text in zip(batch.column("doc_id").to_pylist(), texts):
         name.update(f"{doc},{len(text)};")
         name.update(text)
-    return name.intdigest() - (1 << 63), [t.decode("utf-8", "replace") for t in texts]
+    return name.intdigest() - (1 << 63), texts
 
 
-def _numbered(texts: list[str]) -> tuple[dict[str, int], list[list[str]]]:
-    """Distinct units in the order of their first place, and the units of each text."""
-    cut = [units(text) for text in texts]
-    return dict(zip(dict.fromkeys(chain.from_iterable(cut)), count())), cut
+def _numbered(texts: list[bytes], place: dict[str, int]) -> Iterator[np.ndarray]:
+    """The units of each text as numbers, given in the order of their first place; one text is cut at a time."""
+    for text in texts:
+        found = units(text.decode("utf-8", "replace"))
+        yield np.fromiter(map(place.__getitem__, found), "<u4", len(found))
 
 
 _LONG = pa.list_(pa.struct([("place", pa.int32()), ("ids", pa.list_(pa.int32()))]))
@@ -106,9 +108,9 @@ def _texts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             block, texts = _block(batch)
-            place, cut = _numbered(texts)
-            numbers = np.fromiter(map(place.__getitem__, chain.from_iterable(cut)), "<u4", sum(map(len, cut)))
-            planes = numbers.view(np.uint8).reshape(-1, 4).T
+            place = defaultdict(count().__next__)
+            cut = list(_numbered(texts, place))
+            planes = np.concatenate([np.zeros(0, "<u4"), *cut]).view(np.uint8).reshape(-1, 4).T
             long = [{"place": i, "ids": _long_unit(path, u)} for u, i in place.items() if len(u) > LONGEST]
             columns = ([block], [batch.column("doc_id").to_pylist()], [[len(found) for found in cut]], [len(place)],
                        [zstandard.compress(planes.tobytes())], [long])
@@ -123,7 +125,8 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, place, unit) of the distinct units of each batch, in the order of the alphabet, which packs well."""
     for batch in batches:
         block, texts = _block(batch)
-        place, _ = _numbered(texts)
+        place = defaultdict(count().__next__)
+        deque(_numbered(texts, place), maxlen=0)
         found = sorted(u for u in place if len(u) <= LONGEST)
         yield pa.RecordBatch.from_arrays([
             pa.array(np.full(len(found), block)), pa.array([place[u] for u in found], pa.int32()), pa.array(found, pa.string())],
