@@ -331,5 +331,9 @@ def _unconnected(shared: DataFrame, label: DataFrame, percent: int) -> DataFrame
     met = one.where("label_x <> major").drop("major").join(two, "token").where(
         (F.col("label_x") != F.col("label_y")) & once & _alike("size_x", "size_y", percent) & (F.least("held_x", "held_y") >= want)
         & _marks_allow("size_x", "size_y", percent))
-    pairs = met.groupBy("doc_id_x", "size_x", "doc_id_y", "size_y").agg(F.count("*").alias("common")).where(F.col("common") >= want)
-    return pairs.select(F.least("doc_id_x", "doc_id_y").alias("hub"), F.greatest("doc_id_x", "doc_id_y").alias("doc_id")).distinct()
+    # which of two is x changes from group to group, so a pair is put in one order, its sizes along with it, before it is counted
+    one, two = (F.struct(F.col(f"doc_id_{k}").alias("doc_id"), F.col(f"size_{k}").alias("size")) for k in "xy")
+    pairs = met.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).select(
+        *[F.col(f"{k}.{c}").alias(f"{c}_{k}") for k in "xy" for c in ("doc_id", "size")])
+    counted = pairs.groupBy("doc_id_x", "size_x", "doc_id_y", "size_y").agg(F.count("*").alias("common")).where(F.col("common") >= want)
+    return counted.select(F.col("doc_id_x").alias("hub"), F.col("doc_id_y").alias("doc_id")).distinct()

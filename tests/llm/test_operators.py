@@ -142,6 +142,28 @@ def test_ngram_components(docs, rows, nothing):
     assert ngram_join.ngram_components(nothing).count() == 0
 
 
+def test_ngram_components_with_a_third_between(spark):
+    """Triples c < a < b: a and b just at the limit, c unlike both but with half of what they share. What a and b have in common
+    is then met in groups of two kinds, with c and without, and counts as one."""
+    held, rows = {}, []
+    for triple in range(150):
+        base = [f"w{triple}x{i}" for i in range(49)]
+        near = [*base[:24], "changed", *base[25:]]
+        third = [*base[:13], *[f"o{triple}x{i}" for i in range(16)], *base[29:]]
+        for place, w in enumerate((third, base, near)):
+            doc = 10 * triple + place
+            rows.append((doc, " ".join(w)))
+            held[doc] = frozenset(tuple(w[i: i + 5]) for i in range(len(w) - 4))
+    component = {}
+    for triple in range(150):
+        c, a, b = (10 * triple + place for place in range(3))
+        likely = {(x, y) for x, y in ((c, a), (c, b), (a, b)) if 100 * len(held[x] & held[y]) >= 80 * len(held[x] | held[y])}
+        assert likely == {(a, b)}
+        component |= {c: c, a: a, b: a}
+    found = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == component
+
+
 def test_prefix_tree():
     rnd = np.random.default_rng(4)
     base = np.unique(rnd.integers(0, 4000, 300, np.uint64))
