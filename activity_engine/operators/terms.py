@@ -89,24 +89,25 @@ def top_texts(df: DataFrame, groups: Sequence[str], text: str, k: int) -> DataFr
 
 def keyword_profiles(
     texts: DataFrame, cluster: str, source: str, text: str, stop_words: Sequence[str],
-    sources: int = 3, n_bigrams: int = 4, n_words: int = 12,
+    sources: int | None = None, n_bigrams: int = 4, n_words: int = 12,
 ) -> DataFrame:
-    """Keywords per cluster: of its first ``sources`` sources, top bigrams then top words, merged in order.
+    """Keywords per cluster: of each of its sources, top bigrams then top words, merged in the order of the sources.
 
-    All clusters in one plan, and only texts of the used sources are cut into words. Per cluster at most
-    sources x (n_bigrams + n_words) terms are gathered.
+    All clusters in one plan. Texts of all sources are counted, those without a source as one more; a report that shows
+    fewer names a number of ``sources``, the first of each cluster, and only their texts are cut into words. Per cluster
+    at most its sources x (n_bigrams + n_words) terms are gathered.
     """
-    known = texts.groupBy(cluster, source).agg(F.count("*").alias("_n"))
-    used = top_per_group(known, [cluster], [F.col(source)], sources, "_source_no").select(cluster, source, "_source_no")
-    used = small(used, 100_000)
-    mine = texts.select(cluster, source, text).join(used.select(cluster, source), [cluster, source], "left_semi")
+    mine = texts.filter(F.col(cluster).isNotNull()).select(cluster, source, text)
+    if sources is not None:
+        known = mine.groupBy(cluster, source).agg(F.count("*").alias("_n"))
+        used = top_per_group(known, [cluster], [F.col(source)], sources, "_source_no").select(cluster, source)
+        mine = mine.join(small(used, 100_000), [cluster, source], "left_semi")
     pairs = top_terms(bigrams(mine, text, stop_words), [cluster, source], n_bigrams).withColumn("_kind", F.lit(0))
     words = top_terms(unigrams(mine, text, stop_words), [cluster, source], n_words).withColumn("_kind", F.lit(1))
-    chosen = pairs.unionByName(words).join(used, [cluster, source])
     ordered = F.transform(
-        F.array_sort(F.collect_list(F.struct("_source_no", "_kind", "rank", "term"))), lambda x: x["term"]
+        F.array_sort(F.collect_list(F.struct(source, "_kind", "rank", "term"))), lambda x: x["term"]
     )
-    return chosen.groupBy(cluster).agg(ordered_union(ordered).alias("keywords"))
+    return pairs.unionByName(words).groupBy(cluster).agg(ordered_union(ordered).alias("keywords"))
 
 
 def category_scores(df: DataFrame, text: str, categories: Mapping[str, Sequence[str]]) -> DataFrame:

@@ -358,7 +358,7 @@ def top_samples(t: Tables) -> DataFrame:
  o as (select lang, term, place, kind, rank, row_number() over (partition by lang, term order by place, kind, rank) as seen from c join used using (lang, source) where place <= 3)
  select lang, string_agg(term, ';' order by place, kind, rank) as keywords from o where seen = 1 group by lang""")
 def keyword_profiles(t: Tables) -> DataFrame:
-    made = terms.keyword_profiles(t.texts, "lang", "source", "text", STOP_WORDS)
+    made = terms.keyword_profiles(t.texts, "lang", "source", "text", STOP_WORDS, sources=3)
     return made.select("lang", F.array_join("keywords", ";").alias("keywords"))
 
 

@@ -109,6 +109,15 @@ def test_terms(spark):
     assert claims == {"red dog": "colour", "dog": "animal"}
 
 
+def test_keyword_profiles_read_all_sources(spark):
+    texts = spark.createDataFrame([(1, s, f"{w} {w}") for s, w in zip(["e", "b", "d", "a", "c", None], ["echo", "bravo", "delta", "alpha", "charlie", "null"])] + [
+        (2, "e", "echo"), (None, "a", "alpha")], "c int, s string, text string")
+    found = {r["c"]: r["keywords"] for r in terms.keyword_profiles(texts, "c", "s", "text", [], n_bigrams=0).collect()}
+    assert found == {1: ["null", "alpha", "bravo", "charlie", "delta", "echo"], 2: ["echo"]}
+    report = {r["c"]: r["keywords"] for r in terms.keyword_profiles(texts.where("s is not null"), "c", "s", "text", [], sources=3, n_bigrams=0).collect()}
+    assert report == {1: ["alpha", "bravo", "charlie"], 2: ["echo"]}
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 200])
 def test_best_matches_is_exact_in_blocks(spark, block_bytes):
     rng = np.random.default_rng(1)
