@@ -288,6 +288,23 @@ def test_lm_beats_the_word_counts_on_held_out_texts(spark):
     assert total.score > total.base
 
 
+def test_lm_counts_every_kind(spark, monkeypatch):
+    """Six kinds of text: each has counts of its own, of its own words alone; a text without a kind counts as the commonest."""
+    rows = [(10 * k + i, f"word{k}", f"kind{k}") for k in range(6) for i in range(9 - k)] + [(100, "word0", None)]
+    seen = {}
+
+    def stop(vocabulary, kinds):
+        seen.update({r["word"].decode(): tuple(r)[1:] for r in vocabulary.collect()})
+        assert kinds == 6
+        raise InterruptedError
+
+    monkeypatch.setattr(mixing, "train", stop)
+    with pytest.raises(InterruptedError):
+        mixing.score_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    trained = Counter(t for d, t, _ in rows if zlib.crc32(str(d).encode()) % mixing.FOLDS != mixing.HELD_OUT)
+    assert {w: n for w, n in seen.items() if w} == {f"word{k}": tuple(trained[f"word{k}"] * (j == k) for j in range(6)) for k in range(6)}
+
+
 def test_mixer_is_a_distribution():
     """Over words of one byte and all their continuations, probabilities of the first byte add up to one."""
     counts = np.random.default_rng(1).integers(0, 9, (len(mixing.CONTEXTS), 1 << mixing.SLOT_BITS, 2)).astype(np.float32)
