@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from activity_engine.llm import decontamination, line_dedup, mixing, neighbours, ngram_join, pieces, quality, sharding, substring_dedup, token_files
+from activity_engine.llm import (
+    decontamination, line_dedup, mixing, neighbours, ngram_join, pieces, quality, resampling, sharding, substring_dedup, token_files,
+    vector_codes, warc,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,7 +60,22 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_index(spark, where)
 
 
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.digest(resampling.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")))
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    coded, _ = vector_codes.compress(_table(spark, folder, "embeddings"))
+    return vector_codes.digest(coded)
+
+
+def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
+    where = token_files.shared_folder(spark, "warc")
+    warc.write_warc(_table(spark, folder, "pages"), where)
+    return warc.digest(warc.read_warc(spark, where, payload=False))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_substring_dedup, op2_sentencepiece, op3_lm_scoring, op4_nearest, op5_sharding, op6_quality, op7_decontamination, op8_ngram_join,
-                            op9_line_dedup, op10_token_files)}
-SQL: dict[str, str] = {"op9_line_dedup": line_dedup.SQL}
+                            op9_line_dedup, op10_token_files, op11_importance_resampling, op12_vector_codes, op13_warc)}
+SQL: dict[str, str] = {"op9_line_dedup": line_dedup.SQL, "op12_vector_codes": vector_codes.SQL, "op13_warc": warc.SQL}
