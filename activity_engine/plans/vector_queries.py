@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from activity_engine.functions import vectors as vf
-from activity_engine.operators import density, vectors
+from activity_engine.operators import density, hierarchy, projection, vectors
 from activity_engine.plans.registry import Tables, query
 
 _VEC = "list_transform(embedding, lambda x: x::double)"
@@ -90,13 +90,30 @@ def text_match(t: Tables) -> DataFrame:
     return found.filter("item_id is not null").select("doc_id", "item_id", "similarity")
 
 
+def _projected(t: Tables, k: int) -> DataFrame:
+    axes = projection.principal_axes(t.embeddings, "embedding", k)
+    return axes.project(t.embeddings.select("vec_id", "embedding"), "embedding")
+
+
 @query()
 def project_2d(t: Tables) -> DataFrame:
-    flat = vectors.project(t.embeddings, "embedding", 2)
+    flat = _projected(t, 2)
     return flat.select("vec_id", F.round(F.col("projected")[0], 6).alias("x"), F.round(F.col("projected")[1], 6).alias("y"))
 
 
+@query()
+def project_50d(t: Tables) -> DataFrame:
+    flat = _projected(t, 50)
+    return flat.select("vec_id", F.posexplode("projected").alias("axis", "x")).withColumn("x", F.round("x", 6))
+
+
 @query()
 def density_clusters(t: Tables) -> DataFrame:
-    flat = vectors.project(t.embeddings, "embedding", 3)
-    return density.density_clusters(flat, "vec_id", "projected", 0.15, 5, 10, 3)
+    """Clusters of at least 60 vectors by a density hierarchy over 50 dimensions; -1 is noise."""
+    return hierarchy.density_hierarchy(_projected(t, 50), "vec_id", "projected")
+
+
+@query()
+def density_sizes(t: Tables) -> DataFrame:
+    """Size and share of each density cluster and of the noise."""
+    return density.cluster_sizes(hierarchy.density_hierarchy(_projected(t, 50), "vec_id", "projected"), "cluster")

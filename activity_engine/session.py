@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the shared folder. For rounds that join a result with itself: a checkpoint keeps the
+    planner's guess of its size, which such joins multiply round by round until planning never ends; files have a size."""
+    ensure_checkpoint_dir(df.sparkSession)
+    where = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` cut from its lineage, marked for broadcast only if it was counted and has at most ``rows`` rows."""
     held = durable(df)

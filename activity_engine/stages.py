@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from activity_engine import schemas
 from activity_engine.functions import titles
-from activity_engine.operators import album, corpus, density, graph, profiles, quality, terms, vectors
+from activity_engine.operators import album, corpus, density, graph, hierarchy, profiles, projection, quality, terms, vectors
 from activity_engine.operators.select import top_per_group
 from activity_engine.session import durable
 from activity_engine.sources import activity_html, clips, films, music, posts, social
@@ -218,14 +218,15 @@ def build_album(house: Warehouse, photos: DataFrame, gap_hours: float = 6.0, thr
     }
 
 
-def cluster_photos(house: Warehouse, photos: DataFrame, cell: float, min_points: int = 5, min_size: int = 60,
-                   names: dict[int, str] | None = None) -> dict[str, int]:
-    """Density clusters of photo vectors with their place on a plane."""
-    flat = durable(vectors.project(photos.select("photo_id", "embedding"), "embedding", 3))
-    found = density.density_clusters(flat, "photo_id", "projected", cell, min_points, min_size, 3)
+def cluster_photos(house: Warehouse, photos: DataFrame, min_samples: int = hierarchy.MIN_SAMPLES, min_size: int = hierarchy.MIN_SIZE,
+                   names: dict[int, str] | None = None, dimensions: int = 50) -> dict[str, int]:
+    """Density clusters of photo vectors over their principal axes, with their place on the first two."""
+    axes = projection.principal_axes(photos, "embedding", dimensions)
+    flat = durable(axes.project(photos.select("photo_id", "embedding"), "embedding").drop("embedding"))
+    found = hierarchy.density_hierarchy(flat, "photo_id", "projected", min_samples, min_size)
     label = density.cluster_name(F.col("cluster"), names or {}, F.concat(F.lit("Cluster "), "cluster"))
-    made = found.withColumn("cluster_label", label).join(
-        flat.select("photo_id", F.col("projected")[0].alias("x"), F.col("projected")[1].alias("y")), "photo_id")
+    place = [F.get("projected", F.lit(i)).alias(c) for i, c in enumerate("xy")]
+    made = found.withColumn("cluster_label", label).join(flat.select("photo_id", *place), "photo_id")
     return {"photo_clusters": house.overwrite("photo_clusters", made)}
 
 

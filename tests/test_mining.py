@@ -118,13 +118,13 @@ def test_keyword_profiles_read_all_sources(spark):
     assert report == {1: ["alpha", "bravo", "charlie"], 2: ["echo"]}
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
-def test_best_matches_is_exact_in_blocks(spark, block_bytes):
+@pytest.mark.parametrize("group_bytes", [1 << 20, 200])
+def test_best_matches_is_exact_in_groups(spark, group_bytes):
     rng = np.random.default_rng(1)
     points, refs = rng.normal(size=(30, 4)), rng.normal(size=(25, 4))
     left = spark.createDataFrame(pd.DataFrame({"id": range(30), "v": points.tolist()}))
     right = spark.createDataFrame(pd.DataFrame({"ref": range(25), "r": refs.tolist()}))
-    got = {r["id"]: [m["ref"] for m in r["matches"]] for r in vectors.best_matches(left, right, "v", "ref", "r", 3, block_bytes=block_bytes).collect()}
+    got = {r["id"]: [m["ref"] for m in r["matches"]] for r in vectors.best_matches(left, right, "v", "ref", "r", 3, group_bytes=group_bytes).collect()}
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     expected = np.argsort(-(unit(points) @ unit(refs).T), axis=1, kind="stable")[:, :3]
     assert got == {i: row.tolist() for i, row in enumerate(expected)}

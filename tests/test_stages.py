@@ -115,4 +115,4 @@ def test_album(spark, house):
     scene = house.read("scene_centroids").filter("scene_id = 0").first()
     assert scene["photo_count"] == 4 and len(scene["centroid_embedding"]) == 4 and scene["timestamp_start"] == at(1)
     assert house.read("scenes").filter(F.col("photo_id") == "u").first()["scene_name"] == "Moment sans date"
-    assert stages.cluster_photos(house, photos, 5.0, 2, 3, {0: "all"}) == {"photo_clusters": 12}
+    assert stages.cluster_photos(house, photos, 2, 3, {0: "all"}) == {"photo_clusters": 12}
