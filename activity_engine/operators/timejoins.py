@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from activity_engine.functions.calendar import epoch_micros
 from activity_engine.operators.ordered import OrderedRows
 from activity_engine.operators.select import first_per_key
+from activity_engine.operators.stabbing import CHUNK_MARKS, best_spans
 
 _MICROS = 1_000_000
 
@@ -61,28 +62,34 @@ def span_join(
     return spread.join(located, [owner, "_cell"]).filter(inside).drop("_cell", "_low", "_high", "_at")
 
 
+def item_spans(events: DataFrame, owner: str, ts: str, item: str, seconds: float) -> DataFrame:
+    """(owner, item, start, end, n): from when to when (in microseconds, both included) a window of ``seconds`` to either side holds
+    n events of the item. At most two spans for an event, however dense they are."""
+    width = int(seconds * _MICROS)
+    at = epoch_micros(F.col(ts))
+    counted = events.where(F.col(ts).isNotNull() & F.col(owner).isNotNull() & F.col(item).isNotNull()).groupBy(
+        owner, item, at.alias("_s")).agg(F.count("*").alias("_n"))
+    change = F.explode(F.array(F.struct((F.col("_s") - width).alias("at"), F.col("_n").alias("n")),
+                               F.struct((F.col("_s") + width + 1).alias("at"), (-F.col("_n")).alias("n"))))
+    changes = counted.select(owner, item, change.alias("_c")).groupBy(owner, item, F.col("_c.at").alias("_at")).agg(F.sum("_c.n").alias("_d"))
+    rows = OrderedRows(changes, [owner, item], ["_at"]).running_sum(F.col("_d"), "_now").lag(F.struct("_at", "_now"), "_before")
+    return rows.result().where("_before._now > 0").select(
+        owner, item, F.col("_before._at").alias("start"), (F.col("_at") - 1).alias("end"), F.col("_before._now").alias("n"))
+
+
 def modal_item_nearby(
-    probes: DataFrame, events: DataFrame, owner: str, probe_id: str, ts: str, item: str, seconds: float
+    probes: DataFrame, events: DataFrame, owner: str, probe_id: str, ts: str, item: str, seconds: float,
+    chunk_marks: int = CHUNK_MARKS,
 ) -> DataFrame:
     """Most frequent item within the window around each probe (ties: smallest item), with its count.
 
-    Events are counted in cells of half the window. A window surely covers the probe's cell and its two neighbours,
-    and reaches at most two cells to either side, so per cell and item there is a lower and an upper bound of the
-    count. Only items whose upper bound reaches the best lower bound of the cell can win there; a probe meets just
-    these candidates, never the events, and their exact counts come from ``window_counts``.
+    Seen from the probes, an item's count is a step function of time: each step is a span that holds the probes for which the
+    count is right. The answer is the best span at the probe's instant (see ``stabbing``), so the work follows the number of
+    events and probes, not their pairs, and does not depend on how rare the items are.
     """
-    cell = F.floor(epoch_micros(F.col(ts)) / int(seconds * _MICROS / 2))
-    counted = events.groupBy(owner, item, cell.alias("_of")).agg(F.count("*").alias("_n"))
-    reach = counted.withColumn("_cell", F.explode(F.sequence(F.col("_of") - 2, F.col("_of") + 2)))
-    covered = F.when(F.abs(F.col("_of") - F.col("_cell")) <= 1, F.col("_n")).otherwise(0)
-    bounds = reach.groupBy(owner, "_cell", item).agg(F.sum("_n").alias("_most"), F.sum(covered).alias("_least"))
-    bar = bounds.groupBy(owner, "_cell").agg(F.max("_least").alias("_bar"))
-    able = bounds.join(bar, [owner, "_cell"]).filter(F.col("_most") >= F.col("_bar")).select(owner, "_cell", item)
-    located = probes.select(owner, probe_id, ts, cell.alias("_cell"))
-    candidates = located.join(able, [owner, "_cell"]).drop("_cell")
-    counts = window_counts(candidates, events, [owner, item], [probe_id], ts, seconds, "_n").filter(F.col("_n") > 0)
-    best = F.min_by(F.struct(item, F.col("_n").alias("n")), F.struct(-F.col("_n"), F.col(item)))
-    return counts.groupBy(probe_id).agg(best.alias("_b")).select(probe_id, f"_b.{item}", "_b.n")
+    spans = item_spans(events, owner, ts, item, seconds).withColumnRenamed(item, "_item")
+    found = best_spans(probes, spans, owner, probe_id, epoch_micros(F.col(ts)), F.col("start"), F.col("end"), F.col("n"), F.col("_item"), chunk_marks)
+    return found.select(probe_id, F.col("item").alias(item), F.col("weight").alias("n"))
 
 
 def nearest_in_time(

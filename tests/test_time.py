@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from activity_engine.operators import timejoins
+from activity_engine.operators import stabbing, timejoins
 from activity_engine.operators.sessions import sessions, with_session
 
 T0 = dt.datetime(2024, 1, 1)
@@ -62,10 +62,10 @@ def test_window_counts(spark, crowd):
     assert got == {i: sum(o == p and abs(s - t) <= 50 for p, _, t, _ in events) for o, i, s in probes}
 
 
-@pytest.mark.parametrize("seconds", [7, 50, 400])
-def test_modal_item_nearby(spark, crowd, seconds):
+@pytest.mark.parametrize("seconds, chunk_marks", [(7, 100_000), (50, 40), (400, 15)])
+def test_modal_item_nearby(spark, crowd, seconds, chunk_marks):
     probes, events, probes_df, events_df = crowd
-    found = timejoins.modal_item_nearby(probes_df, events_df, "owner", "id", "ts", "item", seconds)
+    found = timejoins.modal_item_nearby(probes_df, events_df, "owner", "id", "ts", "item", seconds, chunk_marks)
     got = {r["id"]: (r["item"], r["n"]) for r in found.collect()}
     expected = {}
     for o, i, s in probes:
@@ -78,6 +78,36 @@ def test_modal_item_nearby(spark, crowd, seconds):
     assert got == expected
 
 
+def test_rare_items_make_no_pairs(spark):
+    """Every item once, all near all probes: there are two spans for an event at most, and a few tree nodes for a span."""
+    n = 400
+    events = spark.createDataFrame([("a", at(i), f"t{i * 7 % n:04d}") for i in range(n)], "owner string, ts timestamp_ntz, item string")
+    probes = frame(spark, [("a", i, i) for i in range(n)])
+    spans = timejoins.item_spans(events, "owner", "ts", "item", 60)
+    assert spans.count() <= 2 * n
+    placed = stabbing._located(spans.withColumn("owner", F.lit("a")), {"start": "first", "end": "last"}, [("a", i * 10_000_000 + 1_704_067_200_000_000) for i in range(40)])
+    covers = placed.where("first + 1 < last").select(F.size(stabbing._cover(F.col("first") + 1, F.col("last") - 1)).alias("n"))
+    assert covers.agg(F.max("n")).first()[0] <= 6 and 5 * covers.count() > n
+    got = {r["id"]: (r["item"], r["n"]) for r in timejoins.modal_item_nearby(probes, events, "owner", "id", "ts", "item", 60, 50).collect()}
+    assert got == {i: (min(f"t{j * 7 % n:04d}" for j in range(max(0, i - 60), min(n, i + 61))), 1) for i in range(n)}
+
+
+def test_covers_are_exact(spark):
+    pairs = spark.createDataFrame([(a, b) for a in range(0, 40) for b in range(a - 1, 40)], "a long, b long")
+    for r in pairs.select("a", "b", stabbing._cover(F.col("a"), F.col("b")).alias("c")).collect():
+        inside = [x for n in r.c for x in range(n.place << n.level, (n.place + 1) << n.level)]
+        assert sorted(inside) == list(range(r.a, r.b + 1)) and len(r.c) <= 10
+
+
+def test_best_span_ignores_what_has_no_owner_or_item(spark):
+    probes = spark.createDataFrame([("a", 1, 5), (None, 2, 5), ("a", 3, None), ("b", 4, 5), ("a", 5, 11)], "o string, id int, at long")
+    spans = spark.createDataFrame([("a", 0, 10, 1, "x"), ("a", 5, 5, 1, "w"), (None, 0, 10, 9, "y"), ("a", 0, 10, 9, None), ("a", 9, 3, 9, "z")],
+                                  "o string, s long, e long, n long, item string")
+    found = stabbing.best_spans(probes, spans, "o", "id", F.col("at"), F.col("s"), F.col("e"), F.col("n"), F.col("item"), 2)
+    assert [tuple(r) for r in found.collect()] == [(1, "w", 1)]
+    assert stabbing.best_spans(probes.where("false"), spans.where("false"), "o", "id", F.col("at"), F.col("s"), F.col("e"), F.col("n"), F.col("item")).count() == 0
+
+
 def test_nearest_in_time(spark, crowd):
     probes, events, probes_df, events_df = crowd
     marks = events_df.filter("item = 0").select("owner", F.col("id").alias("mark"), "ts")
