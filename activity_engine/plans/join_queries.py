@@ -73,14 +73,16 @@ _CASCADE = """with photos as (select user_id, event_id, ts, hour(ts) as h from e
   on l.track = json_extract_string(e.props, '$.k')::int) where rn = 1),
  hourly as (select h, track, share from (select h, track, count(*)::double / sum(count(*)) over (partition by h) as share,
   row_number() over (partition by h order by count(*) desc, track) as rn from plays group by h, track) where rn = 1 and share >= 0.05),
- favourite as (select track from plays group by track order by count(*) desc, track limit 1),
+ favourite as (select user_id, track from (select user_id, track, row_number() over (partition by user_id order by count(*) desc, track) as rn
+  from plays where track is not null group by user_id, track) where rn = 1),
  m as (select p.user_id, p.event_id, case when f.track is not null then 'manual' when n.track is not null then 'temporal'
-  when c.track is not null then 'semantic' when h.track is not null then 'semantic' when w.track is not null then 'temporal' else 'fallback' end as match_type,
-  coalesce(f.track, n.track, c.track, h.track, w.track, (select track from favourite)) as track,
+  when c.track is not null then 'semantic' when h.track is not null then 'semantic' when w.track is not null then 'temporal'
+  when b.track is not null then 'fallback' else 'none' end as match_type,
+  coalesce(f.track, n.track, c.track, h.track, w.track, b.track) as track,
   round(case when f.track is not null then 1.0 when n.track is not null then n.n when c.track is not null then c.score
-  when h.track is not null then h.share when w.track is not null then w.n else 0 end::double, 6) as match_score
+  when h.track is not null then h.share when w.track is not null then w.n when b.track is not null then 0 end::double, 6) as match_score
   from photos p left join fixed f using (event_id) left join near n using (event_id) left join pricey c using (event_id)
-  left join hourly h on h.h = p.h left join wide w using (event_id))"""
+  left join hourly h on h.h = p.h left join wide w using (event_id) left join favourite b on b.user_id = p.user_id)"""
 
 
 def _matches(t: Tables) -> DataFrame:
@@ -88,14 +90,15 @@ def _matches(t: Tables) -> DataFrame:
     track = json_value(F.col("props"), "$.k").cast("int")
     photos = _of_type(t, "purchase").select("user_id", "event_id", "ts", track.alias("_tag"))
     plays = _of_type(t, "view").select("user_id", "ts", track.alias("track"), "value")
-    overrides = _of_type(t, "signup").select((F.col("event_id") + 1).alias("event_id"), track.alias("track"))
+    pinned = _of_type(t, "signup").select((F.col("event_id") + 1).alias("event_id"), track.alias("track"))
+    overrides = photos.select("user_id", "event_id").join(pinned, "event_id")
     library = plays.filter("value >= 60").select("track").distinct()
-    by_text = photos.join(library, F.col("_tag") == F.col("track")).select("event_id", "track", F.lit(0.9).alias("match_score"))
+    by_text = photos.join(library, F.col("_tag") == F.col("track")).select("user_id", "event_id", "track", F.lit(0.9).alias("match_score"))
     hourly = plays.groupBy(F.hour("ts").alias("h"), "track").agg(F.count("*").alias("n"))
     totals = hourly.groupBy("h").agg(
         F.min_by(F.struct("track", "n"), F.struct(-F.col("n"), F.col("track"))).alias("b"), F.sum("n").alias("total")
     ).select("h", "b.track", (F.col("b.n") / F.col("total")).alias("match_score")).filter("match_score >= 0.05")
-    by_context = photos.withColumn("h", F.hour("ts")).join(totals, "h").select("event_id", "track", "match_score")
+    by_context = photos.withColumn("h", F.hour("ts")).join(totals, "h").select("user_id", "event_id", "track", "match_score")
     return album.match_music(
         photos.drop("_tag"), plays.drop("value"), overrides, by_text, by_context, "user_id", "event_id", "ts", "track"
     )
@@ -185,3 +188,20 @@ def facet_match(t: Tables) -> DataFrame:
 def first_category(t: Tables) -> DataFrame:
     words = t.texts.select(F.explode(F.split(F.lower("text"), r"\s")).alias("topic")).filter(F.length("topic") > 2)
     return terms.first_claims(words.distinct(), "topic", CATEGORIES)
+
+
+@query(_CASCADE + """, v as (select user_id, track, match_type, count(*) as n from m where match_type in ('manual', 'temporal', 'semantic') group by all),
+ w as (select user_id, track, sum(n)::bigint as votes, arg_min(match_type, {'a': -n, 'b': match_type}) as kind from v group by user_id, track),
+ best as (select * from (select *, row_number() over (partition by user_id order by votes desc, track) as rn from w) where rn = 1),
+ owners as (select distinct user_id from events),
+ loved as (select user_id, min(track) as track from plays where value >= 90 group by user_id)
+ select o.user_id, coalesce(best.track, loved.track, favourite.track) as track, case when best.track is not null then kind when loved.track is not null then 'semantic'
+ when favourite.track is not null then 'fallback' else 'none' end as match_type, coalesce(votes, 0)::bigint as votes
+ from owners o left join best using (user_id) left join loved using (user_id) left join favourite using (user_id)""")
+def scene_match(t: Tables) -> DataFrame:
+    """Track of every owner: what their photos agree on, else a dear one, else their most played."""
+    plays = _of_type(t, "view").select("user_id", json_value(F.col("props"), "$.k").cast("int").alias("track"), "value").filter("track is not null")
+    loved = plays.filter("value >= 90").groupBy("user_id").agg(F.min("track").alias("track"))
+    favourite = select.mode_per_group(plays, ["user_id"], "track", "track").select("user_id", "track")
+    owners = t.events.select("user_id").distinct()
+    return album.match_scenes(_matches(t), owners, ["user_id"], [("semantic", loved), ("fallback", favourite)], "track")

@@ -186,6 +186,40 @@ def test_scenes(spark):
     assert got == {1: (0, "date"), 2: (0, "date"), 3: (1, "date"), 4: (1, "filename"), 5: (0, "vector"), 6: (2, "none"), 7: (2, "none")}
 
 
+def test_scenes_and_music_of_two_albums_with_equal_ids(spark):
+    """A photo's album decides with whom it is compared, wherever photos of another album have its name."""
+    def at(minutes):
+        return dt.datetime(2024, 1, 5, 8) + dt.timedelta(minutes=minutes)
+
+    photos = spark.createDataFrame([
+        ("a", "p", None, "x.jpg", [0.0, 1.0]), ("a", "q", at(0), "x.jpg", [1.0, 0.0]),
+        ("b", "p", at(0), "x.jpg", [1.0, 0.0]), ("b", "q", at(900), "x.jpg", [0.0, 1.0]), ("b", "r", None, "x.jpg", [0.1, 1.0]),
+        ("c", "p", None, "x.jpg", [0.0, 1.0])], "album string, id string, ts timestamp_ntz, name string, v array<double>")
+    got = sorted((r["album"], r["id"], r["scene_id"], r["placed_by"]) for r in album.assign_scenes(photos, "album", "id", "ts", "name", "v", 3600).collect())
+    assert got == [("a", "p", 1, "none"), ("a", "q", 0, "date"), ("b", "p", 0, "date"), ("b", "q", 1, "date"), ("b", "r", 1, "vector"), ("c", "p", 0, "none")]
+
+    plays = spark.createDataFrame([("a", at(0), "x"), ("b", at(901), "y"), ("b", at(5000), "z"), ("b", at(5001), "z")], "album string, ts timestamp_ntz, track string")
+    none = spark.createDataFrame([], "album string, id string, track string, match_score double")
+    pinned = spark.createDataFrame([("a", "p", "m")], "album string, id string, track string")
+    matched = album.match_music(photos, plays, pinned, none, none, "album", "id", "ts", "track")
+    assert sorted((r["album"], r["id"], r["track"], r["match_type"]) for r in matched.collect()) == [
+        ("a", "p", "m", "manual"), ("a", "q", "x", "temporal"), ("b", "p", "z", "fallback"), ("b", "q", "y", "temporal"), ("b", "r", "z", "fallback"), ("c", "p", None, "none")]
+    levels = [("fallback", spark.createDataFrame([("c", "w")], "album string, track string"))]
+    scenes = album.match_scenes(matched, photos.select("album").unionAll(spark.createDataFrame([("d",)], "album string")), ["album"], levels, "track")
+    assert sorted((r["album"], r["track"], r["match_type"], r["votes"]) for r in scenes.collect()) == [
+        ("a", "m", "manual", 1), ("b", "y", "temporal", 1), ("c", "w", "fallback", 0), ("d", None, "none", 0)]
+
+
+def test_interactions_of_two_owners(spark):
+    def at(month):
+        return dt.datetime(2024, month, 5)
+
+    plays = spark.createDataFrame([("a", "x", at(1)), ("b", "x", at(2)), ("a", "y", at(1)), ("a", "y", at(3))], "who string, item string, ts timestamp_ntz")
+    lasting = reco.monthly_interactions(plays, "item", "ts", 2, "who").collect()
+    assert sorted((r["who"], r["virtual_user"], r["item"]) for r in lasting) == [("a", 202401, "y"), ("a", 202403, "y")]
+    assert reco.monthly_interactions(plays, "item", "ts", 2).count() == 4
+
+
 def test_profiles(spark):
     assert one(spark, cal.day_slot(F.lit(4), cal.PROFILE_CUTS)) == "night" and one(spark, cal.day_slot(F.lit(5), cal.PROFILE_CUTS)) == "morning"
     assert one(spark, cal.day_slot(F.lit(23), cal.CONTEXT_CUTS)) == "night out party" and one(spark, cal.day_slot(F.lit(0), cal.CONTEXT_CUTS)) == "late night dark quiet"
