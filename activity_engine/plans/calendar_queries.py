@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from activity_engine.functions import calendar as cal
-from activity_engine.operators import profiles
+from activity_engine.operators import profiles, sketches
 from activity_engine.operators.select import mode_per_group, top_counts, top_per_group
 from activity_engine.plans.registry import Tables, query
 
@@ -293,6 +293,14 @@ def approx_distinct(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"))
 
 
+@query("""select event_type, date_trunc('month', ts)::date as period, count(distinct user_id)::bigint as users, count(*) as n from events group by all""")
+def distinct_by_period(t: Tables) -> DataFrame:
+    """Owners per kind of event and month, from daily sketches fine enough to be exact for the number of owners there is."""
+    daily = sketches.daily_sketches(t.events, ["event_type"], "ts", "user_id", 16)
+    found = sketches.distinct_in(daily, ["event_type"], F.date_trunc("month", "day").cast("date"), 16)
+    return found.select("event_type", "period", F.round("distinct_values").cast("long").alias("users"), "n")
+
+
 @query("""select count(*) as plays, count(distinct l_partkey) as items, count(distinct l_suppkey) as artists,
  sum(l_quantity::decimal(18,2))::double as minutes, round(sum(l_quantity::decimal(18,2))::double / 60, 4) as hours,
  min(l_shipdate) as first_ts, max(l_shipdate) as last_ts from lineitem""")
