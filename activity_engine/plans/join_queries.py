@@ -149,8 +149,21 @@ def anchor_contains(t: Tables) -> DataFrame:
     return lookups.contained_anchors(t.part.select("p_partkey", "p_name"), "p_name", anchors, "anchor")
 
 
-@query(f"""with t as (select p_name, count(*) as score from part group by p_name), w as (select unnest([{sql_list(WANTED_TITLES)}]) as wanted),
- r as (select wanted, p_name, score, 1 - levenshtein(p_name, wanted)::double / greatest(length(p_name), length(wanted)) as alike from t, w),
+_BLOCKS = """pairs as (select distinct p_name, wanted from t, w),
+ spots as (select p_name, wanted, i, j from (select *, unnest(range(length(wanted))) as i from pairs) a, lateral (select unnest(range(length(p_name))) as j)
+  where substr(wanted, i::int + 1, 1) = substr(p_name, j::int + 1, 1)),
+ ends as (select *, i - row_number() over (partition by p_name, wanted, i - j order by i) as island from spots),
+ runs as (select p_name, wanted, i, j, max(i) over (partition by p_name, wanted, i - j, island) - i + 1 as len from ends),
+ parts as (select p_name, wanted, 0::bigint as alo, length(wanted)::bigint as ahi, 0::bigint as blo, length(p_name)::bigint as bhi, 0::bigint as size from pairs
+  union all select p_name, wanted, x.alo, x.ahi, x.blo, x.bhi, x.size from (
+   select p_name, wanted, unnest([{'alo': alo, 'ahi': b.i, 'blo': blo, 'bhi': b.j, 'size': -b.k}, {'alo': b.i - b.k, 'ahi': ahi, 'blo': b.j - b.k, 'bhi': bhi, 'size': 0::bigint}]) as x
+   from (select p.p_name, p.wanted, alo, ahi, blo, bhi, min({'k': -least(len, ahi - i, bhi - j), 'i': i, 'j': j}) as b
+    from parts p join runs r on r.p_name = p.p_name and r.wanted = p.wanted and i >= alo and i < ahi and j >= blo and j < bhi group by all))),
+ alike as (select p_name, wanted, 2 * sum(size)::double / (length(p_name) + length(wanted)) as alike from parts group by p_name, wanted)"""
+
+
+@query(f"""with recursive t as (select p_name, count(*) as score from part group by p_name), w as (select unnest([{sql_list(WANTED_TITLES)}]) as wanted),
+ {_BLOCKS}, r as (select wanted, p_name, score, alike from t join alike using (p_name)),
  l as (select *, case when p_name = wanted then 1 when contains(p_name, wanted) then 2 when alike >= 0.55 then 3 end as level from r)
  select wanted, p_name, level::int as level from (select *, row_number() over (partition by wanted order by level,
  case when level = 3 then alike else score end desc, p_name) as rn from l where level is not null) where rn = 1""")

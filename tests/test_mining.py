@@ -89,6 +89,38 @@ def test_title_search_levels(spark):
     assert got == {"red ring": ("red ring", 1), "red": ("small red ring", 2), "bluu rod": ("blue rod", 3)}
 
 
+def test_matching_blocks(spark):
+    """The measure, its bound, and literals of the search it stands for."""
+    from difflib import SequenceMatcher
+
+    assert lookups.matching_ratio("matrix the", "the matrix") == 0.6 and lookups.matching_ratio("", "") == 1.0
+    rnd = np.random.default_rng(3)
+    pairs = [("".join(rnd.choice(list("abcé "), rnd.integers(0, 14))), "".join(rnd.choice(list("abcé "), rnd.integers(0, 14)))) for _ in range(400)]
+    for a, b in pairs:
+        assert lookups.matching_ratio(a, b) == pytest.approx(SequenceMatcher(None, a, b, autojunk=False).ratio(), abs=1e-12)
+    for a in ("abba", "é", "", "aab c"):
+        rows = spark.createDataFrame([(b,) for _, b in pairs[:80]], "b string").select("b", lookups.ratio_bound(a, F.col("b")).alias("bound")).collect()
+        assert all(r["bound"] >= lookups.matching_ratio(a, r["b"]) - 1e-12 for r in rows)
+    titles = spark.createDataFrame([("The Matrix", 1), ("Matrix Reloaded", 5), ("matrix", None), (None, 9), ("Dark", 3)], "title string, score int")
+    got = {r["wanted"]: (r["title"], r["level"]) for r in lookups.find_titles(titles, "title", "score", ["matrix the", "MATRIX ", "reload", "drak", "  ", "zzz"]).collect()}
+    assert got == {"matrix the": ("matrix", 3), "matrix": ("matrix", 1), "reload": ("Matrix Reloaded", 2), "drak": ("Dark", 3)}
+    assert lookups.find_titles(titles, "title", "score", [" "]).count() == 0
+
+
+def test_anchors_of_many_lengths(spark):
+    rnd = np.random.default_rng(4)
+    word = lambda n: "".join(rnd.choice(list("abé "), n))
+    titles = [word(rnd.integers(0, 30)) for _ in range(150)] + [None]
+    anchors = sorted({word(rnd.integers(1, 25)) for _ in range(80)} | {t[i:i + n] for t in titles[:60] for i, n in ((2, 9), (0, 17), (5, 3)) if t})
+    items = spark.createDataFrame(list(enumerate(titles)), "id int, title string")
+    listed = spark.createDataFrame([(a,) for a in anchors] + [(None,), ("",), (anchors[0],)], "anchor string")
+    got = sorted((r["id"], r["anchor"]) for r in lookups.contained_anchors(items, "title", listed, "anchor").collect())
+    assert got == sorted((i, a) for i, t in enumerate(titles) for a in anchors if t is not None and a and a in t)
+    long = [a for a in anchors if len(a) >= 3]
+    met = lookups.anchor_candidates(items, "title", listed.filter("length(anchor) >= 3"), "anchor").count()
+    assert met < .25 * len(long) * len(titles)
+
+
 def test_contained_anchors(spark):
     items = spark.createDataFrame([(1, "the matrix"), (2, "matrix the"), (3, "cat")], "id int, title string")
     anchors = spark.createDataFrame([("matrix",), ("the",), ("",), ("catalogue",)], "anchor string")
