@@ -9,23 +9,25 @@ from pyspark.sql import functions as F
 
 from activity_engine.functions import calendar as cal
 from activity_engine.operators.select import first_per_key
+from activity_engine.sources.records import json_rows
 
+# The exports' field names.
 _EXTENDED = (
     "ts string, master_metadata_track_name string, master_metadata_album_artist_name string, ms_played long, "
     "spotify_track_uri string, skipped boolean, shuffle boolean"
 )
 _ACCOUNT = "endTime string, artistName string, trackName string, msPlayed long"
-_LIBRARY = "tracks array<struct<artist:string,album:string,track:string,uri:string>>"
-_PLAYLISTS = (
-    "playlists array<struct<name:string,lastModifiedDate:string,items:array<struct<addedDate:string,"
-    "track:struct<trackName:string,artistName:string,albumName:string,trackUri:string>>>>>"
+_TRACK = "artist string, album string, track string, uri string"
+_PLAYLIST = (
+    "name string, lastModifiedDate string, items array<struct<addedDate:string,"
+    "track:struct<trackName:string,artistName:string,albumName:string,trackUri:string>>>"
 )
 _SEARCHES = "searchQuery string, searchTime string, platform string"
 MIN_PLAY_MS = 30_000
 
 
-def _documents(spark: SparkSession, paths: str | Sequence[str], schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(paths) if paths else spark.createDataFrame([], schema)
+def _documents(spark: SparkSession, paths: str | Sequence[str], schema: str, level: int = 1, key: str | None = None) -> DataFrame:
+    return json_rows(spark, paths, schema, level, key) if paths else spark.createDataFrame([], schema)
 
 
 def play_history(spark: SparkSession, extended: str | Sequence[str], account: str | Sequence[str]) -> DataFrame:
@@ -61,16 +63,15 @@ def merge_plays(plays: DataFrame) -> DataFrame:
 
 
 def library(spark: SparkSession, path: str) -> DataFrame:
-    tracks = _documents(spark, path, _LIBRARY).select(F.explode("tracks").alias("t"))
-    return tracks.select(
-        F.col("t.artist").alias("artistName"), F.col("t.album").alias("albumName"),
-        F.col("t.track").alias("trackName"), F.col("t.uri").alias("trackUri"),
+    return _documents(spark, path, _TRACK, 2, "tracks").select(
+        F.col("artist").alias("artistName"), F.col("album").alias("albumName"),
+        F.col("track").alias("trackName"), F.col("uri").alias("trackUri"),
     ).filter(F.col("trackName").isNotNull())
 
 
 def playlists(spark: SparkSession, path: str) -> DataFrame:
-    lists = _documents(spark, path, _PLAYLISTS).select(F.explode("playlists").alias("p"))
-    items = lists.select(F.col("p.name").alias("playlistName"), F.col("p.lastModifiedDate"), F.explode("p.items").alias("i"))
+    lists = _documents(spark, path, _PLAYLIST, 2, "playlists")
+    items = lists.select(F.col("name").alias("playlistName"), "lastModifiedDate", F.explode("items").alias("i"))
     return items.select(
         "playlistName", "lastModifiedDate", "i.track.trackName", "i.track.artistName", "i.track.albumName",
         "i.track.trackUri", F.try_to_date("i.addedDate", "yyyy-MM-dd").alias("addedDate"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from activity_engine.functions import calendar as cal
 from activity_engine.functions import text as tx
-from activity_engine.functions.nested import unwrap_js
+from activity_engine.sources.records import json_records
 
 PLATFORM = "twitter"
 _POST = (
@@ -18,9 +18,8 @@ _POST = (
 
 
 def wrapped_rows(spark: SparkSession, path: str, element: str) -> DataFrame:
-    """Elements of the wrapped array, column ``e`` of type ``struct<element>``; one task per file."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.explode(F.from_json(unwrap_js(F.col("value")), f"array<struct<{element}>>")).alias("e"))
+    """Elements of the wrapped array, column ``e`` of type ``struct<element>``; a large file is read by many tasks."""
+    return json_records(spark, path).select(F.from_json("record", f"struct<{element}>").alias("e")).where("e is not null")
 
 
 def _joined(array: str, field: str, lower: bool = False) -> Column:
