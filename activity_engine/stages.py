@@ -213,8 +213,8 @@ def build_album(house: Warehouse, photos: DataFrame, gap_hours: float = 6.0, thr
         F.col("centroid").alias("centroid_embedding"), F.col("representative").alias("representative_photo"),
         "timestamp_start", "timestamp_end")
     return {
-        "scenes": house.upsert("scenes", scenes.drop("embedding"), ["album", "photo_id"], ["scene_id"]),
-        "scene_centroids": house.upsert("scene_centroids", made, ["album", "scene_id"], ["photo_count"]),
+        "scenes": house.replace_groups("scenes", scenes.drop("embedding"), ["album"]),
+        "scene_centroids": house.replace_groups("scene_centroids", made, ["album"]),
     }
 
 
@@ -222,7 +222,7 @@ def cluster_photos(house: Warehouse, photos: DataFrame, min_samples: int = hiera
                    names: dict[int, str] | None = None, dimensions: int = 50) -> dict[str, int]:
     """Density clusters of photo vectors over their principal axes, with their place on the first two."""
     axes = projection.principal_axes(photos, "embedding", dimensions)
-    flat = durable(axes.project(photos.select("photo_id", "embedding"), "embedding").drop("embedding"))
+    flat = durable(axes.project(photos.select("photo_id", "embedding"), "embedding").where(F.size("projected") > 0).drop("embedding"))
     found = hierarchy.density_hierarchy(flat, "photo_id", "projected", min_samples, min_size)
     label = density.cluster_name(F.col("cluster"), names or {}, F.concat(F.lit("Cluster "), "cluster"))
     place = [F.get("projected", F.lit(i)).alias(c) for i, c in enumerate("xy")]

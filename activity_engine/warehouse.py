@@ -1,11 +1,15 @@
 """Named activity tables in a folder, written with Spark's own Parquet writer.
 
-An insert appends files. A result that replaces rows is written beside the old one as the next version folder, and a
-reader takes the newest folder Spark marked as complete, so a lost job never leaves a half-replaced table.
+A table is laid out by a column that a batch can be compared with: the month its key holds, or else a bucket, a hash of the key.
+An insert appends files to the months or buckets it has rows for; an upsert rewrites the buckets that its batch
+changes, by Spark's dynamic partition overwrite, which puts new files in place only once all are written. A merge that was lost on
+the way is simply run again. A result that replaces a whole table is written beside the old one as the next version folder,
+so a reader keeps what it reads, and takes the newest folder Spark marked as complete.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -13,11 +17,21 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from activity_engine.operators import merge
+from activity_engine.session import durable
+
+_BUCKET = re.compile(r"_bucket_(\d+)")
+
+
+def with_bucket(df: DataFrame, by: Sequence[str], buckets: int) -> DataFrame:
+    """``df`` with its bucket; the number of buckets is part of the column's name, so it stays that of the table."""
+    return df.withColumn(f"_bucket_{buckets}", F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in by]), F.lit(buckets)).cast("int"))
 
 
 class Warehouse:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    """``buckets``: how many a new table without a month gets; about its expected size over a gigabyte."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def _listed(self, pattern: str) -> list:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{pattern}")
@@ -34,18 +48,25 @@ class Warehouse:
     def exists(self, name: str) -> bool:
         return self.read(name) is not None
 
-    def read(self, name: str, columns: Sequence[str] | None = None) -> DataFrame | None:
-        """The table, or None when absent. Only the asked columns that exist are read."""
+    def _stored(self, name: str) -> DataFrame | None:
+        """The newest version as it lies there, its bucket column included."""
         versions = self._versions(name)
         if not versions:
             return None
         try:
-            df = self.spark.read.parquet(versions[-1])
+            return self.spark.read.parquet(versions[-1])
         except AnalysisException as error:
-            # A table laid out by month holds no file, hence no schema, while it is empty.
+            # A table laid out by month or bucket holds no file, hence no schema, while it is empty.
             if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":
                 return None
             raise
+
+    def read(self, name: str, columns: Sequence[str] | None = None) -> DataFrame | None:
+        """The table, or None when absent. Only the asked columns that exist are read."""
+        df = self._stored(name)
+        if df is None:
+            return None
+        df = df.drop(*[c for c in df.columns if _BUCKET.fullmatch(c)])
         return df if columns is None else df.select(*[c for c in columns if c in df.columns])
 
     def overwrite(self, name: str, df: DataFrame) -> int:
@@ -58,32 +79,72 @@ class Warehouse:
         """Append the batch rows whose key the table lacks; returns how many. Running it again adds nothing.
 
         ``partition`` is a calendar column (the month) that follows from the key: the table is laid out by it, and a
-        batch is compared only with the months it holds.
+        batch is compared only with the months it holds. Without one, the same goes for buckets of the key.
         """
         order = list(order or [c for c in batch.columns if c not in keys])
-        target = self.read(name)
-        if target is None:
-            return self._write(merge.first_per_key(batch, keys, order), self._next(name), "errorifexists", partition)
-        if partition:
-            months = [row[0] for row in batch.select(partition).distinct().collect()]
-            inside = F.col(partition).isin(*[m for m in months if m is not None])
-            target = target.filter(inside | F.col(partition).isNull() if None in months else inside)
-        fresh = merge.absent_rows(batch, target, keys, order)
-        return self._write(fresh, self._versions(name)[-1], "append", partition)
+        stored = self._stored(name)
+        layout = partition or self._bucket(stored) or f"_bucket_{self.buckets}"
+        if not partition:
+            batch = with_bucket(batch, keys, int(_BUCKET.fullmatch(layout).group(1)))
+            order = [*order, layout]
+        if stored is None:
+            return self._write(merge.first_per_key(batch, keys, order), self._next(name), "errorifexists", layout)
+        if layout not in stored.columns:  # once replaced as a whole: laid out anew with what is added
+            old = with_bucket(stored, keys, self.buckets)
+            fresh = durable(merge.absent_rows(batch, old, keys, order))
+            self._write(old.unionByName(fresh, allowMissingColumns=True), self._next(name), "errorifexists", layout)
+            return fresh.count()
+        fresh = merge.absent_rows(batch, self._beside(stored, batch, layout), keys, order)
+        return self._write(fresh, self._versions(name)[-1], "append", layout)
 
     def upsert(self, name: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None) -> int:
-        """Replace rows of the same key, add new ones; returns the size of the table."""
+        """Replace rows of the same key, add new ones; returns the size of the table. Only buckets of the batch are rewritten."""
         order = list(order or [c for c in batch.columns if c not in keys])
-        target = self.read(name)
-        result = merge.first_per_key(batch, keys, order) if target is None else merge.upsert(target, batch, keys, order)
-        return self.overwrite(name, result)
+        return self._merge(name, batch, keys, lambda target, rows: merge.upsert(target, rows, keys, order), merge.first_per_key(batch, keys, order))
+
+    def replace_groups(self, name: str, batch: DataFrame, group: Sequence[str]) -> int:
+        """Replace all rows of the groups that the batch holds, those it no longer has among them; returns the size of the table.
+        The buckets are those of the group."""
+        def merged(target: DataFrame, rows: DataFrame) -> DataFrame:
+            gone = rows.select(*group).distinct()
+            return target.join(gone, merge.null_safe(target, gone, group), "left_anti").unionByName(rows)
+
+        return self._merge(name, batch, group, merged, batch)
+
+    def _merge(self, name: str, batch: DataFrame, by: Sequence[str], merged, first: DataFrame) -> int:
+        stored = self._stored(name)
+        layout = self._bucket(stored) or f"_bucket_{self.buckets}"
+        buckets = int(_BUCKET.fullmatch(layout).group(1))
+        if stored is None:
+            return self._write(with_bucket(first, by, buckets), self._next(name), "errorifexists", layout)
+        rows = durable(with_bucket(batch, by, buckets))
+        if layout not in stored.columns:
+            return self._write(merged(with_bucket(stored, by, buckets), rows), self._next(name), "errorifexists", layout)
+        held = durable(merged(self._beside(stored, rows, layout), rows))  # settled before what it was read from is replaced
+        self._write(held, self._versions(name)[-1], "overwrite", layout)
+        return self.read(name).count()
+
+    @staticmethod
+    def _bucket(stored: DataFrame | None) -> str | None:
+        return next((c for c in stored.columns if _BUCKET.fullmatch(c)), None) if stored is not None else None
+
+    @staticmethod
+    def _beside(stored: DataFrame, batch: DataFrame, layout: str) -> DataFrame:
+        """The rows of the months or buckets that the batch has: folders, so no other is read."""
+        wanted = [row[0] for row in batch.select(layout).distinct().collect()]
+        inside = F.col(layout).isin(*[m for m in wanted if m is not None])
+        return stored.filter(inside | F.col(layout).isNull() if None in wanted else inside)
 
     @staticmethod
     def _write(df: DataFrame, path: str, mode: str, partition: str | None = None) -> int:
-        """Rows are counted while they are written, not by a second scan."""
+        """Rows are counted while they are written, not by a second scan. Rows of one folder come together, and a folder with
+        many rows is still written by several tasks."""
         seen = Observation()
-        writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode)
-        (writer.partitionBy(partition) if partition else writer).parquet(path)
+        together = df.hint("rebalance", partition) if partition else df
+        writer = together.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode)
+        if partition:
+            writer = writer.partitionBy(partition).option("partitionOverwriteMode", "dynamic")
+        writer.parquet(path)
         return seen.get["rows"]
 
     def export_json(self, df: DataFrame, folder: str) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from activity_engine import schemas
 from activity_engine.operators import merge, quality
 from activity_engine.streaming.ingest import ingest
-from activity_engine.warehouse import PLAY_ROLES, Warehouse, resolve_columns
+from activity_engine.warehouse import PLAY_ROLES, Warehouse, resolve_columns, with_bucket
 
 SCHEMA = "k string, t int, v int"
 
@@ -53,6 +53,56 @@ def test_upsert_and_overwrite(spark, house):
     assert before.count() == 4  # a reader keeps its snapshot
 
 
+def files(tmp_path, name):
+    return {str(f.relative_to(tmp_path)): f.stat().st_mtime_ns for f in (tmp_path / f"house/{name}").rglob("part-*")}
+
+
+def test_a_one_row_batch_rewrites_one_bucket(spark, house, tmp_path):
+    rows = [(f"k{i}", i, i) for i in range(300)]
+    assert house.upsert("t", spark.createDataFrame(rows, SCHEMA), ["k"]) == 300
+    before = files(tmp_path, "t")
+    assert len({f.split("/")[-2] for f in before}) == 16 and len(before) == 16
+    assert house.upsert("t", spark.createDataFrame([("k7", 1, -1)], SCHEMA), ["k"]) == 300
+    after = files(tmp_path, "t")
+    assert len(set(before) - set(after)) == 1 == len(set(after) - set(before)) and all(before[f] == after[f] for f in set(before) & set(after))
+    assert content(house.read("t")) == sorted([r for r in rows if r[0] != "k7"] + [("k7", 1, -1)], key=str)
+
+    assert house.insert_absent("i", spark.createDataFrame(rows, SCHEMA), ["k", "t"]) == 300
+    before = files(tmp_path, "i")
+    assert house.insert_absent("i", spark.createDataFrame([("new", 1, 1), rows[3]], SCHEMA), ["k", "t"]) == 1
+    after = files(tmp_path, "i")
+    assert set(before) < set(after) and len(after) == len(before) + 1
+    more = with_bucket(spark.createDataFrame([("new", 1, 1)], SCHEMA), ["k", "t"], 16)
+    plan = house._beside(house._stored("i"), more, "_bucket_16")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_bucket_16" in plan
+
+
+def test_a_lost_merge_changes_nothing_and_can_be_run_again(spark, house, tmp_path):
+    rows = [(f"k{i}", i, i) for i in range(60)]
+    house.upsert("t", spark.createDataFrame(rows, SCHEMA), ["k"])
+    before = files(tmp_path, "t")
+    bad = spark.createDataFrame([(f"k{i}", 0, 0) for i in range(60)], SCHEMA)
+    broken = bad.withColumn("v", F.when(F.col("k") == "k59", F.raise_error(F.lit("lost")).cast("int")).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="lost"):
+        house.upsert("t", broken, ["k"])
+    with pytest.raises(Exception, match="lost"):  # while files are being written
+        house._write(broken.withColumn("_bucket_16", F.lit(3)), house._versions("t")[-1], "overwrite", "_bucket_16")
+    assert files(tmp_path, "t") == before and content(house.read("t")) == sorted(rows, key=str)
+    assert house.upsert("t", bad, ["k"]) == 60 and house.read("t").agg(F.sum("v")).first()[0] == 0
+
+
+def test_groups_are_replaced_as_a_whole(spark, house):
+    schema = "album string, scene int, n int"
+    first = spark.createDataFrame([("a", 0, 1), ("a", 1, 1), ("b", 0, 1), (None, 0, 1)], schema)
+    assert house.replace_groups("s", first, ["album"]) == 4
+    assert house.replace_groups("s", spark.createDataFrame([("a", 0, 2), (None, 5, 2)], schema), ["album"]) == 3
+    assert content(house.read("s")) == [("a", 0, 2), ("b", 0, 1), (None, 5, 2)]
+    house.overwrite("s", spark.createDataFrame([("z", 0, 1), ("b", 1, 1)], schema))  # no buckets any more
+    assert house.replace_groups("s", spark.createDataFrame([("b", 7, 7)], schema), ["album"]) == 2
+    assert house.insert_absent("s", spark.createDataFrame([("b", 7, 9), ("q", 0, 0)], schema), ["album"]) == 1
+    assert house.read("s").columns == ["album", "scene", "n"] and house.read("s").count() == 3
+
+
 def test_unfinished_version_is_not_read(spark, house, tmp_path):
     house.overwrite("t", spark.createDataFrame([("a", 1, 1)], SCHEMA))
     (tmp_path / "house/t/v000002").mkdir()
