@@ -43,23 +43,24 @@ def line_dedup(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES
     """``docs`` with all its columns, its ``text`` without frequent lines, and ``__dropped``, the number of lines dropped.
 
     ``host`` names the column of the site. Lines equal in every byte count as one. A text whose lines all go becomes empty
-    and its row stays; null stays null. Repeated rows are pages of their own. An empty table gives no rows.
+    and its row stays; null stays null. A column ``__dropped`` of the input is replaced. Repeated rows are pages of their own. An empty table gives no rows.
     """
-    site = docs.withColumn("__host", F.col(host).cast("string"))
-    found = durable(frequent_lines(site.select(F.col("__host").alias("host"), "text"), ratio, min_pages))
+    # the row travels as one value, so none of its columns can clash
+    site = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{host}`").cast("string").alias("host"), F.col("text").alias("text"))
+    found = durable(frequent_lines(site.select("host", "text"), ratio, min_pages))
     # A host's pages hold pages * lines-per-page line occurrences, and each frequent line takes ratio * pages of them:
     # there are at most lines-per-page / ratio rows per host here.
-    listed = found.groupBy("host").agg(F.collect_set("line").alias("__frequent")).withColumnRenamed("host", "__site")
+    listed = found.groupBy("host").agg(F.collect_set("line").alias("frequent")).withColumnRenamed("host", "site")
     if found.count() <= BROADCAST_ROWS:
         listed = F.broadcast(listed)
-    joined = site.join(listed, site["__host"].eqNullSafe(F.col("__site")), "left")
-    some = F.col("__frequent").isNotNull()
-    kept = F.filter(lines(F.col("text")), lambda line: ~F.array_contains(F.col("__frequent"), _name(line)))
+    joined = site.join(listed, F.col("host").eqNullSafe(F.col("site")), "left")
+    some = F.col("frequent").isNotNull()
+    kept = F.filter(lines(F.col("text")), lambda line: ~F.array_contains(F.col("frequent"), _name(line)))
     text = F.when(some, F.array_join(kept, NEWLINE)).otherwise(F.col("text"))
     dropped = F.when(some, F.size(lines(F.col("text"))) - F.size(kept)).otherwise(F.lit(0))
-    names = docs.columns
-    return joined.select(*[text.alias("text") if n == "text" else F.col(f"`{n}`") for n in names],
-                         F.when(F.col("text").isNull(), 0).otherwise(dropped).cast("long").alias("__dropped"))
+    done = joined.select("row", text.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(dropped).cast("long").alias("dropped"))
+    names = [n for n in docs.columns if n != "__dropped"]
+    return done.select(*[F.col("text") if n == "text" else F.col("row")[n].alias(n) for n in names], F.col("dropped").alias("__dropped"))
 
 
 def digest(result: DataFrame) -> DataFrame:
