@@ -244,17 +244,20 @@ def judge(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame
     (of its path) and ``__keep`` (both posteriors under a half).
 
     Null and empty texts have no marks. Rows without source or lang form a site or path of their own. Without labels of
-    both kinds nothing is known of a label and its prior holds. Repeated rows count as documents of their own.
+    both kinds nothing is known of a label and its prior holds. Columns of the input that are named like a new one are replaced. Repeated rows count as documents of their own.
     """
     evidence = learn(docs, labels, rows)
     score = _scorer(evidence)(F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")))
-    known = docs.withColumn("__site", F.col("source").cast("string")).withColumn("__path", F.col("lang").cast("string")).withColumn("__score", score)
-    level = _posteriors(known.select(F.col("__site").alias("site"), F.col("__path").alias("path"), "__score.junk", "__score.toxic"))
+    # the row travels as one value, so none of its columns can clash
+    known = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").cast("string").alias("own_site"),
+                        F.col("lang").cast("string").alias("own_path"), score.alias("score"))
+    level = _posteriors(known.select(F.col("own_site").alias("site"), F.col("own_path").alias("path"), "score.junk", "score.toxic"))
     # one row per path; Spark broadcasts them while they are small and else splits large sites
-    both = known.join(level, known["__site"].eqNullSafe(level["site"]) & known["__path"].eqNullSafe(level["path"]), "left")
-    posterior = {n: _probability(F.col(f"__score.{n}") + F.col(f"{n}_shift")) for n in LABELS}
-    out = both.select(*[F.col(f"`{c}`") for c in docs.columns], *[posterior[n].alias(f"__{n}") for n in LABELS],
-                      *[F.col(f"{n}_rate").alias(f"__{n}_rate") for n in LABELS])
+    both = known.join(level, F.col("own_site").eqNullSafe(F.col("site")) & F.col("own_path").eqNullSafe(F.col("path")), "left")
+    posterior = {n: _probability(F.col(f"score.{n}") + F.col(f"{n}_shift")) for n in LABELS}
+    made = {f"__{n}": posterior[n] for n in LABELS} | {f"__{n}_rate": F.col(f"{n}_rate") for n in LABELS}
+    done = both.select("row", *[made[n].alias(n) for n in made])
+    out = done.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in made and c != "__keep"], *made)
     return out.withColumn("__keep", (F.col("__junk") < 0.5) & (F.col("__toxic") < 0.5))
 
 
