@@ -13,6 +13,7 @@ must visit next. Equal vectors are held once, with as many of their ids as can b
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -57,11 +58,20 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
+def in_range(vectors: np.ndarray) -> np.ndarray:
+    """Rows whose squares a double cannot hold are scaled by a power of two, which no cosine feels; others are as they were."""
+    if not vectors.size:
+        return vectors
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1))
+    odd = np.abs(exponent) > 400
+    return np.where(odd[:, None], np.ldexp(vectors, -exponent[:, None]), vectors) if odd.any() else vectors
+
+
 def matrix(column) -> np.ndarray:
     """A list column of equal lengths as rows."""
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = lists.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(lists), -1).astype(float) if len(lists) else np.zeros((0, 1))
+    return in_range(flat.reshape(len(lists), -1).astype(float)) if len(lists) else np.zeros((0, 1))
 
 
 class Planes:
@@ -175,24 +185,31 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, sure: float = SU
     cosine, nearest first, ties to the smaller id.
 
     Rows whose vector is null, empty, zero, or holds null or non-finite components take no part, nor do rows without an
-    id and vectors shorter than the longest. Of repeated rows of one id the least vector counts. Each neighbour is found
-    with a probability of about ``sure``. An empty table gives no rows.
+    id. Vectors of each length are an index of their own, built one after another. Of repeated rows of one id the least vector
+    counts. Each neighbour is found with a probability of about ``sure``. An empty table gives no rows.
     """
     fine = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall(
         "embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
     rows = vectors.where("vec_id is not null").select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(fine)
-    shape = rows.agg(F.max(F.size("embedding")).alias("size"), F.count("*").alias("n")).first()
-    size = shape["size"] or 1
+    shapes = rows.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n")).orderBy("size").collect()  # a row a length
+    if len(shapes) > 1:  # an id counts once, with its least vector
+        rows = durable(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
+    found = [_nearest(rows, s["size"], s["n"], k, every, sure) for s in shapes or [{"size": 1, "n": 0}]]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest(rows: DataFrame, size: int, count: int, k: int, every: int, sure: float) -> DataFrame:
+    """``nearest`` among the vectors of one length."""
     rows = rows.where(F.size("embedding") == size).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     first = Window.partitionBy("embedding").orderBy("vec_id")
     held = durable(rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1)
                    .groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("members")))
-    share = min(1.0, SAMPLE / max(1, shape["n"]))
+    share = min(1.0, SAMPLE / max(1, count))
     sample = held.where(F.pmod(F.xxhash64("embedding"), F.lit(1_000_000)) < int(share * 1_000_000)).select("embedding").collect()
     project = directions(size)
-    points = unit(np.array([r.embedding for r in sample]).reshape(-1, size)) @ project if sample else np.zeros((0, DIMENSIONS))
-    planes = Planes(points, shape["n"] // CELL)
+    points = unit(in_range(np.array([r.embedding for r in sample]).reshape(-1, size))) @ project if sample else np.zeros((0, DIMENSIONS))
+    planes = Planes(points, count // CELL)
     quantile = chi_square_quantile(sure, DIMENSIONS)
 
     @F.arrow_udf("int")
