@@ -18,6 +18,8 @@ A connected pair needs no further link to give the same components, which spares
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -188,6 +190,16 @@ def _reduced(n: int, percent: int, late: np.ndarray):
     return run
 
 
+def _sizes(n: int):
+    """The size of every text's set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in slices(batch):
+                yield pa.RecordBatch.from_arrays([pa.array([len(held) for held in sets_of(texts, n)], pa.int64())], names=["n_shingles"])
+
+    return run
+
+
 class PrefixTree:
     """Ordered sets as a prefix tree: sets sorted, each hanging where it leaves the one before."""
 
@@ -264,11 +276,11 @@ def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) of every row with an id.
+    """(doc_id, n_shingles, class_id, component_id) of every row.
 
     ``class_id`` is the least id with the same n-grams, ``component_id`` the least id that similar documents lead to.
     Null, empty and blank texts have no n-grams and form components of their own. Repeated rows repeat; rows without an
-    id cannot be linked and are left out. Columns other than ``doc_id`` and ``text`` are not read.
+    id cannot be linked: they have their size, and null as class and component. Columns other than ``doc_id`` and ``text`` are not read.
     """
     sets = _sets(docs, n, percent)
     blocks.release(docs.sparkSession)
@@ -278,8 +290,11 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Dat
     rest = durable(_links(_unconnected(shared, components(near), percent), sets, n, percent))
     blocks.release(docs.sparkSession)
     found = components(near.unionByName(rest))
-    return (sets.join(found, sets["class"] == found["node"], "left").select(
-        "doc_id", "n_shingles", F.col("class").alias("class_id"), F.coalesce("component", "class").alias("component_id")))
+    named = sets.join(found, sets["class"] == found["node"], "left").select(
+        "doc_id", "n_shingles", F.col("class").alias("class_id"), F.coalesce("component", "class").alias("component_id"))
+    none = F.lit(None).cast("long")
+    nameless = docs.where("doc_id is null").select(F.col("text").cast("binary").alias("text")).mapInArrow(_sizes(n), "n_shingles long")
+    return named.unionByName(nameless.select(none.alias("doc_id"), "n_shingles", none.alias("class_id"), none.alias("component_id")))
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
