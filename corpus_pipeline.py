@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from activity_engine.llm import decontamination, line_dedup, ngram_join, pieces, quality
+from activity_engine.llm import decontamination, line_dedup, ngram_join, pieces, quality, token_files
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each one's result written to the shared folder and read again, so that no stage is computed twice and what one kept is
+    what the next one sees."""
+    where = token_files.shared_folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for number, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{where}/{number}")
+        docs = spark.read.parquet(f"{where}/{number}")
     return docs
