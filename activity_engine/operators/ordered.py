@@ -160,6 +160,18 @@ def dense_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], nam
     return rows.withColumn(name, F.col("_n") - 1).drop("_n")
 
 
+def places(ordered: DataFrame, name: str = "place") -> DataFrame:
+    """Zero-based place of every row of a frame in the order it has (``orderBy``): the rows of all partitions before, and those
+    before it in its own. The order is settled first, so places and rows cannot part."""
+    held = durable(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    sizes = held.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    begun = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_begun"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return held.withColumn("_part", part).join(F.broadcast(begun), "_part").withColumn(name, F.col("_begun") + inside).drop("_at", "_part", "_begun")
+
+
 def percent_rank(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """``percent_rank`` of ``value`` within ``keys``: (rows below) / (rows - 1), 0 for a single row.
 

@@ -59,7 +59,7 @@ def capped_per_source(df: DataFrame, source: str, row_id: str, n: int, seed: int
 
 def shuffled(df: DataFrame, row_id: str, seed: int) -> DataFrame:
     """A reproducible permutation."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(row_id)), F.col(row_id))
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string"))), F.col(row_id))
 
 
 def dense_subset(facts: DataFrame, item: str, user: str, min_item: int, min_user: int) -> DataFrame:

@@ -78,7 +78,7 @@ def top_texts(df: DataFrame, groups: Sequence[str], text: str, k: int) -> DataFr
 
     Counted by digest, so texts are not shuffled; the k winners per group fetch their text by a join on the digest.
     """
-    noisy = tx.is_noise(F.col(text), tx.TITLE_NOISE) | F.col(text).rlike(r"^\s*[A-Z0-9_]{5,}\s")
+    noisy = tx.is_noise(F.col(text), [tx.TITLE_NOISE]) | F.col(text).rlike(r"^\s*[A-Z0-9_]{5,}\s")
     texts = df.select(*groups, text).withColumn("digest", F.sha2(text, 256))
     clean = texts.filter((F.length(text) > 1) & ~F.col(text).rlike(tx.UNCOUNTED_TEXT) & ~noisy)
     counted = clean.groupBy(*groups, "digest").agg(F.count("*").alias("n"))
@@ -167,11 +167,13 @@ def tfidf(df: DataFrame, doc: str, text: str, stop_words: Sequence[str], k: int)
     return top_per_group(weighted, [doc], [F.desc("weight"), F.col("term")], k)
 
 
-def content_clusters(df: DataFrame, doc: str, text: str, stop_words: Sequence[str], k: int, seed: int = 42) -> DataFrame:
+def content_clusters(
+    df: DataFrame, doc: str, text: str, stop_words: Sequence[str], k: int, seed: int = 42, slots: int = 1 << 18, iterations: int = 20,
+) -> DataFrame:
     """Texts grouped by k-means on normalised TF-IDF vectors."""
     words = df.select(doc, text).select(doc, kept_tokens(F.col(text), stop_words).alias("_words"))
-    counted = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=1 << 12).transform(words)
+    counted = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=slots).transform(words)
     weighted = IDF(inputCol="_tf", outputCol="_tfidf").fit(counted).transform(counted)
     scaled = Normalizer(inputCol="_tfidf", outputCol="features").transform(weighted)
-    model = KMeans(k=k, seed=seed, maxIter=10).fit(scaled)
+    model = KMeans(k=k, seed=seed, maxIter=iterations).fit(scaled)
     return model.transform(scaled).select(doc, F.col("prediction").alias("cluster"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from activity_engine.functions import calendar as cal
-from activity_engine.operators import profiles, sketches
+from activity_engine.operators import ordered, profiles, sketches
 from activity_engine.operators.select import mode_per_group, top_counts, top_per_group
 from activity_engine.plans.registry import Tables, query
 
@@ -192,16 +192,16 @@ def type_by_year(t: Tables) -> DataFrame:
 
 
 @query("""select s.hour::int as hour, count(e.ts) as n from (select unnest(range(0, 24)) as hour) s
- left join (select ts from events where event_type = 'signup') e on hour(e.ts) = s.hour group by s.hour""")
+ left join events e on hour(e.ts) = s.hour group by s.hour""")
 def hour_spine(t: Tables) -> DataFrame:
-    counts = t.events.filter("event_type = 'signup'").groupBy(F.hour("ts").alias("hour")).agg(F.count("*").alias("n"))
+    counts = t.events.groupBy(F.hour("ts").alias("hour")).agg(F.count("*").alias("n"))
     return profiles.on_spine(counts, profiles.spine(t.spark, "hour", 0, 23), "hour", ["n"])
 
 
 @query("""select s.weekday::int as weekday, count(o.o_orderdate) as n from (select unnest(range(1, 8)) as weekday) s
- left join (select o_orderdate from orders where o_orderstatus = 'P') o on dayofweek(o.o_orderdate) + 1 = s.weekday group by s.weekday""")
+ left join orders o on dayofweek(o.o_orderdate) + 1 = s.weekday group by s.weekday""")
 def weekday_spine(t: Tables) -> DataFrame:
-    counts = t.orders.filter("o_orderstatus = 'P'").groupBy(F.dayofweek("o_orderdate").alias("weekday")).agg(F.count("*").alias("n"))
+    counts = t.orders.groupBy(F.dayofweek("o_orderdate").alias("weekday")).agg(F.count("*").alias("n"))
     return profiles.on_spine(counts, profiles.spine(t.spark, "weekday", 1, 7), "weekday", ["n"])
 
 
@@ -365,12 +365,13 @@ def top_by_type(t: Tables) -> DataFrame:
     return top_per_group(counts, ["event_type"], [F.desc("n"), F.col("item")], 5)
 
 
-@query("""select 'event' as kind, event_id as id, case when event_type = 'error' then null else ts end as at from events""")
+@query("""select *, row_number() over (order by "at" nulls last, id) - 1 as place from (
+ select 'event' as kind, event_id as id, case when event_type = 'error' then null else ts end as at from events)""")
 def nulls_last_sort(t: Tables) -> DataFrame:
     dated = F.when(F.col("event_type") != "error", F.col("ts"))
-    return t.events.select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), dated.alias("at")).orderBy(
+    return ordered.places(t.events.select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), dated.alias("at")).orderBy(
         F.asc_nulls_last("at"), "id"
-    )
+    ))
 
 
 @query("""select source, count(*) as n from (

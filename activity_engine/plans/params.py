@@ -21,7 +21,7 @@ WANTED_TITLES = ("small ring", "widget", "smal rings", "red", "gren gizmo", "cop
 STYLE_SIGNATURES = ("that", "with", "der", "que")
 STYLE_SLANG = ("from", "this", "die", "des")
 STYLE_REASONING = ("and", "und", "les", "los")
-WINDOW_SIZES = (1, 2, 3)
+WINDOW_SIZES = (2, 5, 12, 25, 40)
 JUNK_RULES = {
     "mail": r"[a-z0-9.]+@[a-z0-9.]+\.com",
     "junk_suffix": r"###|%%%|\$\$\$|\*\*\*|&&&",

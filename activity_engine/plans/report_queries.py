@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from activity_engine.operators import report
+from activity_engine.operators import ordered, report
 from activity_engine.plans.params import CATEGORIES, MARKERS
 from activity_engine.plans.registry import Tables, query
 from activity_engine.plans.text_queries import hits, word_hits
@@ -114,8 +114,8 @@ def top_products(t: Tables) -> DataFrame:
     return best.join(titles, "l_partkey").select("l_partkey", "p_name", "n")
 
 
-@query("""select * from (select case when event_type = 'error' then null else ts end as date, 'watch' as section from events
+@query("""select *, row_number() over (order by date, section) - 1 as place from (select case when event_type = 'error' then null else ts end as date, 'watch' as section from events
  union all select o_orderdate, 'purchases' from orders union all select l_shipdate, 'media' from lineitem) where date is not null""")
 def report_timeline(t: Tables) -> DataFrame:
     watched = t.events.select(F.when(F.col("event_type") != "error", F.col("ts")).alias("ts"))
-    return report.timeline({"watch": (watched, "ts"), "purchases": (t.orders, "o_orderdate"), "media": (t.lineitem, "l_shipdate")})
+    return ordered.places(report.timeline({"watch": (watched, "ts"), "purchases": (t.orders, "o_orderdate"), "media": (t.lineitem, "l_shipdate")}))

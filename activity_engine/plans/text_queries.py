@@ -228,13 +228,21 @@ def source_routing(t: Tables) -> DataFrame:
     return t.pages.select("page_id", source.alias("source"), inside.alias("target"))
 
 
-@query(r"""with d as (select regexp_extract(url, 'https?://(?:www\.)?([^/]+)', 1) as domain, url, html from pages)
- select domain, count(*) as files, not bool_or(regexp_matches(url, '\.html?')) as no_expected, count(*) filter (where length(html) < 2500) as small from d group by domain""")
+_NAMES = sorted(manifest.EXTENSIONS)
+
+
+@query(rf"""with f as (select ([{sql_list(_NAMES)}])[page_id % {len(_NAMES)} + 1] as source, regexp_extract(url, 'https?://(?:www\.)?([^/]+)', 1) as folder,
+  lower(regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '(\.[^./]+)$', 1)) as extension, case when length(html) < 2500 then 0 else length(html) end as size from pages),
+ k as ({" union all ".join(f"select '{n}' as source, '{e}' as extension, true as known" for n, kinds in manifest.EXTENSIONS.items() for e in kinds)}),
+ c as (select source, folder, count(*) as files, coalesce(bool_or(known), false) as known, count(*) filter (where size = 0) as empty from f left join k using (source, extension) group by all)
+ select source, folder, files, 'warning' as level, 'no expected extension' as problem from c where not known
+ union all select source, folder, files, 'error', 'empty file' from c where empty > 0""")
 def manifest_check(t: Tables) -> DataFrame:
-    return t.pages.groupBy(urls.domain(F.col("url")).alias("domain")).agg(
-        F.count("*").alias("files"), (~F.bool_or(F.col("url").rlike(r"\.html?"))).alias("no_expected"),
-        F.count_if(F.length("html") < 2500).alias("small"),
-    )
+    """Pages are the files of an export: hosts its folders, small pages empty files."""
+    source = F.get(F.array(*[F.lit(n) for n in _NAMES]), (F.col("page_id") % len(_NAMES)).cast("int"))
+    inside = F.split_part(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1))
+    size = F.when(F.length("html") < 2500, 0).otherwise(F.length("html"))
+    return manifest.findings(t.pages.select(source.alias("source"), urls.domain(F.col("url")).alias("folder"), inside.alias("inside"), size.alias("size")))
 
 
 @query("""select lang, source, doc_id from (select *, row_number() over (partition by lang, text order by case when lang = 'en' then -doc_id else doc_id end) as rn
@@ -340,7 +348,7 @@ def top_bigrams(t: Tables) -> DataFrame:
 
 
 # One rule needs a back-reference, which the comparison engine has not; it matches no text of the given tables.
-_NOISE_SQL = " or ".join(f"regexp_matches(text, '{p.replace('(?iU)', '(?i)')}')" for p in tx.TITLE_NOISE if r"\1" not in p)
+_NOISE_SQL = f"regexp_matches(text, '{tx.TITLE_NOISE.removesuffix(tx.REPEATED_DOMAIN).replace('(?iU)', '(?i)')}')"
 
 
 @query(rf"""select lang, sha256(text) as digest, n, rank::int as rank, text from (select lang, text, count(*) as n,
@@ -355,10 +363,10 @@ def top_samples(t: Tables) -> DataFrame:
  b as (select lang, source, term, row_number() over (partition by lang, source order by count(*) desc, term) as rank from {bigram_sql('lang', 'source')} group by lang, source, term),
  u as (select lang, source, term, row_number() over (partition by lang, source order by count(*) desc, term) as rank from {unigram_sql('lang', 'source')} group by lang, source, term),
  c as (select *, 0 as kind from b where rank <= 4 union all select *, 1 from u where rank <= 12),
- o as (select lang, term, place, kind, rank, row_number() over (partition by lang, term order by place, kind, rank) as seen from c join used using (lang, source) where place <= 3)
+ o as (select lang, term, place, kind, rank, row_number() over (partition by lang, term order by place, kind, rank) as seen from c join used using (lang, source))
  select lang, string_agg(term, ';' order by place, kind, rank) as keywords from o where seen = 1 group by lang""")
 def keyword_profiles(t: Tables) -> DataFrame:
-    made = terms.keyword_profiles(t.texts, "lang", "source", "text", STOP_WORDS, sources=3)
+    made = terms.keyword_profiles(t.texts, "lang", "source", "text", STOP_WORDS)
     return made.select("lang", F.array_join("keywords", ";").alias("keywords"))
 
 

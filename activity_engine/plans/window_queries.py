@@ -99,9 +99,9 @@ def capped_sources(t: Tables) -> DataFrame:
     return select.capped_per_source(t.events.select("event_id", "event_type"), "event_type", "event_id", 500)
 
 
-@query("select distinct conv_id from conversations")
+@query("""select conv_id, row_number() over (order by md5('42:' || conv_id), conv_id) - 1 as place from (select distinct conv_id from conversations)""")
 def shuffled_examples(t: Tables) -> DataFrame:
-    return select.shuffled(t.conversations.select("conv_id").distinct(), "conv_id", 42)
+    return ordered.places(select.shuffled(t.conversations.select("conv_id").distinct(), "conv_id", 42))
 
 
 @query("""select o_custkey, o_orderkey, o_orderdate, o_totalprice from (select *, row_number() over (partition by o_custkey

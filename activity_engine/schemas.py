@@ -81,9 +81,13 @@ def tables() -> dict[str, Table]:
               [q.not_null("photo_id"), q.not_null("scene_id"), q.not_null("path")]),
         Table("scene_centroids", ["album", "scene_id", "scene_name", "photo_count"], ["album", "scene_id"],
               [q.not_null("scene_id"), q.not_null("scene_name"), q.positive("photo_count")], ["album", "scene_id"]),
-        Table("music_matches", ["scene_id", "match_type"], ["scene_id"],
+        Table("music_matches", ["album", "scene_id", "track", "match_type", "votes"], ["album", "scene_id"],
               [q.not_null("scene_id"), q.one_of("match_type", ["temporal", "semantic", "manual", "fallback", "none"])],
-              ["scene_id"]),
+              ["album", "scene_id"]),
+        Table("photo_music", ["album", "photo_id", "track", "match_type", "match_score"], ["album", "photo_id"],
+              [q.not_null("photo_id"), q.one_of("match_type", ["temporal", "semantic", "manual", "fallback", "none"])], ["album", "photo_id"]),
+        Table("group_playlists", ["album", "scene_id", "play_id", "rank"], ["album", "scene_id", "rank"],
+              [q.not_null("scene_id"), q.not_null("play_id")], ["album", "scene_id", "rank"]),
     ]
     instants = {"timestamp": "event_month", "timestamp_ms": "event_month", "listen_minute": "listen_month", "watch_date": "watch_month"}
 

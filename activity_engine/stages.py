@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from activity_engine import schemas
 from activity_engine.functions import titles
-from activity_engine.operators import album, corpus, density, graph, hierarchy, profiles, projection, quality, terms, vectors
-from activity_engine.operators.select import top_per_group
+from activity_engine.operators import album, corpus, density, graph, hierarchy, profiles, projection, quality, report, terms, vectors
+from activity_engine.operators.select import mode_per_group, top_per_group
 from activity_engine.session import durable
 from activity_engine.sources import activity_html, clips, films, music, posts, social
 from activity_engine.warehouse import Warehouse
@@ -265,9 +265,62 @@ def build_contacts(house: Warehouse, messages: DataFrame, close: DataFrame, mini
     return {"social_graph": house.overwrite("social_graph", made)}
 
 
-def check_warehouse(house: Warehouse) -> DataFrame:
-    """(table, check, detail, passed) for the required columns, the row rules and the keys of every table present."""
+def match_album(house: Warehouse, plays: DataFrame, overrides: DataFrame, by_text: DataFrame, by_context: DataFrame,
+                window_seconds: float = 3600.0, wide_seconds: float = 3 * 3600.0) -> dict[str, int]:
+    """Music of the photos and scenes of all albums, and the plays around each scene.
+
+    plays (album, ts, track, play_id): whose plays go with which album; overrides (album, photo_id, track); by_text and by_context
+    (album, photo_id, track, match_score). A scene without a strong match takes the likeliest text or context match of its
+    photos, then the most played of its album.
+    """
+    photos = house.read("scenes").select("album", "photo_id", "scene_id", F.col("exif_date").alias("ts"))
+    matched = durable(album.match_music(photos, plays, overrides, by_text, by_context, "album", "photo_id", "ts", "track", window_seconds, wide_seconds))
+    placed = durable(matched.join(photos.select("album", "photo_id", "scene_id"), ["album", "photo_id"]))
+    scene = ["album", "scene_id"]
+
+    def likeliest(found: DataFrame) -> DataFrame:
+        best = F.min_by("track", F.struct(-F.col("match_score"), F.col("track"))).alias("track")
+        return photos.join(found, ["album", "photo_id"]).groupBy(*scene).agg(best)
+
+    favourites = mode_per_group(plays.filter("track is not null"), ["album"], "track", "track").select("album", "track")
+    scenes = house.read("scene_centroids").select(*scene, F.col("timestamp_start").alias("start_ts"), F.col("timestamp_end").alias("end_ts"))
+    levels = [("semantic", likeliest(by_text)), ("semantic", likeliest(by_context)), ("fallback", scenes.join(favourites, "album").select(*scene, "track"))]
+    heard = album.scene_playlist(scenes.withColumn("scene", F.struct(*scene)).filter("start_ts is not null"), plays, "album", "scene", "ts", "play_id", window_seconds)
+    return {
+        "photo_music": house.replace_groups("photo_music", placed, ["album"]),
+        "music_matches": house.replace_groups("music_matches", album.match_scenes(placed, scenes, scene, levels, "track"), ["album"]),
+        "group_playlists": house.replace_groups("group_playlists", heard.select("scene.album", "scene.scene_id", "play_id", "track", "ts", "rank"), ["album"]),
+    }
+
+
+def build_report(house: Warehouse, sections: dict[str, Callable[[], DataFrame]], wanted: Sequence[str] | None = None) -> dict[str, int]:
+    """The wanted report sections (all, if none are named) as one table."""
+    return {"report": house.overwrite("report", report.build(sections, list(wanted or sections)))}
+
+
+#: Tables whose instants must not lie ahead, and the days they must span at least.
+TIMED = {"spotify_streams": ("listen_ts", 365), "netflix_views": ("watch_date", 365), "tiktok_watch": ("event_date", 1),
+         "youtube_watch": ("event_date", 1), "google_searches": ("event_date", 1), "instagram_likes": ("event_date", 1)}
+#: Table, its column, and the table and column that must hold each of its values.
+REFERENCES = (
+    ("music_matches", "scene_id", "scene_centroids", "scene_id"), ("group_playlists", "scene_id", "scene_centroids", "scene_id"),
+    ("interest_profiles", "cluster_id", "behavioral_clusters", "cluster_id"))
+
+
+def check_warehouse(house: Warehouse, today: Column | None = None) -> DataFrame:
+    """(table, check, detail, passed) for the required columns, the row rules, the keys, the instants and the references of every
+    table present."""
     parts = []
+    for name, (ts, days) in TIMED.items():
+        df = house.read(name)
+        if df is not None and ts in df.columns:
+            timed = quality.check_time(df, name, ts, today if today is not None else F.current_timestamp(), days)
+            parts.append(timed.select("table_name", F.lit("time").alias("check"), F.concat("days", F.lit(" days")).alias("detail"), (F.col("in_past") & F.col("long_enough")).alias("passed")))
+    for name, key, parent, parent_key in REFERENCES:
+        child, known = house.read(name), house.read(parent)
+        if child is not None and known is not None:
+            lost = quality.check_orphans(child.filter(F.col(key).isNotNull()), known, key, parent_key, name)
+            parts.append(lost.select("table_name", F.concat(F.lit("orphans "), "key").alias("check"), F.col("orphans").cast("string").alias("detail"), (F.col("orphans") == 0).alias("passed")))
     for name, table in schemas.tables().items():
         df = house.read(name)
         if df is None:

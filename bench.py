@@ -19,6 +19,7 @@ HEADLINE = (
     "left_enrich", "interval_join", "nearest_time", "match_cascade", "dense_filter", "merge_insert", "top_unigrams",
     "top_bigrams", "keyword_profiles", "category_scores", "tfidf_terms", "html_links", "turn_blocks", "window_score",
     "nearest_centroid", "text_match", "interactions", "als_topn", "reco_topn", "dq_rules", "report_media", "spend_summary",
+    "context_windows", "density_clusters", "scene_assign", "project_50d", "anchor_contains", "title_lookup", "distinct_by_period",
 )
 
 

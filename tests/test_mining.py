@@ -65,7 +65,7 @@ def test_text_functions(spark):
     assert one(spark, tx.redact(F.lit("Anna, annabel et ANNA"), ["anna"])) == "[PRÉNOM], annabel et [PRÉNOM]"
     assert one(spark, tx.is_chat_noise(F.lit("Bob a envoyé une pièce jointe."))) and not one(spark, tx.is_chat_noise(F.lit("salut")))
     assert one(spark, tx.is_ad(F.lit("https://x"), F.lit("Publicité"))) and not one(spark, tx.is_ad(F.lit("https://x"), F.lit("add")))
-    assert one(spark, tx.is_noise(F.lit("foo foo.com"), tx.TITLE_NOISE)) and not one(spark, tx.is_noise(F.lit("foo bar.com"), tx.TITLE_NOISE))
+    assert one(spark, tx.is_noise(F.lit("foo foo.com"), [tx.TITLE_NOISE])) and not one(spark, tx.is_noise(F.lit("foo bar.com"), [tx.TITLE_NOISE]))
     assert one(spark, cal.dms_to_decimal(F.lit(48.0), F.lit(30.0), F.lit(36.0), F.lit("S"))) == pytest.approx(-48.51)
 
 

@@ -47,6 +47,7 @@ def test_ingest_twice_then_profile(spark, house, tmp_path):
     words = {w for r in house.read("interest_profiles").collect() for w in r["keywords"] or []}
     assert {"red guitar", "miles davis", "guitar"} <= words
     checks = {(r["table_name"], r["check"]): r["passed"] for r in stages.check_warehouse(house).collect()}
+    assert checks["tiktok_watch", "time"] and not checks["spotify_streams", "time"]  # fifteen days where one is wanted, fourteen where a year is
     assert checks["netflix_views", "watch_date not_null"] and not checks["netflix_views", "required"] and checks["spotify_streams", "unique"]
 
 
@@ -116,3 +117,22 @@ def test_album(spark, house):
     assert scene["photo_count"] == 4 and len(scene["centroid_embedding"]) == 4 and scene["timestamp_start"] == at(1)
     assert house.read("scenes").filter(F.col("photo_id") == "u").first()["scene_name"] == "Moment sans date"
     assert stages.cluster_photos(house, photos, 2, 3, {0: "all"}) == {"photo_clusters": 12}
+    # a merged scene is gone for good, and another album stays
+    later = photos.withColumn("exif_date", F.when(F.col("exif_date").isNotNull(), F.lit(at(1)))).withColumn("album", F.lit("a"))
+    other = photos.withColumn("album", F.lit("b"))
+    assert stages.build_album(house, other) == {"scenes": 26, "scene_centroids": 6}
+    assert stages.build_album(house, later) == {"scenes": 26, "scene_centroids": 4}
+    music = [("b", at(1) + dt.timedelta(minutes=5 * i), f"t{i % 2}", i) for i in range(7)] + [("a", dt.datetime(2020, 1, 1), "old", 99)]
+    plays = spark.createDataFrame(music, "album string, ts timestamp_ntz, track string, play_id int")
+    none = spark.createDataFrame([], "album string, photo_id string, track string, match_score double")
+    dear = spark.createDataFrame([("b", "p5", "dear", 0.8)], none.schema)
+    made = stages.match_album(house, plays, none.drop("match_score"), dear, none)
+    assert made == {"photo_music": 26, "music_matches": 4, "group_playlists": 7}
+    found = {(r["album"], r["scene_id"]): (r["track"], r["match_type"]) for r in house.read("music_matches").collect()}
+    assert found == {("a", 0): ("old", "fallback"), ("b", 0): ("t0", "temporal"), ("b", 1): ("dear", "semantic"), ("b", 2): ("t0", "fallback")}
+    assert stages.match_album(house, plays, none.drop("match_score"), dear, none) == made
+    section = spark.createDataFrame([("s", "m", "", 1.0)], "section string, metric string, key string, value double")
+    assert stages.build_report(house, {"one": lambda: section, "two": lambda: section}, ["two"]) == {"report": 1}
+    checks = {(r["table_name"], r["check"]): r["passed"] for r in stages.check_warehouse(house).collect()}
+    assert all(checks[t, c] for t, c in [("music_matches", "orphans scene_id"), ("group_playlists", "orphans scene_id"), ("music_matches", "unique"), ("music_matches", "match_type one_of"),
+                                          ("photo_music", "required"), ("group_playlists", "unique")])
