@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from activity_engine.session import durable
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """One row per key, the smallest in ``order``. An aggregate, so copies of a hot key collapse before the shuffle."""
@@ -65,6 +67,6 @@ def shuffled(df: DataFrame, row_id: str, seed: int) -> DataFrame:
 def dense_subset(facts: DataFrame, item: str, user: str, min_item: int, min_user: int) -> DataFrame:
     """Facts of items with at least ``min_item`` rows, then of users with at least ``min_user`` of those."""
     items = facts.groupBy(item).count().filter(F.col("count") >= min_item).select(item)
-    popular = facts.join(items, item, "left_semi")
+    popular = durable(facts.join(items, item, "left_semi"))  # read for the users and again for the result
     users = popular.groupBy(user).count().filter(F.col("count") >= min_user).select(user)
     return popular.join(users, user, "left_semi")

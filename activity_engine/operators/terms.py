@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from activity_engine.functions import text as tx
 from activity_engine.functions.nested import ordered_union
 from activity_engine.operators.select import top_per_group
-from activity_engine.session import small
+from activity_engine.session import durable, small
 
 # Stop words added to the English and French default lists.
 EXTRA_STOP_WORDS = (
@@ -153,13 +153,12 @@ def _long(row: DataFrame, names: Sequence[str], key: str, value: str, keep: Sequ
 def tfidf(df: DataFrame, doc: str, text: str, stop_words: Sequence[str], k: int) -> DataFrame:
     """The ``k`` highest weighted words of each text; weight = count x ln((N + 1) / (texts with the word + 1)).
 
-    The number of texts per word is counted on each text's distinct words, which combines before the shuffle. A
-    vocabulary of moderate size is broadcast, so the counts of the texts stay where they are.
+    Texts are cut into words once, to one row for each text and word, and the number of texts per word is counted on those.
+    A vocabulary of moderate size is broadcast, so the counts of the texts stay where they are.
     """
     texts = countable(df.select(doc, text), text)
-    counts = _words(texts, tx.tokens(F.col(text)), text, stop_words).groupBy(doc, "term").agg(F.count("*").alias("tf"))
-    distinct = _words(texts.select(text), F.array_distinct(tx.tokens(F.col(text))), text, stop_words)
-    spread = small(distinct.groupBy("term").agg(F.count("*").alias("df")), 500_000)
+    counts = durable(_words(texts, tx.tokens(F.col(text)), text, stop_words).groupBy(doc, "term").agg(F.count("*").alias("tf")))
+    spread = small(counts.groupBy("term").agg(F.count("*").alias("df")), 500_000)
     total = df.agg(F.count("*")).scalar()
     weighted = counts.join(spread, "term").withColumn(
         "weight", F.round(F.col("tf") * F.log((total + 1) / (F.col("df") + 1)), 6)
