@@ -21,10 +21,15 @@ from activity_engine.sources import activity_html, clips, films, music, posts, s
 from activity_engine.warehouse import Warehouse
 
 
-def _store(house: Warehouse, tables: dict[str, DataFrame]) -> dict[str, int]:
+#: Whose exports they are, where nobody is named.
+OWNER = "owner"
+
+
+def _store(house: Warehouse, tables: dict[str, DataFrame], owner: str) -> dict[str, int]:
+    """Equal rows of two owners are two rows: the owner is a column and part of every key."""
     known = schemas.tables()
     return {
-        name: house.insert_absent(name, df, list(known[name].key), partition=known[name].partition)
+        name: house.insert_absent(name, df.withColumn("owner", F.lit(owner)), ["owner", *known[name].key], partition=known[name].partition)
         for name, df in tables.items()
     }
 
@@ -39,11 +44,11 @@ def _each(house: Warehouse, folder: str, wanted: dict[str, tuple[Sequence[str],
     return {name: reader(house.spark, paths) for name, (paths, reader) in files.items() if paths}
 
 
-def ingest_films(house: Warehouse, folder: str) -> dict[str, int]:
-    return _store(house, _each(house, folder, {"netflix_views": (["NetflixViewingHistory.csv"], films.views)}))
+def ingest_films(house: Warehouse, folder: str, owner: str = OWNER) -> dict[str, int]:
+    return _store(house, _each(house, folder, {"netflix_views": (["NetflixViewingHistory.csv"], films.views)}), owner)
 
 
-def ingest_music(house: Warehouse, folder: str) -> dict[str, int]:
+def ingest_music(house: Warehouse, folder: str, owner: str = OWNER) -> dict[str, int]:
     long = _found(house, folder, "extended/Streaming_History_Audio_*.json")
     short = _found(house, folder, "account/StreamingHistory_music_*.json")
     read = _each(house, folder, {
@@ -53,10 +58,10 @@ def ingest_music(house: Warehouse, folder: str) -> dict[str, int]:
     })
     if long or short:  # either history alone is a history
         read["spotify_streams"] = music.play_history(house.spark, long, short)
-    return _store(house, read)
+    return _store(house, read, owner)
 
 
-def ingest_social(house: Warehouse, folder: str, salt: str) -> dict[str, int]:
+def ingest_social(house: Warehouse, folder: str, salt: str, owner: str = OWNER) -> dict[str, int]:
     def seen(kind: str) -> Callable:
         return lambda spark, paths: social.activity_list(spark, paths, kind)
 
@@ -71,10 +76,10 @@ def ingest_social(house: Warehouse, folder: str, salt: str) -> dict[str, int]:
         "instagram_searches": (["searches/word_or_phrase_searches.json", "word_or_phrase_searches.json"], social.searches),
         "instagram_messages_meta": (
             ["messages/inbox/*/message_*.json"], lambda spark, paths: social.message_meta(social.messages(spark, paths), salt)),
-    }))
+    }), owner)
 
 
-def ingest_clips(house: Warehouse, path: str, me: str, salt: str) -> dict[str, int]:
+def ingest_clips(house: Warehouse, path: str, me: str, salt: str, owner: str = OWNER) -> dict[str, int]:
     export = durable(clips.read(house.spark, path))  # one document, read once for all its lists
     messages = clips.messages(export, me)
     return _store(house, {
@@ -83,18 +88,18 @@ def ingest_clips(house: Warehouse, path: str, me: str, salt: str) -> dict[str, i
         "tiktok_comments": clips.comments(export), "tiktok_messages_meta": clips.message_meta(messages, salt),
         "tiktok_messages_text": clips.own_text(messages), "tiktok_favorite_hashtags": clips.hashtags(export),
         "tiktok_ads_interests": clips.ad_interests(export),
-    })
+    }, owner)
 
 
-def ingest_posts(house: Warehouse, folder: str) -> dict[str, int]:
+def ingest_posts(house: Warehouse, folder: str, owner: str = OWNER) -> dict[str, int]:
     return _store(house, _each(house, folder, {
         "twitter_tweets": (["data/tweets.js"], posts.tweets), "twitter_likes": (["data/like.js"], posts.likes),
         "twitter_saved_searches": (["data/saved-search.js"], posts.saved_searches),
-    }))
+    }), owner)
 
 
 def ingest_activity_pages(house: Warehouse, searches: str | None = None, visits: str | None = None,
-                          watched: str | None = None, video_searches: str | None = None) -> dict[str, int]:
+                          watched: str | None = None, video_searches: str | None = None, owner: str = OWNER) -> dict[str, int]:
     wanted = {
         "google_searches": (searches, "google_search", activity_html.searches),
         "google_chrome": (visits, "chrome_visit", activity_html.visits),
@@ -103,7 +108,7 @@ def ingest_activity_pages(house: Warehouse, searches: str | None = None, visits:
     }
     return _store(house, {
         name: derive(activity_html.activity(house.spark, path, kind)) for name, (path, kind, derive) in wanted.items() if path
-    })
+    }, owner)
 
 
 # Table, platform name, column of the instant.
@@ -148,8 +153,8 @@ KEYWORD_SOURCES = {
 }
 
 
-def unified_events(house: Warehouse) -> DataFrame | None:
-    """(platform, ts) of every row with an instant of all activity tables there are."""
+def unified_events(house: Warehouse, owner: str | None = None) -> DataFrame | None:
+    """(owner, platform, ts) of every row with an instant of all activity tables there are, of one owner if named."""
     parts = []
     for table, platform, ts in PROFILE_SOURCES:
         df = house.read(table)
@@ -158,14 +163,15 @@ def unified_events(house: Warehouse) -> DataFrame | None:
         instant = F.col(ts).cast("timestamp")
         if table == "netflix_views":
             instant = instant + F.make_dt_interval(hours=F.lit(FILM_HOUR))
-        rows = df.select(F.lit(platform).alias("platform"), instant.alias("ts"))
+        rows = df.select("owner", F.lit(platform).alias("platform"), instant.alias("ts"))
+        rows = rows if owner is None else rows.filter(F.col("owner") == owner)
         parts.append(rows.filter(F.col("ts").isNotNull()))
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
-def profile_behaviour(house: Warehouse, k: int = 4) -> dict[str, int]:
-    """Behaviour clusters of the platforms."""
-    events = unified_events(house)
+def profile_behaviour(house: Warehouse, k: int = 4, owner: str | None = None) -> dict[str, int]:
+    """Behaviour clusters of the platforms, over all owners or for one."""
+    events = unified_events(house, owner)
     if events is None:
         return {}
     made = durable(profiles.platform_profile(events, ["platform"], "ts"))
@@ -332,6 +338,7 @@ def check_warehouse(house: Warehouse, today: Column | None = None) -> DataFrame:
             parts.append(ruled.select(
                 "table_name", F.concat_ws(" ", "column", "rule").alias("check"), F.col("violations").cast("string").alias("detail"), "passed"))
         if table.unique:
-            keyed = quality.check_unique(df, name, table.unique, table.tolerance)
+            own = ["owner"] if "owner" in df.columns else []
+            keyed = quality.check_unique(df, name, [*own, *table.unique], table.tolerance)
             parts.append(keyed.select("table_name", F.lit("unique").alias("check"), F.col("duplicates").cast("string").alias("detail"), "passed"))
     return reduce(DataFrame.unionByName, parts)

@@ -64,6 +64,20 @@ def test_profiles_read_whole_tables_and_single_histories(spark, house, tmp_path)
     assert counts == {"spotify": 3, "tiktok": watched}
 
 
+def test_equal_rows_of_two_owners_are_two_rows(spark, house, tmp_path):
+    inbox = tmp_path / "in"
+    write(inbox / "NetflixViewingHistory.csv", 'Title,Date\n"Film",1/3/24\n"Show: Saison 1: E",1/4/24\n')
+    write(inbox / "account/YourLibrary.json", {"tracks": [{"artist": "A", "album": "B", "track": "T", "uri": "u"}]})
+    for owner in ("ann", "bob", "ann"):
+        stages.ingest_films(house, str(inbox), owner)
+        stages.ingest_music(house, str(inbox), owner)
+    assert {r["owner"]: r["count"] for r in house.read("netflix_views").groupBy("owner").count().collect()} == {"ann": 2, "bob": 2}
+    assert house.read("spotify_liked_songs").count() == 2
+    assert stages.unified_events(house).count() == 4 and stages.unified_events(house, "bob").count() == 2
+    checks = {(r["table_name"], r["check"]): r["passed"] for r in stages.check_warehouse(house).collect()}
+    assert checks["netflix_views", "unique"] and checks["spotify_liked_songs", "unique"]
+
+
 def test_two_albums_with_equal_photo_ids(spark, house):
     def at(day):
         return dt.datetime(2024, 1, day, 12)
