@@ -292,9 +292,12 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Dat
     found = components(near.unionByName(rest))
     named = sets.join(found, sets["class"] == found["node"], "left").select(
         "doc_id", "n_shingles", F.col("class").alias("class_id"), F.coalesce("component", "class").alias("component_id"))
+    nameless = docs.where("doc_id is null").select(F.col("text").cast("binary").alias("text"))
+    if not nameless.limit(1).count():
+        return named
     none = F.lit(None).cast("long")
-    nameless = docs.where("doc_id is null").select(F.col("text").cast("binary").alias("text")).mapInArrow(_sizes(n), "n_shingles long")
-    return named.unionByName(nameless.select(none.alias("doc_id"), "n_shingles", none.alias("class_id"), none.alias("component_id")))
+    return named.unionByName(nameless.mapInArrow(_sizes(n), "n_shingles long").select(
+        none.alias("doc_id"), "n_shingles", none.alias("class_id"), none.alias("component_id")))
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
