@@ -21,8 +21,9 @@ def test_entry(spark):
 
 
 def test_filters_and_columns_reach_the_scan(spark):
-    plan = QUERIES["hour_spine"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(event_type,signup)" in plan and "ReadSchema: struct<ts:timestamp_ntz,event_type:string>" in plan
+    plan = QUERIES["close_flag"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(o_orderpriority,1-URGENT)" in plan and "o_orderdate" not in plan
+    assert "ReadSchema: struct<o_custkey:bigint,o_totalprice:double,o_orderpriority:string>" in plan
 
 
 def test_top_k_is_limited_before_the_shuffle(spark):
