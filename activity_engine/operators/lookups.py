@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from activity_engine.session import durable
+from activity_engine.session import durable, small
 
 #: Characters of the pieces by which anchors are looked up.
 PIECE = 3
+#: Anchors that are handed to the tasks, so that the pieces of titles stay where they are; more are joined by key.
+FEW_ANCHORS = 100_000
 
 
 def _pieces(text: Column, size: int) -> Column:
@@ -27,7 +29,8 @@ def anchor_candidates(items: DataFrame, title: str, anchors: DataFrame, anchor:
 
     Titles are cut into pieces of one size, however many lengths anchors have. An anchor is found by that piece of its
     own which the fewest titles have; one with a piece that no title has is found by none. Anchors shorter than a piece
-    are looked up among all pieces of their length.
+    are looked up among all pieces of their length. Only anchors are ever broadcast: the pieces of titles are many, however
+    little room equal ones take in a compressed shuffle.
     """
     known = durable(anchors.select(F.col(anchor)).filter(F.length(anchor) > 0).distinct())
     rows = durable(items)
@@ -35,12 +38,12 @@ def anchor_candidates(items: DataFrame, title: str, anchors: DataFrame, anchor:
     cut = rows.filter(F.length(title) >= PIECE).withColumn("_piece", F.explode(_pieces(F.col(title), PIECE)))
     often = cut.groupBy("_piece").agg(F.count("*").alias("_titles"))
     own = known.filter(F.length(anchor) >= PIECE).withColumn("_piece", F.explode(_pieces(F.col(anchor), PIECE)))
-    told = own.join(often, "_piece", "left").groupBy(anchor).agg(
+    told = own.join(often.hint("merge"), "_piece", "left").groupBy(anchor).agg(
         F.min_by(F.struct("_piece", "_titles"), F.struct(F.coalesce("_titles", F.lit(0)), F.col("_piece"))).alias("_rare"))
-    index = told.filter("_rare._titles > 0").select(anchor, "_rare._piece")
+    index = small(told.filter("_rare._titles > 0").select(anchor, "_rare._piece"), FEW_ANCHORS)
     found = cut.join(index, "_piece").drop("_piece")
     for size in range(1, PIECE):
-        short = known.filter(F.length(anchor) == size)
+        short = small(known.filter(F.length(anchor) == size), FEW_ANCHORS)
         found = found.unionByName(rows.withColumn(anchor, F.explode(_pieces(F.col(title), size))).join(short, anchor))
     return found
 
