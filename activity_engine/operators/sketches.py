@@ -1,6 +1,6 @@
-"""Distinct counts for any period from a table of daily sketches.
+"""Distinct counts for any period from a daily table: exact ones from the day's values, estimates from sketches.
 
-A day's sketch is made once and kept; a period is the union of its days, so no raw row is read again. Sketches are Spark's own HyperLogLog
+A day's values or sketch are made once and kept; a period is the union of its days, so no raw row is read again. Sketches are Spark's own HyperLogLog
 ones: a union knows no more and no less than one sketch of all its rows, whatever the order.
 """
 
@@ -27,6 +27,21 @@ def daily_sketches(df: DataFrame, keys: Sequence[str], ts: str, value: str, buck
         F.hll_sketch_agg(F.col(value), F.lit(buckets_log2)).alias("sketch"), F.count("*").alias("n"))
 
 
+def daily_values(df: DataFrame, keys: Sequence[str], ts: str, value: str) -> DataFrame:
+    """(keys, day, value, n): a row for each value that a key has on a day, and how many rows hold it. Rows without a date or value
+    are kept as such, with a null."""
+    return df.groupBy(*keys, F.to_date(ts).alias("day"), value).agg(F.count("*").alias("n"))
+
+
+def counted_in(daily: DataFrame, keys: Sequence[str], value: str, period: Column | None = None) -> DataFrame:
+    """(keys, period, distinct_values, n): the exact number of values in each period (an expression over ``day``; all days, if none is
+    given), nulls not counted, and all rows. Values meet first, one row for each in a period, so a hot key is never in one task."""
+    span = [period.alias("period")] if period is not None else []
+    names = [*keys, *(["period"] if span else [])]
+    once = daily.groupBy(*keys, *span, value).agg(F.sum("n").alias("n"))
+    return once.groupBy(*names).agg(F.count(value).alias("distinct_values"), F.sum("n").alias("n"))
+
+
 def merged(stored: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Two tables of sketches as one. Days that both hold are united, so rows seen twice add to ``n`` but not to distinct counts."""
     return stored.unionByName(fresh).groupBy(*keys, "day").agg(F.hll_union_agg("sketch").alias("sketch"), F.sum("n").alias("n"))

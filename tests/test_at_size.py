@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from activity_engine import session
-from activity_engine.operators import lookups
+from activity_engine.operators import lookups, sketches
+from activity_engine.plans import QUERIES
 
 
 def _plan(df) -> str:
@@ -29,3 +30,24 @@ def test_a_table_too_large_to_send_is_joined_by_key(spark):
     many = spark.range(1000).select(F.col("id").alias("key"))
     joined = spark.range(1000).select(F.col("id").alias("key")).join(session.small(many, 10), "key")
     assert len(joined.collect()) == 1000 and "SortMergeJoin" in _plan(joined) and "Broadcast" not in _plan(joined)
+
+
+def test_exact_counts_of_a_period_from_daily_values(spark):
+    visits = spark.range(60_000).select(
+        F.lit("a").alias("source"), (F.col("id") % 40_000).alias("owner"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("id") % 50 * 86400).alias("ts"))
+    odd = spark.createDataFrame([("a", None, None), ("a", 7, None), ("b", None, None)], "source string, owner long, ts timestamp")
+    daily = sketches.daily_values(visits.unionByName(odd), ["source"], "ts", "owner")
+    found = sketches.counted_in(daily, ["source"], "owner", F.date_trunc("month", "day").cast("date")).collect()
+    want = visits.unionByName(odd).groupBy("source", F.date_trunc("month", "ts").cast("date").alias("period")).agg(
+        F.countDistinct("owner").alias("distinct_values"), F.count("*").alias("n")).collect()
+    assert sorted(map(str, found)) == sorted(map(str, want)) and len(found) == 4
+    assert {(r["distinct_values"], r["n"]) for r in sketches.counted_in(daily, ["source"], "owner").collect()} == {(40_000, 60_002), (0, 1)}
+
+
+def test_distinct_by_period_is_exact_for_many_owners(spark, tmp_path):
+    events = spark.range(50_000).select(F.lit("view").alias("event_type"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") % 2_000_000).alias("ts"),
+                                        (F.col("id") % 30_011).alias("user_id"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    found = QUERIES["distinct_by_period"](spark, str(tmp_path)).collect()
+    assert [(r["event_type"], str(r["period"]), r["users"], r["n"]) for r in found] == [("view", "2024-01-01", 30_011, 50_000)]
