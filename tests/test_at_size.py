@@ -1,10 +1,11 @@
 """What only shows on larger tables: which side of a join is sent around, and counts that must stay exact."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from activity_engine import session
-from activity_engine.operators import lookups, sketches
+from activity_engine.operators import lookups, nearest, profiles, sketches, terms, vectors
 from activity_engine.plans import QUERIES
 
 
@@ -51,3 +52,27 @@ def test_distinct_by_period_is_exact_for_many_owners(spark, tmp_path):
     events.write.parquet(f"{tmp_path}/events.parquet")
     found = QUERIES["distinct_by_period"](spark, str(tmp_path)).collect()
     assert [(r["event_type"], str(r["period"]), r["users"], r["n"]) for r in found] == [("view", "2024-01-01", 30_011, 50_000)]
+
+
+@pytest.mark.parametrize("measure", ["cosine", "dot", "euclid"])
+def test_best_by_runs_of_columns_are_the_best_of_all(monkeypatch, measure):
+    rng = np.random.default_rng(3)
+    refs = np.round(rng.normal(size=(1500, 4)), 1)
+    refs[700:900] = refs[0]  # ties
+    points = np.r_[np.round(rng.normal(size=(40, 4)), 1), np.zeros((1, 4))]
+    if measure == "euclid":
+        loss = ((points[:, None] - refs) ** 2).sum(axis=2)
+    else:
+        loss = -np.round(points @ refs.T, 9)
+    bars = np.where(np.arange(len(points)) % 2, np.inf, np.sort(loss, axis=1)[:, 3])
+
+    def refuse(*_, **__):
+        raise AssertionError("every loss is sorted")
+
+    whole = np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *x, **y: refuse() if a.shape[1] == len(refs) else whole(a, *x, **y))
+    for row, (places, losses) in enumerate(nearest._best(points, refs, 7, measure, bars)):
+        order = [i for i in np.argsort(loss[row], kind="stable") if loss[row, i] <= bars[row] + 1e-12][:7]
+        assert places.tolist()[: len(order)] == order and np.allclose(losses[: len(order)], loss[row, order])
+    if measure != "euclid":
+        assert not np.signbit(-next(nearest._best(np.zeros((1, 4)), refs, 1, measure, np.array([np.inf])))[1][0])
