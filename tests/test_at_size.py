@@ -76,3 +76,17 @@ def test_best_by_runs_of_columns_are_the_best_of_all(monkeypatch, measure):
         assert places.tolist()[: len(order)] == order and np.allclose(losses[: len(order)], loss[row, order])
     if measure != "euclid":
         assert not np.signbit(-next(nearest._best(np.zeros((1, 4)), refs, 1, measure, np.array([np.inf])))[1][0])
+
+
+def test_words_are_encoded_some_rows_at_a_time(spark):
+    made, most = vectors.hashed_words()(), nearest.ROWS
+
+    def encoder():
+        def run(texts):
+            assert len(texts) <= most
+            return made(texts)
+        return run
+
+    texts = spark.range(0, 3500, numPartitions=1).select("id", F.concat(F.lit("a b w"), F.col("id") % 7).alias("text"))
+    encoded = vectors.encode(texts, "id", "text", lambda: encoder()).collect()
+    assert {r["id"] for r in encoded} == set(range(3500)) and all(sum(r["embedding"]) == 3 for r in encoded)
