@@ -90,3 +90,10 @@ def test_words_are_encoded_some_rows_at_a_time(spark):
     texts = spark.range(0, 3500, numPartitions=1).select("id", F.concat(F.lit("a b w"), F.col("id") % 7).alias("text"))
     encoded = vectors.encode(texts, "id", "text", lambda: encoder()).collect()
     assert {r["id"] for r in encoded} == set(range(3500)) and all(sum(r["embedding"]) == 3 for r in encoded)
+
+
+def test_side_by_side_silhouettes_are_those_of_single_fits(spark):
+    made = session.durable(spark.range(400).select(*[(F.pmod(F.xxhash64(F.lit(i), "id"), F.lit(100)) / 100).alias(c) for i, c in enumerate(profiles.FEATURES)]))
+    want = [(k, profiles.silhouette(profiles.behaviour_clusters(made, k))) for k in (4, 5, 6)]
+    found = profiles.silhouettes(made, (4, 5, 6))
+    assert [k for k, _ in found] == [4, 5, 6] and np.allclose([s for _, s in found], [s for _, s in want], rtol=0, atol=1e-9)
