@@ -97,3 +97,11 @@ def test_side_by_side_silhouettes_are_those_of_single_fits(spark):
     want = [(k, profiles.silhouette(profiles.behaviour_clusters(made, k))) for k in (4, 5, 6)]
     found = profiles.silhouettes(made, (4, 5, 6))
     assert [k for k, _ in found] == [4, 5, 6] and np.allclose([s for _, s in found], [s for _, s in want], rtol=0, atol=1e-9)
+
+
+def test_noise_is_sought_among_the_most_frequent_texts_first(spark, monkeypatch):
+    monkeypatch.setattr(terms, "LISTED", 2)
+    rows = [("x", f"casino {i}") for i in range(40) for _ in range(3)] + [("x", "plain words")] * 2 + [("x", "other words"), (None, "plain words"), ("y", "a@b c"), ("x", "u")]
+    found = terms.top_texts(spark.createDataFrame(rows, "lang string, text string"), ["lang"], "text", 2)
+    assert sorted(((r["lang"], r["rank"], r["text"], r["n"]) for r in found.collect()), key=str) == sorted(
+        [("x", 1, "plain words", 2), ("x", 2, "other words", 1), (None, 1, "plain words", 1)], key=str)
