@@ -105,3 +105,9 @@ def test_noise_is_sought_among_the_most_frequent_texts_first(spark, monkeypatch)
     found = terms.top_texts(spark.createDataFrame(rows, "lang string, text string"), ["lang"], "text", 2)
     assert sorted(((r["lang"], r["rank"], r["text"], r["n"]) for r in found.collect()), key=str) == sorted(
         [("x", 1, "plain words", 2), ("x", 2, "other words", 1), (None, 1, "plain words", 1)], key=str)
+
+
+def test_texts_are_cut_into_words_once_for_their_clusters(spark, monkeypatch):
+    docs = spark.range(40).select("id", F.concat(F.lit("word "), F.col("id") % 4).alias("text"))
+    found = terms.content_clusters(docs, "id", "text", ["the"], 3, slots=64, iterations=3)
+    assert found.count() == 40 and "split" not in found._jdf.queryExecution().optimizedPlan().toString()
