@@ -37,7 +37,7 @@ LEAN = (0.4, 2.0, 2.0, 2.0, 0.7, 1.0)
 GATES = 32
 #: Parts into which tables are cut where they are summed.
 PARTS = 64
-#: Spellings the mixer's weights are fitted on, at most about; the tables themselves count all words.
+#: Words on which a task takes its steps, about; every training word is stepped on, and the tasks' weights are averaged.
 FIT_WORDS = 40_000
 HELD_OUT, FOLDS = 2, 7
 _U = np.uint64
@@ -105,6 +105,7 @@ class Mixer:
         self.weights = np.zeros((GATES, len(CONTEXTS)))
         self.weights[:, -1] = 1
         self.refined = np.tile(squash((np.arange(self.STEPS) - 16) / 1.5), (GATES, 1))
+        self.sights = np.zeros((GATES, self.STEPS))  # weight of the decisions learnt from, where they met the refining table
 
     def _lean(self, context: int, slots: np.ndarray, p: np.ndarray, known: np.ndarray | None):
         """(probability by a context that leans on ``p`` as far as its own counts are few, those counts)."""
@@ -143,7 +144,7 @@ class Mixer:
     def learn(self, words: list[bytes], kinds: np.ndarray, counts: np.ndarray, rate: float) -> None:
         """Online steps over words in the order given, a few thousand decisions at a time."""
         held = Spelled(words)
-        weight = np.minimum(counts[held.word], 50).astype(float)
+        weight = counts[held.word].astype(float)
         for bit, slots in held.nodes(kinds[held.word]):
             for start in range(0, len(bit), 4096):
                 some = slice(start, start + 4096)
@@ -155,6 +156,7 @@ class Mixer:
                 total = np.bincount(gate, w, GATES) + 20
                 for column in range(inputs.shape[1]):
                     self.weights[:, column] += rate * np.bincount(gate, error * inputs[:, column], GATES) / total
+                np.add.at(self.sights, (gate, step), w)
                 np.add.at(self.refined, (gate, step), (b - self.refined[gate, step]) * np.minimum(0.02, 0.002 * w))
 
     def log10(self, words: list[bytes], kinds: int) -> np.ndarray:
@@ -237,8 +239,43 @@ def _added(table: pa.Table) -> pa.Table:
     return pa.table([table.column("part").slice(0, 1), pa.array([total.astype("<f4").tobytes()], pa.binary())], names=["part", "sums"])
 
 
+def _steps(counts, weights: np.ndarray, refined: np.ndarray, kinds: int, rate: float):
+    """One row: where online steps over a partition's words lead from the given weights, and what each part of them saw."""
+    def run(batches):
+        mixer, waiting = Mixer(counts.value), []
+        mixer.weights, mixer.refined = weights.copy(), refined.copy()
+
+        def learn(some) -> None:
+            words, kind, n = zip(*some)
+            mixer.learn(list(words), np.array(kind), np.array(n, float), rate)
+
+        for batch in batches:
+            numbers = [batch.column(c).to_pylist() for c in _columns(kinds)]
+            for i, word in enumerate(batch.column("word").to_pylist()):
+                waiting += [(word, kind, n[i]) for kind, n in enumerate(numbers) if n[i]]
+                while len(waiting) >= 5_000:
+                    learn(waiting[:5_000])
+                    del waiting[:5_000]
+        if waiting:
+            learn(waiting)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (mixer.weights, mixer.refined, mixer.sights)],
+                                         names=["weights", "refined", "sights"])
+
+    return run
+
+
+def _averaged(parts: np.ndarray, sights: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The parts' numbers, each counting as much as it saw; those that no part saw stay."""
+    total = sights.sum(axis=0)
+    return np.where(total > 0, (parts * sights).sum(axis=0) / np.maximum(total, 1e-300), before)
+
+
 def train(vocabulary: DataFrame, kinds: int) -> Mixer:
-    """A mixer from (word, n_0, n_1, ...) of all training words: tables over all of them, weights from a bounded share."""
+    """A mixer from (word, n_0, n_1, ...) of all training words: tables and weights over all of them.
+
+    The weights take two rounds. In each, tasks step over their words from the same weights, and the average of where they
+    came to, by what they saw, is the next round's start. Up to ``FIT_WORDS`` words are one task's: plain online steps.
+    """
     # tables have a fixed size; their sums are added part by part, not in one place
     few = vocabulary.coalesce(max(6, blocks.shuffle_partitions(vocabulary) // 8))
     sums = few.mapInArrow(_table_parts(kinds), "part int, sums binary").groupBy("part").applyInArrow(_added, "part int, sums binary")
@@ -246,13 +283,18 @@ def train(vocabulary: DataFrame, kinds: int) -> Mixer:
     size = (len(CONTEXTS) << SLOT_BITS) * 2 // PARTS
     flat = np.concatenate([parts.get(p, np.zeros(size, np.float32)) for p in range(PARTS)])
     mixer = Mixer(flat.reshape(len(CONTEXTS), 1 << SLOT_BITS, 2))
-    share = min(1.0, FIT_WORDS / max(1, vocabulary.count()))
-    sample = vocabulary.where(F.pmod(F.xxhash64("word"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy(F.xxhash64(F.lit(1), "word")).collect()
-    seen = [(bytes(r.word), kind, r[column]) for r in sample for kind, column in enumerate(_columns(kinds)) if r[column]]
+    counts = vocabulary.sparkSession.sparkContext.broadcast(mixer.counts)
+    tasks = -(-max(1, vocabulary.count()) // FIT_WORDS)
+    dealt = durable(vocabulary.repartition(tasks, "word").sortWithinPartitions(F.xxhash64(F.lit(1), "word")))
     for rate in (0.02, 0.005):
-        for start in range(0, len(seen), 5_000):
-            words, kind, count = zip(*seen[start: start + 5_000])
-            mixer.learn(list(words), np.array(kind), np.array(count, float), rate)
+        run = _steps(counts, mixer.weights, mixer.refined, kinds, rate)
+        # a row of 20 KB for each task
+        rows = dealt.mapInArrow(run, "weights binary, refined binary, sights binary").collect()
+        if not rows:  # no training words
+            break
+        weights, refined, sights = (np.stack([np.frombuffer(bytes(r[c]), float).reshape(GATES, -1) for r in rows]) for c in range(3))
+        mixer.weights = _averaged(weights, sights.sum(axis=2, keepdims=True), mixer.weights)
+        mixer.refined = _averaged(refined, sights, mixer.refined)
     return mixer
 
 
