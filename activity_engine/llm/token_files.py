@@ -17,15 +17,17 @@ import os
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from activity_engine.llm.blocks import shuffle_partitions
-from activity_engine.llm.words import binary
+from activity_engine.llm.words import slices
 from activity_engine.session import ensure_checkpoint_dir
 
 #: A chunk is closed once it holds so many ids; its last document may go beyond.
@@ -33,6 +35,10 @@ CHUNK = 1 << 21
 END = 2
 #: Distinct words whose ids a worker remembers; the memory is emptied when it is full.
 REMEMBERED = 1_000_000
+#: Texts of about so many bytes are cut into words together; a word is looked up once for all of them.
+AT_ONCE = 8 << 20
+#: So many unknown words are encoded as one text.
+TOGETHER = 64
 CHUNKS = "part int, chunk int, doc_ids array<long>, lengths array<long>, table binary, control binary, data binary"
 _CHUNKS = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())),
                      ("table", pa.binary()), ("control", pa.binary()), ("data", pa.binary())])
@@ -79,59 +85,87 @@ def unpack(table: bytes, control: bytes, data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(table, "<u4")[ranks]
 
 
-def _stem(word: bytes) -> tuple[bytes, ...]:
-    """A word in small letters, its last stop or comma apart. Words that may hold a special token stay as they are."""
-    if b"<|" in word:
-        return (word,)
-    word = word.lower()
-    return (word[:-1], word[-1:]) if word[-1:] in (b".", b",") and word[-2:-1].isalpha() else (word,)
+def _stems(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """Words in small letters, and for each the stop or comma that was its last byte and is taken off (after a letter only), else 0."""
+    joined = b" ".join(words).lower()
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(size + 1) - 1
+    raw = np.frombuffer(b"  " + joined, np.uint8)  # so that the last two bytes of every word have a place
+    last, before = raw[end + 1], raw[end]
+    mark = np.where((size > 1) & ((last == ord(".")) | (last == ord(","))) & (before >= ord("a")) & (before <= ord("z")), last, 0)
+    lower = joined.split(b" ") if words else []
+    for at in np.flatnonzero(mark).tolist():
+        lower[at] = lower[at][:-1]
+    return lower, mark
 
 
 class WordEncoder:
     """Ids of whole texts, word by word. Only for tokenizers that drop white space, never join across it, lower the case,
     and part letters from marks: each distinct word is then encoded once and remembered. Words are cut at ASCII white space
-    only; a word may hold other spaces."""
+    only; a word may hold other spaces. ``encode`` gives all ids of some words, one word after another, and how many each has."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.encode = encode
         self._forget()
 
     def _forget(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.stems: dict[bytes, list[int]] = {}
+        self.stems: dict[bytes, int] = {}
         self.begin = self.length = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.stem_begin = self.stem_length = np.zeros(0, np.int64)
+        self.ids = self.stem_ids = np.zeros(0, np.uint32)
 
     def _learn(self, new: list[bytes]) -> None:
-        """Words that only differ in the case of A-Z, or in one stop or comma after a letter, share a stem."""
-        stems = [_stem(w) for w in new]
-        unknown = list({part for stem in stems for part in stem}.difference(self.stems))
-        self.stems.update(zip(unknown, self.encode([w.decode("utf-8", "replace") for w in unknown])))
-        coded = [self.stems[stem[0]] if len(stem) == 1 else self.stems[stem[0]] + self.stems[stem[1]] for stem in stems]
+        """Words that only differ in the case of A-Z, or in one stop or comma after a letter, share a stem. Words that may hold
+        a special token stay as they are."""
+        whole = [at for at, w in enumerate(new) if b"<|" in w]
+        stems, mark = _stems(new)
+        for at in whole:
+            stems[at] = new[at]
+        mark[whole] = 0
+        unknown = list({*stems, b".", b","}.difference(self.stems))
+        ids, length = self.encode([w.decode("utf-8", "replace") for w in unknown])
+        self.stems.update(zip(unknown, range(len(self.stems), len(self.stems) + len(unknown))))
+        self.stem_begin = np.r_[self.stem_begin, len(self.stem_ids) + np.cumsum(length) - length]
+        self.stem_length = np.r_[self.stem_length, length]
+        self.stem_ids = np.r_[self.stem_ids, ids]
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-        length = np.fromiter(map(len, coded), np.int64, len(coded))
+        # a word is written as its stem and its mark, one after the other
+        parts = np.full((len(new), 2), -1, np.int64)
+        parts[:, 0] = np.fromiter(map(self.stems.__getitem__, stems), np.int64, len(stems))
+        for byte in b".,":
+            parts[mark == byte, 1] = self.stems[bytes([byte])]
+        long = np.where(parts < 0, 0, self.stem_length[parts])
+        coded = _gathered(self.stem_ids, self.stem_begin[parts].reshape(-1), long.reshape(-1))
+        length = long.sum(axis=1)
         self.begin = np.r_[self.begin, len(self.ids) + np.cumsum(length) - length]
         self.length = np.r_[self.length, length]
-        self.ids = np.r_[self.ids, np.fromiter((i for c in coded for i in c), np.uint32, int(length.sum()))]
+        self.ids = np.r_[self.ids, coded]
 
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and how many each text has."""
-        words = [text.split() for text in texts]
-        every = [w for ws in words for w in ws]
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and how many each text has. Texts are bytes, none of them null."""
+        words = pc.ascii_split_whitespace(texts.view(pa.string()))
+        each = words.flatten().dictionary_encode()
+        distinct = each.dictionary.view(pa.binary()).to_pylist()
         if len(self.place) > REMEMBERED:
             self._forget()
-        new = list(set(every).difference(self.place))
+        new = [w for w in distinct if w not in self.place]
         if new:
             self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, every), np.int64, len(every))
+        at = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[each.indices.to_numpy()]
         length = self.length[at]
-        end = np.cumsum(length)
-        total = int(end[-1]) if len(end) else 0
-        ids = self.ids[np.repeat(self.begin[at] - (end - length), length) + np.arange(total)]
-        upto = np.r_[0, end][np.r_[0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]]
+        ids = _gathered(self.ids, self.begin[at], length)
+        upto = np.r_[0, np.cumsum(length)][np.r_[0, np.cumsum(pc.list_value_length(words).to_numpy())]]
         return ids, np.diff(upto)
 
 
+def _gathered(values: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Runs of ``values``, one after another."""
+    end = np.cumsum(length)
+    total = int(end[-1]) if len(end) else 0
+    return values[np.repeat(begin - (end - length), length) + np.arange(total)]
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -142,7 +176,23 @@ def word_tokenizer(path: str) -> WordEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        _ENCODERS[path] = WordEncoder(lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+
+        marks = [(t.content, i) for i, t in tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized and not t.lstrip and not t.rstrip]
+
+        def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """Every call of the library costs something by itself, so words go together, with a special token between them."""
+            if marks:
+                mark, id_ = marks[0]
+                runs = tokenizer.encode_batch_fast([mark.join(words[at:at + TOGETHER]) for at in range(0, len(words), TOGETHER)], add_special_tokens=False)
+                ids = np.concatenate([np.zeros(0, np.uint32), *[np.array([*run.ids, id_], np.uint32) for run in runs]])
+                length = np.diff(np.flatnonzero(ids == id_), prepend=-1) - 1
+                if len(length) == len(words):  # else a word holds that token itself
+                    return ids[ids != id_], length
+            coded = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            length = np.fromiter(map(len, coded), np.int64, len(coded))
+            return np.fromiter(chain.from_iterable(coded), np.uint32, int(length.sum())), length
+
+        _ENCODERS[path] = WordEncoder(encode)
     return _ENCODERS[path]
 
 
@@ -157,13 +207,12 @@ def _chunks(path: str, end: int, size: int):
         encoder, part, number = word_tokenizer(path), 0, 0
         docs, lengths, ids, held = [], [], [], 0
         for batch in batches:
-            texts, doc_ids = binary(batch.column("text")), batch.column("doc_id").to_pylist()
-            for start in range(0, len(texts), 1024):
-                coded, count = encoder(texts.slice(start, 1024).to_pylist())
+            for run_, texts in slices(batch, AT_ONCE):
+                coded, count = encoder(texts)
                 stops = np.cumsum(count)
                 ended = np.insert(coded, stops, np.uint32(end))
                 part = batch.column("part")[0].as_py()
-                docs += doc_ids[start: start + 1024]
+                docs += run_.column("doc_id").to_pylist()
                 lengths += (count + 1).tolist()
                 ids.append(ended)
                 held += len(ended)

@@ -377,6 +377,41 @@ def test_token_files(spark, docs, rows, nothing, tmp_path):
     assert token_files.token_index(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_word_encoder_asks_once_for_each_stem():
+    """Ids and counts of any bytes; words of many texts are looked up together, and a word that comes again is not asked for."""
+    import pyarrow as pa
+
+    asked = []
+
+    def encode(words):
+        asked.extend(words)
+        coded = [list(w.encode()) for w in words]
+        return np.array([i for c in coded for i in c], np.uint32), np.array([len(c) for c in coded], np.int64)
+
+    encoder = token_files.WordEncoder(encode)
+    texts = [b"", b"  One one, ONE.\tone.,\n", b"<|End|> a. , .", b"\xff\xfe A,\x0b7. " + "É.".encode(), b" "]
+    for _ in range(2):
+        ids, count = encoder(pa.array(texts, pa.binary()))
+        flat = [[i for w in t.split() for i in (w if b"<|" in w else w.lower()).decode("utf-8", "replace").encode()] for t in texts]
+        assert ids.tolist() == [i for f in flat for i in f]
+        assert count.tolist() == [len(f) for f in flat]
+    assert sorted(w for w in asked if w in ("one", "a", "one,", "ONE")) == ["a", "one"]
+    assert len(asked) == len(set(asked))
+
+
+def test_words_encoded_together_are_those_of_the_library():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    plain = ["It's e\u0301te\u0301, \u0301x 1999... <", "", "<|endoftext x<| |> <|EndOfText|> \u00a0a\u2003b", " ".join(f"w{i}q" for i in range(300))]
+    for texts in (plain, [*plain, "a<|endoftext|>b <|startoftext|> <|startoftext|><|endoftext|>."]):
+        ids, count = token_files.word_tokenizer(path)(pa.array([t.encode() for t in texts], pa.binary()))
+        coded = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == [i for c in coded for i in c] and count.tolist() == [len(c) for c in coded]
+
+
 def test_sentencepiece(spark, docs, rows, nothing):
     from sentencepiece import SentencePieceProcessor
 
