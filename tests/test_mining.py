@@ -1,6 +1,7 @@
 """Conversation blocks and scores, word statistics, vectors, scenes, recommendations on hand-made rows."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pandas as pd
@@ -141,6 +142,26 @@ def test_terms(spark):
     assert claims == {"red dog": "colour", "dog": "animal"}
 
 
+def test_counted_tables_give_what_rows_of_words_give(spark, monkeypatch):
+    """Terms counted in tables, some texts at a time and part by part, against one row per word; nulls, odd spaces and ties among them."""
+    monkeypatch.setattr(terms, "COUNTED_AT_ONCE", 1 << 10)
+    rnd = random.Random(3)
+    words = ["alpha", "the", "béta", "ÉCLAIR", "x", "", "9lives", "no9", "50%", "(ab)", "gamma", "\u00a0wide", "Straße", "delta", "İx"]
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([1, 2, None]), rnd.choice([" ", "\t", " \n "]).join(rnd.choices(words, k=rnd.randint(0, 40)))) for _ in range(300)]
+    rows += [("a", 1, t) for t in ("", "   ", None, "@ alpha gamma", "https://alpha gamma", "  lead and trail \n\r\x0b\x0c ", "\x1falpha\x1fgamma x", "alpha%20gamma")]
+    texts = spark.createDataFrame(rows, "c string, s int, text string").repartition(3)
+    for width, terms_of in ((1, terms.unigrams), (2, terms.bigrams)):
+        for groups in (["c"], ["c", "s"]):
+            plain = terms_of(texts, "text", ["the", "and"])
+            counted = terms.term_counts(texts, groups, "text", ["the", "and"], width)
+            every = {tuple(r) for r in plain.groupBy(*groups, "term").count().collect()}
+            assert {tuple(r) for r in counted.collect()} == every and counted.count() == len(every)
+            for k in (1, 4):
+                best = terms.top_counts(terms.term_counts(texts, groups, "text", ["the", "and"], width, k), groups, k)
+                assert set(best.collect()) == set(terms.top_terms(plain, groups, k).select(best.columns).collect())
+    assert terms.term_counts(texts.limit(0), ["c"], "text", ["the"], 2, 5).count() == 0
+
+
 def test_keyword_profiles_read_all_sources(spark):
     texts = spark.createDataFrame([(1, s, f"{w} {w}") for s, w in zip(["e", "b", "d", "a", "c", None], ["echo", "bravo", "delta", "alpha", "charlie", "null"])] + [
         (2, "e", "echo"), (None, "a", "alpha")], "c int, s string, text string")
