@@ -159,9 +159,22 @@ def test_counted_tables_give_what_rows_of_words_give(spark, monkeypatch):
             for k in (1, 4):
                 best = terms.top_counts(terms.term_counts(texts, groups, "text", ["the", "and"], width, k), groups, k)
                 assert set(best.collect()) == set(terms.top_terms(plain, groups, k).select(best.columns).collect())
+            texts_with = plain.select(*groups, "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
+            told = terms.term_counts(texts, groups, "text", ["the", "and"], width, spread="df").select("term", "df").distinct()
+            assert sorted(told.collect()) == sorted(texts_with.collect())
     assert terms.term_counts(texts.limit(0), ["c"], "text", ["the"], 2, 5).count() == 0
 
 
+def test_tfidf_joins_nothing(spark):
+    """A text's words and the number of texts with them come from one pass; a repeated id is one text."""
+    texts = spark.createDataFrame([(1, "red red dog"), (2, "red cat"), (2, "cat bird"), (3, None), (4, "")], "i int, text string")
+    made = terms.tfidf(texts, "i", "text", [], 3)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    assert {(r.i, r.term): (r.tf, r.df) for r in made.collect()} == {
+        (1, "red"): (2, 2), (1, "dog"): (1, 1), (2, "red"): (1, 2), (2, "cat"): (2, 1), (2, "bird"): (1, 1)}
+
+
 def test_keyword_profiles_read_all_sources(spark):
     texts = spark.createDataFrame([(1, s, f"{w} {w}") for s, w in zip(["e", "b", "d", "a", "c", None], ["echo", "bravo", "delta", "alpha", "charlie", "null"])] + [
         (2, "e", "echo"), (None, "a", "alpha")], "c int, s string, text string")
