@@ -20,6 +20,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -107,6 +108,14 @@ class Mixer:
         self.refined = np.tile(squash((np.arange(self.STEPS) - 16) / 1.5), (GATES, 1))
         self.sights = np.zeros((GATES, self.STEPS))  # weight of the decisions learnt from, where they met the refining table
 
+    def __getstate__(self) -> dict:
+        """Counters travel compressed: most are zero or small."""
+        return self.__dict__ | {"counts": (zstandard.compress(np.ascontiguousarray(self.counts).view(np.uint8).data), self.counts.shape, self.counts.dtype.str)}
+
+    def __setstate__(self, state: dict) -> None:
+        packed, shape, kind = state["counts"]
+        self.__dict__.update(state, counts=np.frombuffer(zstandard.decompress(packed), kind).reshape(shape))
+
     def _lean(self, context: int, slots: np.ndarray, p: np.ndarray, known: np.ndarray | None):
         """(probability by a context that leans on ``p`` as far as its own counts are few, those counts)."""
         ones, zeros = (self.counts[context][slots, side].astype(float) for side in (1, 0))
@@ -239,10 +248,10 @@ def _added(table: pa.Table) -> pa.Table:
     return pa.table([table.column("part").slice(0, 1), pa.array([total.astype("<f4").tobytes()], pa.binary())], names=["part", "sums"])
 
 
-def _steps(counts, weights: np.ndarray, refined: np.ndarray, kinds: int, rate: float):
+def _steps(fitted, weights: np.ndarray, refined: np.ndarray, kinds: int, rate: float):
     """One row: where online steps over a partition's words lead from the given weights, and what each part of them saw."""
     def run(batches):
-        mixer, waiting = Mixer(counts.value), []
+        mixer, waiting = Mixer(fitted.value.counts), []
         mixer.weights, mixer.refined = weights.copy(), refined.copy()
 
         def learn(some) -> None:
@@ -283,11 +292,11 @@ def train(vocabulary: DataFrame, kinds: int) -> Mixer:
     size = (len(CONTEXTS) << SLOT_BITS) * 2 // PARTS
     flat = np.concatenate([parts.get(p, np.zeros(size, np.float32)) for p in range(PARTS)])
     mixer = Mixer(flat.reshape(len(CONTEXTS), 1 << SLOT_BITS, 2))
-    counts = vocabulary.sparkSession.sparkContext.broadcast(mixer.counts)
+    fitted = vocabulary.sparkSession.sparkContext.broadcast(mixer)
     tasks = -(-max(1, vocabulary.count()) // FIT_WORDS)
     dealt = durable(vocabulary.repartition(tasks, "word").sortWithinPartitions(F.xxhash64(F.lit(1), "word")))
     for rate in (0.02, 0.005):
-        run = _steps(counts, mixer.weights, mixer.refined, kinds, rate)
+        run = _steps(fitted, mixer.weights, mixer.refined, kinds, rate)
         # a row of 20 KB for each task
         rows = dealt.mapInArrow(run, "weights binary, refined binary, sights binary").collect()
         if not rows:  # no training words

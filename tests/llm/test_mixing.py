@@ -36,3 +36,16 @@ def test_every_training_word_is_stepped_on_whatever_the_number_of_tasks(vocabula
 def test_averages_count_by_what_was_seen():
     got = mixing._averaged(np.array([[1.0, 5, 7], [4.0, 6, 8]]), np.array([[2.0, 0, 0], [1.0, 3, 0]]), np.array([9.0, 9, 9]))
     assert got.tolist() == [2.0, 6.0, 9.0]
+
+
+def test_a_mixer_travels_compressed():
+    """The counters of few words are a few bytes on disk and in a broadcast, and come back as they were."""
+    import pickle
+
+    counts = np.zeros((3, 1 << 16, 2), np.float32)
+    counts[1, 77] = 3, 5
+    mixer = mixing.Mixer(counts)
+    sent = pickle.dumps(mixer)
+    back = pickle.loads(sent)
+    assert len(sent) < counts.nbytes / 20
+    assert np.array_equal(back.counts, counts) and np.array_equal(back.weights, mixer.weights) and back.counts.dtype == counts.dtype
