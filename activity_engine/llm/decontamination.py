@@ -29,7 +29,10 @@ TABLES = 8
 SAMPLED = 5
 #: Items that are looked for in one pass; more take further passes over the documents.
 ITEMS = 20_000
+#: Texts are looked through in slices of about so many bytes.
+AT_ONCE = 1 << 19
 _U = np.uint64
+#: At most so many bits of a key are looked up in a table's filter first.
 _FILTER_BITS = 20
 
 
@@ -94,6 +97,14 @@ def embed(hashes: np.ndarray, starts: np.ndarray, sizes: list[int], seed: int) -
     return keys
 
 
+def _filter(keys: np.ndarray) -> tuple[np.uint64, np.ndarray]:
+    """How far to shift a key, and whether any of ``keys`` is left as that number; some 64 numbers for every key."""
+    shift = _U(64 - min(_FILTER_BITS, 6 + len(keys).bit_length()))
+    bits = np.zeros(1 << (64 - int(shift)), bool)
+    bits[keys >> shift] = True
+    return shift, bits
+
+
 class Items:
     """Benchmark items ready for look-up: their words, and for each walk and window size the sorted keys of every table."""
 
@@ -117,9 +128,15 @@ class Items:
                 for table in range(TABLES):
                     key = mix(keys[table])
                     order = np.argsort(key)
-                    bits = np.zeros(1 << _FILTER_BITS, bool)
-                    bits[key >> _U(64 - _FILTER_BITS)] = True
-                    self.tables.append((seed, size, table, bits, key[order], item[order], offset[order]))
+                    self.tables.append((seed, size, table, key[order], item[order], offset[order]))
+        self.filters = [_filter(key) for *_, key, _, _ in self.tables]
+
+    def __getstate__(self) -> dict:
+        """Filters do not travel: a task makes its own from the keys."""
+        return {k: v for k, v in self.__dict__.items() if k != "filters"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, filters=[_filter(key) for *_, key, _, _ in state["tables"]])
 
     def candidates(self, words: Words) -> np.ndarray:
         """Distinct (document row, item, place where the item would begin) of windows that collide in some table."""
@@ -130,10 +147,10 @@ class Items:
         if len(starts):
             for seed in range(WALKS):
                 keys = embed(words.hashes, starts, self.sizes, seed)
-                for walk, size, table, bits, key, item, offset in self.tables:
+                for (walk, size, table, key, item, offset), (shift, bits) in zip(self.tables, self.filters):
                     if walk == seed:
                         mine = mix(keys[size][table])
-                        maybe = np.flatnonzero(bits[mine >> _U(64 - _FILTER_BITS)])
+                        maybe = np.flatnonzero(bits[mine >> shift])
                         low, high = (np.searchsorted(key, mine[maybe], side) for side in ("left", "right"))
                         count = high - low
                         which = np.repeat(maybe, count)
@@ -160,7 +177,7 @@ def _matches(items: Items, max_edits: float):
 
     def run(batches):
         for batch in batches:
-            rows = [row for part, texts in slices(batch) for row in settled(cut(texts, lower=True), ids(part.column("doc_id")))]
+            rows = [row for part, texts in slices(batch, AT_ONCE) for row in settled(cut(texts, lower=True), ids(part.column("doc_id")))]
             columns = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns],
                                              names=["doc_id", "item_id", "start", "stop", "edits", "item_words"])
