@@ -190,8 +190,8 @@ def _block_words(docs: pa.Table) -> pa.Table:
     for part, texts in slices(docs):
         for words, aside in zip(_lower_words(texts), is_held_out(part.column("doc_id")).tolist()):
             if aside:
-                for word in {END, *words}.difference(counts):
-                    counts[word] = 0
+                for word in (END, *words):  # a set's difference with a Counter would go through the whole Counter
+                    counts.setdefault(word, 0)
             else:
                 counts.update(words)
                 counts[END] += 1

@@ -1,6 +1,9 @@
 """The mixer's weights come from every training word."""
 
+import time
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from activity_engine.llm import mixing
@@ -49,3 +52,15 @@ def test_a_mixer_travels_compressed():
     back = pickle.loads(sent)
     assert len(sent) < counts.nbytes / 20
     assert np.array_equal(back.counts, counts) and np.array_equal(back.weights, mixer.weights) and back.counts.dtype == counts.dtype
+
+
+def test_a_held_out_text_costs_its_own_words_however_many_words_its_block_has():
+    aside = [i for i in range(20_000) if mixing.is_held_out(pa.array([i]))[0]][:2_000]
+    learnt = next(i for i in range(9) if not mixing.is_held_out(pa.array([i]))[0])
+    texts = [b" ".join(b"w%d" % i for i in range(50_000)), *[b"w1 v%d" % i for i in aside]]
+    table = pa.table([pa.array([learnt, *aside], pa.int64()), pa.array(texts, pa.binary()), pa.array([3] * len(texts), pa.int32())],
+                     names=["doc_id", "text", "block"])
+    began = time.process_time()
+    got = {r["word"]: r["n"] for r in mixing._block_words(table).to_pylist()}
+    assert time.process_time() - began < 1
+    assert got == {b"w%d" % i: 1 for i in range(50_000)} | {b"v%d" % i: 0 for i in aside} | {mixing.END: 1}
