@@ -8,19 +8,19 @@ edges of the unit's lattice, and folded with Spark's ``aggregate``:
 * merge (BPE) models, whose ids no best path gives: the merges themselves, the best remaining edge that joins two
   neighbouring symbols first, the leftmost of equals.
 
-Symbols without a piece become byte pieces. Texts and units meet by block, a batch of documents named by a hash of what
-it holds: its texts travel as numbers of units, its distinct units get their ids, and both are put together again. Decoding
-joins pieces, turns byte pieces into bytes and takes the first space off.
+Symbols without a piece become byte pieces. Texts and units meet by block, some documents named by a hash of what they
+hold: its texts travel as numbers of units, its distinct units get their ids, and both are put together again. A block
+sends its units packed, one row for each part of all units (by CRC-32), and their ids come back the same way; only the
+distinct units of a part are rows. Decoding joins pieces, turns byte pieces into bytes and takes the first space off.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
+from itertools import tee
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +31,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from activity_engine.llm.blocks import shuffle_partitions
-from activity_engine.llm.words import binary
+from activity_engine.llm.words import binary, gathered, give_back, slices
 
 MARK = "▁"
 #: Longer units (in characters) are left to the library itself, one at a time: the places of a unit are bits of a long, and
 #: one more tells the fold that it has ended.
 LONGEST = 60
 BPE, UNIGRAM = 2, 1
+#: Characters by which a substring's pieces are bounded.
+_BEGIN = 3
+#: Parts of units for each shuffle partition. A unit's lattice is some twenty rows, so a part is an eighth of a partition of texts.
+PARTS = 8
+#: Texts of about so many bytes are a block.
+BLOCK = 15 << 20
+#: Units of texts that are given their ids in one go, about.
+_UNITS_AT_ONCE = 1 << 18
 #: So many texts are decoded in one go.
 _AT_ONCE = 256
 _RESULT = "doc_id long, ids array<int>"
+_IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
 @dataclass(frozen=True)
@@ -82,82 +91,167 @@ def units(text: str) -> list[str]:
     return _UNITS.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-def _block(batch: pa.RecordBatch) -> tuple[int, list[bytes]]:
-    """The name of a batch, a hash of its ids and texts, and its texts."""
-    name, texts = xxhash.xxh3_64(), binary(batch.column("text")).to_pylist()
+def _name(batch: pa.RecordBatch, texts: pa.Array) -> int:
+    """The name of a block, a hash of its ids and texts that is below 0."""
+    name = xxhash.xxh3_64()
     for doc, text in zip(batch.column("doc_id").to_pylist(), texts):
-        name.update(f"{doc},{len(text)};")
-        name.update(text)
-    return name.intdigest() - (1 << 63), texts
+        raw = text.as_buffer()
+        name.update(f"{doc},{raw.size};")
+        name.update(raw)
+    return (name.intdigest() >> 1) - (1 << 63)
+
+
+def _numbered(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct units of texts, the units of all texts as numbers, how many each text has). Where single spaces part words,
+    every distinct word is cut once; most are one unit."""
+    try:
+        told = texts.cast(pa.string())
+    except pa.ArrowInvalid:
+        told = pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+    # where spaces or marks meet, a unit holds several: such texts are cut one at a time
+    apart = pc.match_substring_regex(told, f"  |^ | $|{MARK}").to_numpy(zero_copy_only=False) | (pc.binary_length(told).to_numpy() == 0)
+    words = pc.split_pattern(told.filter(pa.array(~apart)), " ")
+    held, each = pc.list_value_length(words).to_numpy(), words.flatten().dictionary_encode()
+    del words
+    distinct, at = each.dictionary, each.indices.to_numpy()
+    several = pc.match_substring_regex(distinct, "[\x00-\x1f]").to_numpy(zero_copy_only=False)
+    whole = distinct.filter(pa.array(~several))
+    plain = pc.binary_join_element_wise(MARK, whole, "").cast(pa.binary())
+    # the others first have numbers of their own
+    place: dict[str, int] = {}
+    cut = [[place.setdefault(u, len(place)) for u in _UNITS.findall(MARK + w)] for w in distinct.filter(pa.array(several)).to_pylist()]
+    alone = [np.array([place.setdefault(u, len(place)) for u in units(told[i].as_py())], np.int64) for i in np.flatnonzero(apart).tolist()]
+    others = pa.array([u.encode() for u in place], pa.binary())
+    number = pc.fill_null(pc.index_in(others, plain), -1).to_numpy().astype(np.int64)
+    new = number < 0
+    number[new] = len(plain) + np.arange(new.sum())
+
+    begin, size = np.zeros(len(distinct), np.int64), np.ones(len(distinct), np.int32)
+    begin[~several] = np.arange(len(whole))
+    size[several] = [len(c) for c in cut]
+    begin[several] = len(whole) + np.cumsum(size[several]) - size[several]
+    values = np.r_[np.arange(len(whole)), number[[i for c in cut for i in c]]].astype("<u4")
+    numbers = [np.zeros(0, "<u4")]
+    for some in range(0, len(at), _UNITS_AT_ONCE):
+        mine = at[some:some + _UNITS_AT_ONCE]
+        numbers.append(gathered(values, begin[mine], size[mine]))
+    sizes = np.zeros(len(told), np.int64)
+    sizes[~apart] = np.diff(np.r_[0, np.cumsum(size[at], dtype=np.int32)][np.r_[0, np.cumsum(held)]])
+    sizes[apart] = [len(c) for c in alone]
+    out = np.concatenate(numbers)
+    if len(out) < sizes.sum():
+        mine, plainly = np.repeat(apart, sizes), out
+        out = np.empty(len(mine), "<u4")
+        out[~mine], out[mine] = plainly, number[np.concatenate(alone)]
+    return pa.concat_arrays([plain, others.filter(pa.array(new))]), out, sizes
+
+
+def _dealt(texts: pa.Array, parts: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct units, the part of each, numbers of all texts, how many each text has). The commonest units come first, so
+    that numbers are small; overlong units have the part after the last."""
+    found, numbers, sizes = _numbered(texts)
+    order = np.argsort(-np.bincount(numbers, minlength=len(found)), kind="stable")
+    found = found.take(pa.array(order))
+    rank = np.empty(len(order), "<u4")
+    rank[order] = np.arange(len(order))
+    part = np.empty(len(found), "<u4")
+    for some in range(0, len(found), 1 << 16):
+        part[some:some + (1 << 16)] = [zlib.crc32(u) % parts for u in found[some:some + (1 << 16)].to_pylist()]
+    part[pc.utf8_length(found.cast(pa.string())).to_numpy() > LONGEST] = parts
+    return found, part, rank[numbers], sizes
+
+
+_SENT = pa.schema([
+    ("key", pa.int64()), ("block", pa.int64()), ("units", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())),
+    ("parts", pa.binary()), ("numbers", pa.binary()), ("long", pa.list_(pa.list_(pa.int32())))])
+_SENT_SQL = "key long, block long, units binary, doc_ids array<long>, lengths array<int>, parts binary, numbers binary, long array<array<int>>"
+
+
+def _sent(path: str, parts: int):
+    """Rows of two kinds, so that texts are cut once. By part: the distinct units of a block, packed; no unit holds a space. By
+    block: its texts as numbers of units, byte by byte, the part of each unit, and the ids of overlong units."""
+    def rows(batch: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
+        block = _name(batch, texts)
+        found, part, numbers, lengths = _dealt(texts, parts)
+        edges = np.searchsorted(np.sort(part), np.arange(parts + 2))
+        found = found.take(pa.array(np.argsort(part, kind="stable")))
+        some = np.flatnonzero(np.diff(edges[:-1])).tolist()
+        units_ = [zstandard.compress(b" ".join(found[edges[p]:edges[p + 1]].to_pylist())) for p in some]
+        planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 4).T)
+        long = [_long_unit(path, u.decode()) for u in found[edges[parts]:].to_pylist()]
+        none = [None] * len(some)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((
+            [*some, block], [block] * (len(some) + 1), [*units_, None], [*none, batch.column("doc_id").to_pylist()], [*none, lengths],
+            [*none, zstandard.compress(part.data)], [*none, zstandard.compress(planes.data)], [*none, long]), _SENT.types)], schema=_SENT)
 
-
-def _numbered(texts: list[bytes], place: dict[str, int]) -> Iterator[np.ndarray]:
-    """The units of each text as numbers, given in the order of their first place; one text is cut at a time."""
-    for text in texts:
-        found = units(text.decode("utf-8", "replace"))
-        yield np.fromiter(map(place.__getitem__, found), "<u4", len(found))
-
-
-_LONG = pa.list_(pa.struct([("place", pa.int32()), ("ids", pa.list_(pa.int32()))]))
-_TEXTS = ("block long, doc_ids array<long>, lengths array<int>, distinct long, numbers binary, "
-          "long array<struct<place: int, ids: array<int>>>")
-
-
-def _texts(path: str):
-    """A batch of texts as numbers of units, byte by byte, and the ids of overlong units."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            block, texts = _block(batch)
-            place = defaultdict(count().__next__)
-            cut = list(_numbered(texts, place))
-            planes = np.concatenate([np.zeros(0, "<u4"), *cut]).view(np.uint8).reshape(-1, 4).T
-            long = [{"place": i, "ids": _long_unit(path, u)} for u, i in place.items() if len(u) > LONGEST]
-            columns = ([block], [batch.column("doc_id").to_pylist()], [[len(found) for found in cut]], [len(place)],
-                       [zstandard.compress(planes.tobytes())], [long])
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.binary(), _LONG)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                             names=["block", "doc_ids", "lengths", "distinct", "numbers", "long"])
+            for some, texts in slices(batch, BLOCK):
+                found = rows(some, texts)
+                give_back()
+                yield found
 
     return run
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, place, unit) of the distinct units of each batch, in the order of the alphabet, which packs well."""
-    for batch in batches:
-        block, texts = _block(batch)
-        place = defaultdict(count().__next__)
-        deque(_numbered(texts, place), maxlen=0)
-        found = sorted(u for u in place if len(u) <= LONGEST)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.full(len(found), block)), pa.array([place[u] for u in found], pa.int32()), pa.array(found, pa.string())],
-            names=["block", "place", "unit"])
+def _opened(packed: pa.Scalar) -> list[bytes]:
+    return zstandard.decompress(packed.as_buffer()).split(b" ")
+
+
+def _distinct(sent: pa.Table) -> pa.Table:
+    """(part, unit) of the distinct units of a part; a block's texts have none."""
+    found: set[bytes] = set()
+    for packed in sent.column("units").drop_null():
+        found.update(_opened(packed))
+    part = sent.column("key")[0].as_py()
+    return pa.table([pa.array(np.full(len(found), part)), pa.array(list(found), pa.binary()).cast(pa.string())], names=["part", "unit"])
+
+
+def _coded(wide: int):
+    """(block, part, n, ids): for each block's units of a part how many ids they have (16 bits), then all their ids, packed."""
+    def run(sent: pa.Table, coded: pa.Table) -> pa.Table:
+        sent = sent.filter(pc.is_valid(sent.column("units")))
+        place = {u: i for i, u in enumerate(binary(coded.column("unit")).to_pylist())}
+        lists = coded.column("ids").combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        length = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        begin, ids = np.cumsum(length) - length, lists.flatten().to_numpy().astype(f"<u{wide}")
+        n, packed = [], []
+        for units_ in sent.column("units"):
+            at = np.fromiter(map(place.__getitem__, _opened(units_)), np.int64)
+            n.append(len(at))
+            packed.append(zstandard.compress(length[at].astype("<u2").tobytes() + gathered(ids, begin[at], length[at]).tobytes()))
+        return pa.table([sent.column("block"), sent.column("key"), pa.array(n, pa.int32()), pa.array(packed, pa.binary())],
+                        names=["block", "part", "n", "ids"])
+
+    return run
 
 
 def _bit(place: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), place)
 
 
-def lattices(found: DataFrame, pieces: DataFrame, longest: int, bytes_from: int, unknown: float) -> DataFrame:
-    """(unit, edges) of distinct units: every substring that is a piece, the best score and then the leftmost first.
+def lattices(found: DataFrame, pieces: DataFrame, longest: int, unknown: float) -> DataFrame:
+    """``found`` and the edges of distinct units: every substring that is a piece, the best score and then the leftmost first.
 
-    ``bounds`` holds the bits of an edge's two ends, ``inside`` those of the places between them, ``ids`` what the edge is
-    written as. A character without a piece is an edge as well, of score ``unknown`` and the ids of its bytes.
+    ``bounds`` holds the bits of an edge's two ends, ``inside`` those of the places between them, ``id`` the piece. A character
+    without a piece is an edge as well, of score ``unknown`` and without an id.
     """
     n = F.length("unit")
-    starts = found.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    spans = starts.select("unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("start")))).alias("size"))
-    cut = spans.select("unit", "start", (F.col("start") + F.col("size")).alias("stop"),
+    starts = found.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    # no piece is longer than the longest that begins with the same characters
+    begins = pieces.where(F.length("piece") >= _BEGIN).groupBy(F.substring("piece", 1, _BEGIN).alias("begin")).agg(F.max(F.length("piece")).alias("most"))
+    bounded = starts.withColumn("begin", F.substring("unit", F.col("start") + 1, F.lit(_BEGIN))).join(F.broadcast(begins), "begin", "left")
+    most = F.least(F.lit(longest), n - F.col("start"), F.coalesce("most", F.lit(_BEGIN - 1)))
+    spans = bounded.select(*found.columns, "start", F.explode(F.sequence(F.lit(1), most)).alias("size"))
+    cut = spans.select(*found.columns, "start", (F.col("start") + F.col("size")).alias("stop"),
                        F.substring("unit", F.col("start") + 1, F.col("size")).alias("piece"))
-    digits = F.hex(F.encode("piece", "utf-8"))
-    raw = F.transform(F.sequence(F.lit(0), (F.length(digits) / 2).cast("int") - 1), lambda i: (
-        F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int") + F.lit(bytes_from)))
-    edge = F.struct(
-        (-F.coalesce("score", F.lit(unknown))).alias("cost"), "start", "stop", (_bit(F.col("start")) + _bit(F.col("stop"))).alias("bounds"),
-        (_bit(F.col("stop")) - _bit(F.col("start") + 1)).alias("inside"),
-        F.when(F.col("id").isNotNull(), F.array("id")).otherwise(raw).alias("ids"))
+    edge = F.struct((-F.coalesce("score", F.lit(unknown))).alias("cost"), "start", "stop", "id")
     # the vocabulary of one model, which does not grow with the texts
     met = cut.join(F.broadcast(pieces), "piece", "left").where("id is not null or stop = start + 1")
-    return met.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return met.groupBy(*found.columns).agg(F.sort_array(F.collect_list(edge)).alias("edges")).withColumn("edges", F.transform("edges", lambda e: F.struct(
+        e["cost"].alias("cost"), e["start"].alias("start"), e["stop"].alias("stop"), (_bit(e["start"]) + _bit(e["stop"])).alias("bounds"),
+        (_bit(e["stop"]) - _bit(e["start"] + 1)).alias("inside"), e["id"].alias("id"))))
 
 
 def merged(unit: Column, edges: Column) -> Column:
@@ -194,18 +288,24 @@ def viterbi(unit: Column, edges: Column) -> Column:
 
 
 def unit_ids(found: DataFrame, model: Model) -> DataFrame:
-    """(unit, ids) of distinct units of at most ``LONGEST`` characters; a symbol without a piece gives its UTF-8 bytes as byte pieces."""
+    """``found`` and the ids of its distinct units of at most ``LONGEST`` characters; a symbol without a piece gives its UTF-8 bytes as byte pieces."""
     least = min((s for _, _, s in model.pieces), default=0.0)
-    made = lattices(found, model.table(found.sparkSession), model.longest, model.bytes_from, least - 10)
+    made = lattices(found, model.table(found.sparkSession), model.longest, least - 10)
     unit, edges = F.col("unit"), F.col("edges")
     places = merged(unit, edges) if model.kind == BPE else viterbi(unit, edges)
 
+    def raw(start: Column) -> Column:
+        digits = F.hex(F.encode(F.substring(unit, start + 1, F.lit(1)), "utf-8"))
+        return F.transform(F.sequence(F.lit(0), (F.length(digits) / 2).cast("int") - 1), lambda i: (
+            F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int") + F.lit(model.bytes_from)))
+
     def ids(places: Column) -> Column:
         symbols = F.filter(edges, lambda e: places.bitwiseAND(e["bounds"] + e["inside"]) == e["bounds"])
-        return F.flatten(F.sort_array(F.transform(symbols, lambda e: F.struct(e["start"].alias("start"), e["ids"].alias("ids"))))["ids"])
+        return F.flatten(F.sort_array(F.transform(symbols, lambda e: F.struct(
+            e["start"].alias("start"), F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(raw(e["start"])).alias("ids"))))["ids"])
 
     # an array of one, so that the fold is not done again for every edge
-    return made.select("unit", F.flatten(F.transform(F.array(places), ids)).cast("array<int>").alias("ids"))
+    return made.select(*found.columns, F.flatten(F.transform(F.array(places), ids)).cast("array<int>").alias("ids"))
 
 
 _PROCESSORS: dict = {}
@@ -226,31 +326,39 @@ def _long_unit(path: str, unit: str) -> list[int]:
 
 def _joined(wide: int):
     """Put the ids of a block's units where its texts have their numbers."""
-    def run(texts: pa.Table, coded: pa.Table) -> pa.Table:
-        raw, at = coded.column("ids").to_pylist(), coded.column("place").to_numpy()
-        mine = np.fromiter(map(len, raw), np.int64, len(raw)) // wide
-        coded_ids = np.frombuffer(b"".join(raw), f"<u{wide}").astype(np.int32)
-        out, size, docs = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], []
-        for row in texts.to_pylist():
-            begin, length = np.zeros(row["distinct"], np.int64), np.full(row["distinct"], -1, np.int64)
-            begin[at], length[at] = np.cumsum(mine) - mine, mine
-            rest, base = [], len(coded_ids)
-            for long in row["long"]:
-                begin[long["place"]], length[long["place"]] = base + len(rest), len(long["ids"])
-                rest += long["ids"]
-            if (length < 0).any():
-                raise ValueError("the texts came in other batches when they were read again; write them to a table first")
-            flat = np.r_[coded_ids, np.array(rest, np.int32)]
+    def run(sent: pa.Table, coded: pa.Table) -> pa.Table:
+        if not pc.any(pc.is_valid(sent.column("numbers"))).as_py():
+            return _IDS.empty_table()
+        # equal batches are one block, whose parts came once for each of them
+        parts = {part: (n, ids.as_buffer()) for part, n, ids in zip(coded.column("part").to_pylist(), coded.column("n").to_pylist(), coded.column("ids"))}
+        sizes, runs = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for part in sorted(parts):
+            n, packed = parts[part]
+            raw = zstandard.decompress(packed)
+            sizes.append(np.frombuffer(raw, "<u2", n).astype(np.int64))
+            runs.append(np.frombuffer(raw, f"<u{wide}", offset=2 * n).astype(np.int32))
+        out = []
+        for row in sent.to_pylist():
+            part, length = np.frombuffer(zstandard.decompress(row["parts"]), "<u4"), np.concatenate(sizes)
+            if len(length) + len(row["long"]) != len(part):
+                raise ValueError("units of a block are missing")
+            order = np.argsort(part, kind="stable")
+            length = np.r_[length, np.array([len(ids) for ids in row["long"]], np.int64)]
+            flat = np.concatenate([*runs, *[np.array(ids, np.int32) for ids in row["long"]]])
+            begin = np.cumsum(length) - length
+            length[order], begin[order] = length.copy(), begin.copy()
             planes = np.frombuffer(zstandard.decompress(row["numbers"]), np.uint8).reshape(4, -1)
-            numbers = np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
-            each = length[numbers]
-            stop = np.cumsum(each)
-            total = int(stop[-1]) if len(stop) else 0
-            out.append(flat[np.repeat(begin[numbers] - (stop - each), each) + np.arange(total)])
-            size.append(np.r_[0, stop][np.cumsum(np.array(row["lengths"], np.int64))] + size[-1][-1])
-            docs += row["doc_ids"]
-        ids = pa.ListArray.from_arrays(pa.array(np.concatenate(size).astype(np.int32)), pa.array(np.concatenate(out)))
-        return pa.table([pa.array(docs, pa.int64()), ids], names=["doc_id", "ids"])
+            upto, first = np.r_[0, np.cumsum(np.array(row["lengths"], np.int64))], 0
+            while first < len(upto) - 1:
+                last = max(first + 1, int(np.searchsorted(upto, upto[first] + _UNITS_AT_ONCE, "right")) - 1)
+                numbers = np.ascontiguousarray(planes[:, upto[first]:upto[last]].T).view("<u4").reshape(-1)
+                each = length[numbers]
+                size = np.r_[0, np.cumsum(each)][upto[first:last + 1] - upto[first]].astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(size), pa.array(gathered(flat, begin[numbers], each)))
+                out.append(pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][first:last], pa.int64()), ids], schema=_IDS))
+                first = last
+        give_back()
+        return pa.Table.from_batches(out, _IDS)
 
     return run
 
@@ -259,24 +367,16 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, ids) of every row of ``docs``, as the model's own library encodes the whole text.
 
     Null and empty texts have no ids. Repeated rows repeat, rows without an id are kept. Bytes that are no UTF-8 count as
-    replacement characters. An empty table gives no rows. ``docs`` is read twice and must give the same batches both times,
-    as files do; a difference is an error, never a wrong id.
+    replacement characters. An empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    texts = rows.mapInArrow(_texts(model.path), _TEXTS)
-    # a unit's lattice is some twenty rows, so a partition of units is an eighth of a partition of texts
-    found = rows.mapInArrow(_units, "block long, place int, unit string").repartition(8 * shuffle_partitions(docs), "unit")
-    # counted over place as well, so that both sides of the join read one exchange
-    distinct = found.groupBy("unit").agg(F.count("place").alias("n"), F.min("block").alias("b")).where("n > 0 and b is not null").select("unit")
+    parts = PARTS * shuffle_partitions(docs)
+    # one exchange, which three steps read; units stay where their part is until they have their ids
+    sent = rows.mapInArrow(_sent(model.path, parts), _SENT_SQL).repartition(parts, "key")
+    distinct = sent.groupBy("key").applyInArrow(_distinct, "part long, unit string").repartition(parts, "part")
     wide = 2 if max((i for _, i, _ in model.pieces), default=0) < 1 << 16 else 4
-
-    def little_endian(id_: Column) -> Column:
-        digits = F.lpad(F.hex(id_), 2 * wide, "0")
-        return F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(wide))])
-
-    coded = found.join(unit_ids(distinct, model), "unit").select(
-        "block", "place", F.unhex(F.array_join(F.transform("ids", little_endian), "")).alias("ids"))
-    return texts.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_joined(wide), _RESULT)
+    back = sent.groupBy("key").cogroup(unit_ids(distinct, model).groupBy("part")).applyInArrow(_coded(wide), "block long, part long, n int, ids binary")
+    return sent.groupBy("key").cogroup(back.groupBy("block")).applyInArrow(_joined(wide), _RESULT)
 
 
 def _decoded(pieces: tuple[tuple[str, int, float], ...], bytes_from: int):
@@ -314,8 +414,9 @@ def _digested(pieces: tuple[tuple[str, int, float], ...], bytes_from: int):
     decoder = _decoded(pieces, bytes_from)
 
     def run(batches):
-        for batch in batches:
-            text = binary(next(iter(decoder([batch]))).column("text"))
+        some, same = tee(whole.slice(at, _AT_ONCE) for whole in batches for at in range(0, whole.num_rows, _AT_ONCE))
+        for batch, told in zip(some, decoder(same)):
+            text = binary(told.column("text"))
             lists = batch.column("ids")
             ids = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -324,6 +425,7 @@ def _digested(pieces: tuple[tuple[str, int, float], ...], bytes_from: int):
                 batch.column("doc_id"), pa.array(sizes), pa.array([zlib.crc32(ids[a:e]) for a, e in zip(edges[:-1], edges[1:])], pa.int64()),
                 pc.binary_length(text).cast(pa.int64()), pa.array([zlib.crc32(t.as_buffer()) for t in text], pa.int64())],
                 names=["doc_id", "n_pieces", "ids_crc32", "decoded_bytes", "decoded_crc32"])
+        give_back()
 
     return run
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from activity_engine.llm.blocks import shuffle_partitions
-from activity_engine.llm.words import slices
+from activity_engine.llm.words import gathered, slices
 from activity_engine.session import ensure_checkpoint_dir
 
 #: A chunk is closed once it holds so many ids; its last document may go beyond.
@@ -136,7 +136,7 @@ class WordEncoder:
         for byte in b".,":
             parts[mark == byte, 1] = self.stems[bytes([byte])]
         long = np.where(parts < 0, 0, self.stem_length[parts])
-        coded = _gathered(self.stem_ids, self.stem_begin[parts].reshape(-1), long.reshape(-1))
+        coded = gathered(self.stem_ids, self.stem_begin[parts].reshape(-1), long.reshape(-1))
         length = long.sum(axis=1)
         self.begin = np.r_[self.begin, len(self.ids) + np.cumsum(length) - length]
         self.length = np.r_[self.length, length]
@@ -154,18 +154,11 @@ class WordEncoder:
             self._learn(new)
         at = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[each.indices.to_numpy()]
         length = self.length[at]
-        ids = _gathered(self.ids, self.begin[at], length)
+        ids = gathered(self.ids, self.begin[at], length)
         upto = np.r_[0, np.cumsum(length)][np.r_[0, np.cumsum(pc.list_value_length(words).to_numpy())]]
         return ids, np.diff(upto)
 
 
-def _gathered(values: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Runs of ``values``, one after another."""
-    end = np.cumsum(length)
-    total = int(end[-1]) if len(end) else 0
-    return values[np.repeat(begin - (end - length), length) + np.arange(total)]
-
-
 _ENCODERS: dict[str, WordEncoder] = {}
 
 

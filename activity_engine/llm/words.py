@@ -6,6 +6,7 @@ sequences are named by 64-bit polynomial hashes modulo 2**64, taken as differenc
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -125,6 +126,23 @@ def ids(column) -> np.ndarray:
     return pc.fill_null(joined.cast(pa.int64()), int(NO_ID)).to_numpy(zero_copy_only=False)
 
 
+def gathered(values: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Runs of ``values``, one after another."""
+    end = np.cumsum(length)
+    total = int(end[-1]) if len(end) else 0
+    return values[np.repeat(begin - (end - length), length) + np.arange(total)]
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """What was freed goes back to the system; a worker else waits for its next task with it."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def least_of(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` neighbours, by doubling."""
     out, have = values, 1
