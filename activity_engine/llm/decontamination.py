@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from activity_engine.llm.words import Words, cut, ids, mix, slices
+from activity_engine.llm.words import Words, cut, give_back, ids, mix, slices
 
 #: An item counts as found if at most this share of its words is edited.
 MAX_EDITS = 0.2
@@ -179,6 +179,7 @@ def _matches(items: Items, max_edits: float):
         for batch in batches:
             rows = [row for part, texts in slices(batch, AT_ONCE) for row in settled(cut(texts, lower=True), ids(part.column("doc_id")))]
             columns = list(zip(*rows)) if rows else [[]] * 6
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns],
                                              names=["doc_id", "item_id", "start", "stop", "edits", "item_words"])
 

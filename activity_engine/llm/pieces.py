@@ -186,6 +186,7 @@ def _sent(path: str, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            give_back()
             for some, texts in slices(batch, BLOCK):
                 found = rows(some, texts)
                 give_back()

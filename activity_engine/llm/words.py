@@ -32,7 +32,7 @@ _POWERS: dict[int, np.ndarray] = {}
 def _powers(base: int, n: int) -> np.ndarray:
     """1, base, base**2, ... modulo 2**64; kept between slices."""
     if base not in _POWERS or len(_POWERS[base]) < n:
-        steps = np.full(max(n, SLICE + 4096), base, np.uint64)
+        steps = np.full(1 << max(16, n.bit_length()), base, np.uint64)
         steps[0] = 1
         _POWERS[base] = np.cumprod(steps, dtype=np.uint64)
     return _POWERS[base][:n]

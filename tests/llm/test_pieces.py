@@ -5,7 +5,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from activity_engine.llm import pieces
+from activity_engine.llm import pieces, words
 
 TEXTS = ["one two one", "", " lead", "trail ", "a  b", "line\nnext\n\nend \x01", "\n", "mark ▁ here", "x" * 70 + " one", "ré one\tré", " ", "two\n two"]
 
@@ -32,3 +32,13 @@ def test_equal_batches_of_texts(spark):
     one = spark.createDataFrame([(1, "one two"), (2, "y" * 80)], "doc_id long, text string").coalesce(1)
     want = sorted((r.doc_id, r.ids) for r in pieces.encode(one, model).collect())
     assert sorted((r.doc_id, r.ids) for r in pieces.encode(one.union(one), model).collect()) == sorted([*want, *want])
+
+
+def test_tables_of_powers_are_as_long_as_the_texts_need():
+    """A worker keeps them: two of 16 MB before, however short the texts."""
+    words._POWERS.clear()
+    short, long = (words.cut(pa.array([b"one two " * n], pa.binary())).hashes for n in (9, 90_000))
+    assert np.array_equal(short[:18], long[:18]) and len(set(long.tolist())) == 2
+    words._POWERS.clear()
+    words.cut(pa.array([b"one two"], pa.binary()))
+    assert sum(t.nbytes for t in words._POWERS.values()) < 2 << 20
