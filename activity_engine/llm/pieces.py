@@ -187,7 +187,9 @@ def _sent(path: str, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             give_back()
-            for some, texts in slices(batch, BLOCK):
+            # blocks of a batch are even: the last is as large as the others, and none is larger than it must be
+            held = batch.column("text").nbytes + batch.num_rows
+            for some, texts in slices(batch, held // -(-held // BLOCK) + 1 if held else BLOCK):
                 found = rows(some, texts)
                 give_back()
                 yield found
@@ -204,8 +206,11 @@ def _distinct(sent: pa.Table) -> pa.Table:
     found: set[bytes] = set()
     for packed in sent.column("units").drop_null():
         found.update(_opened(packed))
-    part = sent.column("key")[0].as_py()
-    return pa.table([pa.array(np.full(len(found), part)), pa.array(list(found), pa.binary()).cast(pa.string())], names=["part", "unit"])
+    part, told = sent.column("key")[0].as_py(), pa.array(list(found), pa.binary()).cast(pa.string())
+    out = pa.table([pa.array(np.full(len(found), part)), told], names=["part", "unit"])
+    del found
+    give_back()
+    return out
 
 
 def _coded(wide: int):
@@ -222,8 +227,11 @@ def _coded(wide: int):
             at = np.fromiter(map(place.__getitem__, _opened(units_)), np.int64)
             n.append(len(at))
             packed.append(zstandard.compress(length[at].astype("<u2").tobytes() + gathered(ids, begin[at], length[at]).tobytes()))
-        return pa.table([sent.column("block"), sent.column("key"), pa.array(n, pa.int32()), pa.array(packed, pa.binary())],
-                        names=["block", "part", "n", "ids"])
+        out = pa.table([sent.column("block"), sent.column("key"), pa.array(n, pa.int32()), pa.array(packed, pa.binary())],
+                       names=["block", "part", "n", "ids"])
+        del place, lists, length, begin, ids
+        give_back()
+        return out
 
     return run
 
@@ -239,20 +247,22 @@ def lattices(found: DataFrame, pieces: DataFrame, longest: int, unknown: float)
     without a piece is an edge as well, of score ``unknown`` and without an id.
     """
     n = F.length("unit")
-    starts = found.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    kept = [*found.columns, "row"]
+    starts = found.select("*", F.monotonically_increasing_id().alias("row")).select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
     # no piece is longer than the longest that begins with the same characters
     begins = pieces.where(F.length("piece") >= _BEGIN).groupBy(F.substring("piece", 1, _BEGIN).alias("begin")).agg(F.max(F.length("piece")).alias("most"))
     bounded = starts.withColumn("begin", F.substring("unit", F.col("start") + 1, F.lit(_BEGIN))).join(F.broadcast(begins), "begin", "left")
     most = F.least(F.lit(longest), n - F.col("start"), F.coalesce("most", F.lit(_BEGIN - 1)))
-    spans = bounded.select(*found.columns, "start", F.explode(F.sequence(F.lit(1), most)).alias("size"))
-    cut = spans.select(*found.columns, "start", (F.col("start") + F.col("size")).alias("stop"),
+    spans = bounded.select(*kept, "start", F.explode(F.sequence(F.lit(1), most)).alias("size"))
+    cut = spans.select(*kept, "start", (F.col("start") + F.col("size")).alias("stop"),
                        F.substring("unit", F.col("start") + 1, F.col("size")).alias("piece"))
-    edge = F.struct((-F.coalesce("score", F.lit(unknown))).alias("cost"), "start", "stop", "id")
     # the vocabulary of one model, which does not grow with the texts
     met = cut.join(F.broadcast(pieces), "piece", "left").where("id is not null or stop = start + 1")
-    return met.groupBy(*found.columns).agg(F.sort_array(F.collect_list(edge)).alias("edges")).withColumn("edges", F.transform("edges", lambda e: F.struct(
-        e["cost"].alias("cost"), e["start"].alias("start"), e["stop"].alias("stop"), (_bit(e["start"]) + _bit(e["stop"])).alias("bounds"),
-        (_bit(e["stop"]) - _bit(e["start"] + 1)).alias("inside"), e["id"].alias("id"))))
+    edge = F.struct((-F.coalesce("score", F.lit(unknown))).alias("cost"), "start", "stop", (_bit(F.col("start")) + _bit(F.col("stop"))).alias("bounds"),
+                    (_bit(F.col("stop")) - _bit(F.col("start") + 1)).alias("inside"), "id")
+    # numbers of rows stand in order, so gathering them sorts next to nothing; units would be compared letter by letter
+    others = [F.first(c).alias(c) for c in found.columns if c != "part"]
+    return met.groupBy("row", *[c for c in found.columns if c == "part"]).agg(*others, F.sort_array(F.collect_list(edge)).alias("edges")).select(*found.columns, "edges")
 
 
 def merged(unit: Column, edges: Column) -> Column:
@@ -302,8 +312,12 @@ def unit_ids(found: DataFrame, model: Model) -> DataFrame:
 
     def ids(places: Column) -> Column:
         symbols = F.filter(edges, lambda e: places.bitwiseAND(e["bounds"] + e["inside"]) == e["bounds"])
-        return F.flatten(F.sort_array(F.transform(symbols, lambda e: F.struct(
+        # start and id in one number sort faster than structs, and most units need no more
+        told = F.transform(F.sort_array(F.transform(symbols, lambda e: F.call_function("shiftleft", e["start"].cast("long"), F.lit(32)) + e["id"])),
+                           lambda known: known.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+        spelled = F.flatten(F.sort_array(F.transform(symbols, lambda e: F.struct(
             e["start"].alias("start"), F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(raw(e["start"])).alias("ids"))))["ids"])
+        return F.when(F.forall(symbols, lambda e: e["id"].isNotNull()), told).otherwise(spelled)
 
     # an array of one, so that the fold is not done again for every edge
     return made.select(*found.columns, F.flatten(F.transform(F.array(places), ids)).cast("array<int>").alias("ids"))

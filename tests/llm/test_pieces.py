@@ -1,5 +1,7 @@
 """How texts are cut into units and numbered, and that they are read once."""
 
+import re
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -42,3 +44,14 @@ def test_tables_of_powers_are_as_long_as_the_texts_need():
     words._POWERS.clear()
     words.cut(pa.array([b"one two"], pa.binary()))
     assert sum(t.nbytes for t in words._POWERS.values()) < 2 << 20
+
+
+def test_edges_of_a_unit_meet_by_number(spark):
+    """Units themselves are no keys where their edges are gathered; without a place to put them apart they are whole as well."""
+    model = pieces.Model.load(public_tokenizers.path("piece_bpe_32k.model"))
+    found = spark.createDataFrame([(i % 3, f"{pieces.MARK}word{i}\u0f3a") for i in range(500)], "part long, unit string").repartition(3, "part")
+    made = pieces.unit_ids(found, model)
+    keys = re.findall(r"ObjectHashAggregate\(keys=\[(.*?)\]", made._jdf.queryExecution().executedPlan().toString())
+    assert keys and all("unit" not in k for k in keys)
+    want = {u: pieces._long_unit(model.path, u) for u in (r.unit for r in found.collect())}
+    assert {r.unit: r.ids for r in made.collect()} == want == {r.unit: r.ids for r in pieces.unit_ids(found.select("unit"), model).collect()}
