@@ -402,12 +402,13 @@ def _log10_of_sequence(of: np.ndarray, log10: np.ndarray, prior: np.ndarray) ->
     posterior of "half cache, half model" against "model alone", judged by every token so far.
     """
     n = len(of)
-    explained = np.cumsum(log10, axis=0) * np.log(10) + np.log(prior)
-    weight = np.vstack([np.log(prior), explained[:-1]])
-    weight = np.exp(weight - weight.max(axis=1, keepdims=True))
-    weight /= weight.sum(axis=1, keepdims=True)
-    best = log10.max(axis=1)
-    log_model = best + np.log10((weight * np.exp((log10 - best[:, None]) * np.log(10))).sum(axis=1) + 1e-300)
+    log10 = np.ascontiguousarray(log10.T)  # a row for each kind
+    start = np.log(prior)[:, None]
+    weight = np.hstack([start, (np.cumsum(log10, axis=1) * np.log(10) + start)[:, :-1]])
+    weight = np.exp(weight - weight.max(axis=0))
+    weight /= weight.sum(axis=0)
+    best = log10.max(axis=0)
+    log_model = best + np.log10((weight * np.exp((log10 - best) * np.log(10))).sum(axis=0) + 1e-300)
     order = np.argsort(of, kind="stable")
     new = np.r_[True, of[order][1:] != of[order][:-1]]
     run = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
