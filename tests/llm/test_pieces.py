@@ -55,3 +55,14 @@ def test_edges_of_a_unit_meet_by_number(spark):
     assert keys and all("unit" not in k for k in keys)
     want = {u: pieces._long_unit(model.path, u) for u in (r.unit for r in found.collect())}
     assert {r.unit: r.ids for r in made.collect()} == want == {r.unit: r.ids for r in pieces.unit_ids(found.select("unit"), model).collect()}
+
+
+def test_blocks_of_a_batch_are_even(monkeypatch):
+    """The largest was a whole ``BLOCK`` before, however little was left for the last."""
+    monkeypatch.setattr(pieces, "BLOCK", 14_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30), pa.int64()), pa.array([b"x" * 9 + b" " + b"y" * 990] * 30, pa.binary())], names=["doc_id", "text"])
+    run = pieces._sent(public_tokenizers.path("piece_bpe_32k.model"), 3)
+    blocks = [[d for d in b.column("doc_ids").to_pylist() if d is not None] for b in run(iter([batch]))]
+    assert [len(ids) for b in blocks for ids in b] == [10, 10, 10]
+    assert [i for b in blocks for ids in b for i in ids] == list(range(30))
+    assert list(run(iter([batch.slice(0, 0)]))) == []
