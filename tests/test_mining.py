@@ -303,6 +303,19 @@ def test_als_beats_popularity(spark):
     assert own.count() >= 0.95 * top.count() and top.groupBy("user").count().filter("count <> 10").count() == 0
 
 
+@pytest.mark.parametrize("dealt", [128, 20])
+def test_als_has_as_many_blocks_as_its_ratings_need(spark, monkeypatch, dealt):
+    """A task holds one block of ratings: with a fixed number of blocks it outgrows its memory."""
+    monkeypatch.setattr(reco, "BLOCK_RATINGS", 60, raising=False)
+    monkeypatch.setattr(reco, "DEALT", dealt, raising=False)
+    rows = [(u, i, 1.0) for u in range(80) for i in range(20 * (u % 2), 20 * (u % 2) + 20) if i != 20 * (u % 2) + u // 4]
+    model = reco.fit_als(spark.createDataFrame(rows, "user int, item int, rating float"), "user", "item", "rating", rank=4, iterations=4)
+    assert model.userFactors.rdd.getNumPartitions() == model.itemFactors.rdd.getNumPartitions() == -(-len(rows) // 60)
+    top = reco.recommend(model, "user", "item", 20)
+    own = top.filter(F.floor(F.col("item") / 20) == F.col("user") % 2)
+    assert top.count() == 80 * 20 and own.count() >= 0.95 * top.count()
+
+
 def test_capped_sources_and_modes(spark):
     df = spark.createDataFrame([("a", i) for i in range(9)] + [("b", 100)], "s string, id int")
     for seed in (None, 5):
